@@ -21,6 +21,8 @@ WINDOW, EMBED, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 16
 #: Documents a language, and windows a document, that the network is trained on at most.
 MAX_DOCS, DOC_WINDOWS = 500, 3
 EPOCHS, BATCH, RATE = 8, 64, 0.004
+#: Few training windows are gone through more often, to make so many steps.
+MIN_STEPS = 400
 #: Windows that go through the network at once.
 AT_ONCE = 512
 FOLDS, HELD = 4, 2
@@ -93,7 +95,7 @@ class Network:
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s, t = {k: np.zeros_like(v) for k, v in self.p.items()}, 0
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-MIN_STEPS * BATCH // max(1, len(x))))):
             order = rng.permutation(len(x))
             for at in range(0, len(x), BATCH):
                 rows, t = order[at : at + BATCH], t + 1
