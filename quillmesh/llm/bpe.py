@@ -26,10 +26,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Characters handled at once; a longer text is cut before white space.
-CHUNK_CHARS = 1 << 22
+CHUNK_CHARS = 1 << 20
 #: Merged pre-tokens that a worker remembers from batch to batch.
-MEMO = 400_000
+MEMO = 200_000
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
@@ -249,42 +251,70 @@ def segments(text: str, limit: int = CHUNK_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def pre_tokens(texts: list[str]) -> Iterator[list[str]]:
-    """The pre-tokens of each of a few texts."""
-    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(size)
-    cuts = np.flatnonzero(boundaries(chars, ends - size))
-    of = np.searchsorted(cuts, ends)
-    low = 0
-    for text, begin, high in zip(texts, (ends - size).tolist(), of.tolist(), strict=True):
-        at = [*(cuts[low:high] - begin).tolist(), len(text)]
-        yield [text[a:b] for a, b in zip(at, at[1:])]  # noqa: B905
-        low = high
+#: An odd multiplier and its powers tell pieces apart by their characters and order.
+_BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE and of its inverse, modulo 2**64."""
+    inverse = pow(_BASE, -1, 1 << 64)
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, inverse, np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
 
+def number_pieces(chars: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each piece of `chars`, equal for equal pieces, and the first piece of each number.
 
-class _Numbered(dict):
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
+    Pieces are told apart by a 64-bit hash; that equal hashes are equal pieces is then checked
+    character by character, and pieces that only share a hash get numbers of their own.
+    """
+    room = 1 << max(16, int(len(chars)).bit_length())
+    up, down = _powers(room)
+    mixed = chars.astype(np.uint64) + np.uint64(1)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(32)
+    until = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * up[: len(chars)], dtype=np.uint64)])
+    key = (until[begin + size] - until[begin]) * down[begin]
+    _, first, code = np.unique(key, return_index=True, return_inverse=True)
+    like = begin[first][code]
+    same = np.ones(len(code), bool)
+    if (wrong := size[first][code] != size).any():
+        same &= ~wrong
+    ends = np.cumsum(size)
+    shift = np.repeat(like - begin, size)
+    equal = chars[np.minimum(np.arange(len(shift)) + shift, len(chars) - 1)] == chars
+    if not equal.all():
+        same &= np.logical_and.reduceat(equal, ends - size)
+    if not same.all():
+        table: dict[bytes, int] = {}
+        for k in np.flatnonzero(~same).tolist():
+            piece = chars[begin[k] : begin[k] + size[k]].tobytes()
+            if piece not in table:
+                table[piece] = len(first)
+                first = np.append(first, k)
+            code[k] = table[piece]
+    return code, first
 
 
 def _encode_some(parts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all parts in a row, and how many each has."""
-    number = _Numbered()
-    codes = [np.fromiter(map(number.__getitem__, p), np.int64, len(p)) for p in pre_tokens(parts)]
-    ids = vocab.resolve([p.encode() for p in number])
+    whole = "".join(parts)
+    chars = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    part_size = np.fromiter(map(len, parts), np.int64, len(parts))
+    part_end = np.cumsum(part_size)
+    begin = np.flatnonzero(boundaries(chars, part_end - part_size))
+    code, first = number_pieces(chars, begin, np.diff(begin, append=len(chars)))
+    stop = np.append(begin[1:], len(chars))[first]
+    ids = vocab.resolve([whole[a:b].encode() for a, b in zip(begin[first].tolist(), stop.tolist(), strict=True)])
     size = np.fromiter(map(len, ids), np.int64, len(ids))
-    begin = np.cumsum(size) - size
+    start = np.cumsum(size) - size
     flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
-    code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
     each = size[code]
-    until = np.cumsum(each)
-    total = int(until[-1]) if len(until) else 0
-    spread = np.repeat(begin[code] - (until - each), each) + np.arange(total)
-    until = np.concatenate([[0], until])
-    ends = np.cumsum([len(c) for c in codes])
-    return flat[spread], np.diff(until[np.concatenate([[0], ends]).astype(np.int64)])
+    until = np.concatenate([[0], np.cumsum(each)])
+    spread = np.repeat(start[code] - until[:-1], each) + np.arange(until[-1])
+    return flat[spread], np.diff(until[np.concatenate([[0], np.searchsorted(begin, part_end)])])
 
 
 def encode_texts(texts: list[str | None], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -330,6 +360,7 @@ def decode_ids(lists: pa.Array, vocab: Vocabulary) -> pa.Array:
 
 
 def _broadcast(spark: SparkSession, path: str):
+    small_batches(spark)
     return spark.sparkContext.broadcast(vocabulary(path))
 
 

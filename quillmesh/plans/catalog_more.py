@@ -27,7 +27,7 @@ _J = {x: _JAC.format(a=f"l.{x}", b=f"r.{x}") for x in ("cats", "tags", "rels", "
 _TAX = fixed(f"({_J['cats']} * 0.45::DOUBLE + {_J['tags']} * 0.3::DOUBLE + {_J['rels']} * 0.2::DOUBLE + {_J['acts']} * 0.05::DOUBLE)", 4)
 PAIRS = f"""{FEATURES}, p0 AS (SELECT l.id AS source, r.id AS target, {_TAX} AS taxonomy, CASE WHEN l.vector IS NOT NULL AND r.vector IS NOT NULL THEN list_cosine_similarity(l.vector, r.vector) END AS raw0
   FROM feat l JOIN feat r ON l.ord < r.ord),
-p1 AS (SELECT *, {fixed('greatest(0.0::DOUBLE, least(1.0::DOUBLE, raw0 / 0.5::DOUBLE))', 4)} AS semantic, {fixed('raw0', 4)} AS raw FROM p0),
+p1 AS (SELECT *, CASE WHEN raw0 IS NOT NULL THEN {fixed('greatest(0.0::DOUBLE, least(1.0::DOUBLE, raw0 / 0.5::DOUBLE))', 4)} END AS semantic, {fixed('raw0', 4)} AS raw FROM p0),
 pairs AS (SELECT source, target, taxonomy, semantic, raw, {fixed('coalesce((taxonomy * 0.4::DOUBLE + semantic * 0.6::DOUBLE) / (0.4::DOUBLE + 0.6::DOUBLE), taxonomy)', 4)} AS combined FROM p1)"""
 
 
@@ -47,6 +47,12 @@ def j03_nearest(spark: SparkSession, d: str) -> DataFrame:
     return near.select("id", "other", "similarity", to_fixed(1 - F.col("similarity"), 6).alias("distance"), "rank")
 
 
+def _embedded(spark: SparkSession, d: str) -> DataFrame:
+    """The cards that have a vector; they are written once, as a build reads them many times."""
+    cards = c.part_cards(spark, d).where("vector is not null")
+    return cards.checkpoint()
+
+
 def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The documents' index entries, and an older one in which some texts differ and some are missing."""
     docs = c.document_cards(spark, d).select("id", "ord", "title", F.sha2(F.concat_ws("\x01", "title", "summary", "body").cast("binary"), 256).alias("input_hash"))
@@ -346,7 +352,8 @@ def w02_neighbor_totals(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def w03_capped_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return relations.capped(relations.candidates(c.part_cards(spark, d), CONFIG), CONFIG.top_k)
+    """Candidates among all cards that have a vector, under the cap."""
+    return relations.capped(relations.candidates(_embedded(spark, d), CONFIG), CONFIG.top_k)
 
 
 @query()
@@ -618,8 +625,8 @@ def r04_completeness(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def r08_relations(spark: SparkSession, d: str) -> DataFrame:
-    cards = c.part_cards(spark, d)
-    return relations.build_relations(cards, CONFIG, *_manual(spark, d))[1]
+    """Relations of all cards that have a vector, with manual entries."""
+    return relations.build_relations(_embedded(spark, d), CONFIG, *_manual(spark, d))[1]
 
 
 @query(f"WITH {MEMBERS} SELECT card_id, concept_id, origin, strength FROM members")
@@ -629,14 +636,14 @@ def r09_memberships(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def r10_graph(spark: SparkSession, d: str) -> DataFrame:
-    """Edges of the graph that the whole build makes."""
-    return build_artifacts(c.part_cards(spark, d), CONFIG, PROMOTED)["edges"]
+    """Edges of the graph that the whole build makes of all cards that have a vector."""
+    return build_artifacts(_embedded(spark, d), CONFIG, PROMOTED)["edges"]
 
 
 @query("SELECT 'x' AS key, 'x' AS code WHERE false")
 def f14_artifact_issues(spark: SparkSession, d: str) -> DataFrame:
     """Issues of a whole build over the cards with vectors: there are none."""
-    cards = c.part_cards(spark, d).where("vector is not null")
+    cards = _embedded(spark, d)
     return publishable(build_artifacts(cards, CONFIG, PROMOTED), cards, 64)
 
 
