@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_fold
+from .common import held_fold, small_batches
 
 WINDOW, EMBED, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 16
 #: Documents a language, and windows a document, that the network is trained on at most.
@@ -117,6 +117,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     Of each language about max_docs documents are taken by a hash of their id, at most
     four times as many. A few windows of each come to the driver.
     """
+    small_batches(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (held_fold(F.col(doc_id), folds) != held))
     counts = {r[0]: r[1] for r in known.groupBy(F.col(lang)).count().orderBy(lang).collect()}
     if not counts:
@@ -184,6 +185,8 @@ def identify(df: DataFrame, net: Network | None, text: str = "text") -> DataFram
         return df.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     names = F.array(*map(F.lit, net.languages))
 
+    small_batches(df.sparkSession)
+
     @F.arrow_udf("struct<k int, p double>")
     def of(texts: pa.Array) -> pa.Array:
         best, p = predict_texts(texts.to_pylist(), net)

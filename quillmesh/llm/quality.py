@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_fold
+from .common import held_fold, small_batches
 
 STATS = (
     "log_bytes", "log_words", "word_length", "letters", "upper", "symbols", "exclaims", "bars", "digits", "wide",
@@ -83,6 +83,8 @@ def text_stats(text: str | None) -> list[float]:
 def add_stats(df: DataFrame, text: str = "text", out: str = "stats") -> DataFrame:
     """Add `out`, the statistics of column `text` in the order of STATS (array<double>)."""
 
+    small_batches(df.sparkSession)
+
     @F.arrow_udf("array<double>")
     def of(texts: pa.Array) -> pa.Array:
         flat = np.array([text_stats(x.as_py()) for x in texts], np.float64).reshape(-1)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, salted_lookup
+from .common import connected_components, materialise, salted_lookup, small_batches
 
 SHINGLE, DISTANCE = 4, 4
 #: Most fingerprints of a key that one task searches; more are cut into tiles.
@@ -60,6 +60,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", shingle: int = SHINGLE) -> DataFrame:
     """Add `out`, the fingerprint of column `text` as a signed long. Null counts as empty."""
 
+    small_batches(df.sparkSession)
+
     @F.arrow_udf("bigint")
     def of(texts: pa.Array) -> pa.Array:
         found = np.fromiter((fingerprint(x.as_py(), shingle) for x in texts), np.uint64, len(texts))
