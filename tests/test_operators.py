@@ -90,12 +90,13 @@ def test_pruned_candidates_lose_none(spark, config):
     assert sorted(got) == sorted(want) and len(want) > 10
 
 
+@pytest.mark.parametrize("few", [0, 60, 10**6])
 @pytest.mark.parametrize("cap", [1, 3])
-def test_greedy_choice(spark, cap):
+def test_greedy_choice(spark, cap, few):
     r = random.Random(cap)
     edges = [(a, b, r.randint(1, 5)) for a in range(25) for b in range(a) if r.random() < 0.4]
     df = spark.createDataFrame(edges, "source int, target int, w int")
-    got = greedy.degree_capped(df, cap, [(-F.col("w")).alias("w"), F.col("source").alias("a"), F.col("target").alias("b")])
+    got = greedy.degree_capped(df, cap, [(-F.col("w")).alias("w"), F.col("source").alias("a"), F.col("target").alias("b")], few=few)
     want = greedy.degree_capped_local(sorted(edges, key=lambda e: (-e[2], e[0], e[1])), cap)
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert greedy.degree_capped(df.limit(0), cap, [F.col("w").alias("w")]).count() == 0
