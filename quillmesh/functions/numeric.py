@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def to_fixed(x: Column, digits: int) -> Column:
@@ -31,6 +34,23 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(fits, clamp(dot(a, b) / F.sqrt(norms), -1.0, 1.0)), F.lit(0.0))
 
 
+def _pair_cosine(a: pa.Array, b: pa.Array) -> pa.Array:
+    """cosine() of many pairs at once; null where either vector is."""
+    both = a.is_valid().to_numpy(zero_copy_only=False) & b.is_valid().to_numpy(zero_copy_only=False)
+    size = [x.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) for x in (a, b)]
+    out = np.zeros(len(a))
+    for dim in np.unique(size[0][both & (size[0] == size[1]) & (size[0] > 0)]):
+        at = np.flatnonzero(both & (size[0] == dim) & (size[1] == dim))
+        x, y = (v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for v in (a, b))
+        norms = np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y)
+        out[at] = np.where(norms > 0, np.clip(np.einsum("ij,ij->i", x, y) / np.sqrt(np.where(norms > 0, norms, 1)), -1, 1), 0)
+    return pa.array(out, mask=~both)
+
+
+#: Marked so that the optimiser never repeats it in the expressions that use its result.
+pair_cosine = F.arrow_udf(_pair_cosine, T.DoubleType()).asNondeterministic()
+
+
 def normalize_similarity(raw: Column, floor: float = 0.70, ceiling: float = 0.95) -> Column:
     """A cosine stretched from [floor, ceiling] to [0, 1], 4 places; as it is where the range is empty."""
     finite = raw.isNotNull() & ~F.isnan(raw)
