@@ -32,6 +32,8 @@ from .common import small_batches
 CHUNK_CHARS = 1 << 20
 #: Merged pre-tokens that a worker remembers from batch to batch.
 MEMO = 200_000
+#: Pre-tokens whose first pairs are looked up together.
+MERGE_AT_ONCE = 10_000
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
@@ -109,6 +111,12 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             by_rank[rank] = token
         self.by_rank, self.memo = pa.array(by_rank, pa.binary()), {}
+        self.one, self.two = np.full(256, -1, np.int64), np.full(1 << 16, -1, np.int64)
+        for token, rank in self.ranks.items():
+            if len(token) == 1:
+                self.one[token[0]] = rank
+            elif len(token) == 2:
+                self.two[token[0] << 8 | token[1]] = rank
         self.single = [(x,) for x in self.rank_of.tolist()]
 
     def __getstate__(self) -> tuple:
@@ -121,66 +129,83 @@ class Vocabulary:
     def resolve(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """The ids of each pre-token."""
         out, memo, tokens, single = [], self.memo, self.tokens, self.single
+        misses = []
         for piece, key in zip(pieces, self.hash.find(pieces).tolist(), strict=True):
-            if tokens[key] == piece:
-                out.append(single[key])
-                continue
-            ids = memo.get(piece)
+            ids = single[key] if tokens[key] == piece else memo.get(piece)
             if ids is None:
-                ids = merge(piece, self.keys)
-                if len(piece) <= 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[piece] = ids
+                misses.append((len(out), piece))
             out.append(ids)
+        for at in range(0, len(misses), MERGE_AT_ONCE):
+            part = misses[at : at + MERGE_AT_ONCE]
+            for (k, piece), ids in zip(part, self._merged([p for _, p in part]), strict=True):
+                out[k] = ids
+                if len(piece) <= 64 and len(memo) < MEMO:
+                    memo[piece] = ids
+        if len(memo) >= MEMO:
+            memo.clear()
         return out
 
+    def _merged(self, pieces: list[bytes]) -> Iterator[tuple[int, ...]]:
+        """Merge pieces one by one; their bytes' ids and first pairs are looked up for all together."""
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        stop = np.cumsum(size)
+        pairs = np.full(len(data), -1, np.int64)
+        pairs[:-1] = self.two[data[:-1].astype(np.int64) << 8 | data[1:]]
+        pairs[stop - 1] = -1
+        place = np.arange(len(data)) - np.repeat(stop - size, size)
+        pairs = np.where(pairs >= 0, pairs << 32 | place, -1).tolist()
+        ids = self.one[data]
+        if len(ids) and ids.min() < 0:
+            raise ValueError("the vocabulary lacks a byte")
+        ids, low = ids.tolist(), 0
+        for piece, high in zip(pieces, stop.tolist(), strict=True):
+            yield merge(piece, [*pairs[low:high], -1], ids[low:high], self.keys)
+            low = high
+
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(load_ranks(path))
 
 
-def merge(piece: bytes, keys: dict[bytes, int]) -> tuple[int, ...]:
+def merge(piece: bytes, pairs: list[int], ids: list[int], keys: dict[bytes, int]) -> tuple[int, ...]:
     """Merge the pair of lowest rank, the leftmost of equals, until none has a rank.
 
-    keys: ranks, shifted left by 32 bits to leave room for a place in the piece.
     Spans are a linked list over the bytes: `end[i]` is where the span that starts at i
-    ends, `before[i]` where the span before it starts. `now[i]` is the heap's valid entry
-    for the pair that starts at i; others are passed over.
+    ends, `before[i]` where the span before it starts, ids[i] its id. pairs[i] is the heap's
+    valid entry for the pair that starts at i (rank << 32 | i, or -1); others are passed over.
+    keys: ranks << 32. Both lists are changed.
     """
     n = len(piece)
     get = keys.get
-    end, before, now = list(range(1, n + 2)), list(range(-1, n)), [-1] * (n + 1)
-    heap = []
-    for i in range(n - 1):
-        if (r := get(piece[i : i + 2])) is not None:
-            now[i] = r = r | i
-            heap.append(r)
+    end, before = list(range(1, n + 2)), list(range(-1, n))
+    heap = [x for x in pairs if x >= 0]
     heapify(heap)
     while heap:
         x = heappop(heap)
         i = x & 0xFFFFFFFF
-        if now[i] != x:
+        if pairs[i] != x:
             continue
+        ids[i] = x >> 32
         middle = end[i]
         stop = end[i] = end[middle]
-        now[middle] = now[i] = -1
+        pairs[middle] = pairs[i] = -1
         if stop < n:
             before[stop] = i
             if (r := get(piece[i : end[stop]])) is not None:
-                now[i] = r = r | i
+                pairs[i] = r = r | i
                 heappush(heap, r)
         if i:
             j = before[i]
             if (r := get(piece[j:stop])) is not None:
-                now[j] = r = r | j
+                pairs[j] = r = r | j
                 heappush(heap, r)
             else:
-                now[j] = -1
+                pairs[j] = -1
     out, i = [], 0
     while i < n:
-        out.append(keys[piece[i : end[i]]] >> 32)
+        out.append(ids[i])
         i = end[i]
     return tuple(out)
 
