@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Characters handled at once; a longer text is cut before white space.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 #: Merged pre-tokens that a worker remembers from batch to batch.
 MEMO = 200_000
 #: Pre-tokens whose first pairs are looked up together.

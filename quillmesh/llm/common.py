@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Send whole texts to Python by at most `rows`: a session's larger Arrow batches are lowered to that."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
