@@ -47,10 +47,9 @@ def j03_nearest(spark: SparkSession, d: str) -> DataFrame:
     return near.select("id", "other", "similarity", to_fixed(1 - F.col("similarity"), 6).alias("distance"), "rank")
 
 
-def _embedded(spark: SparkSession, d: str) -> DataFrame:
-    """The cards that have a vector; they are written once, as a build reads them many times."""
-    cards = c.part_cards(spark, d).where("vector is not null")
-    return cards.checkpoint()
+def _cards(spark: SparkSession, d: str) -> DataFrame:
+    """All cards, with and without a vector; they are written once, as a build reads them many times."""
+    return c.part_cards(spark, d).checkpoint()
 
 
 def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -352,8 +351,8 @@ def w02_neighbor_totals(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def w03_capped_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates among all cards that have a vector, under the cap."""
-    return relations.capped(relations.candidates(_embedded(spark, d), CONFIG), CONFIG.top_k)
+    """Candidates among all cards, under the cap."""
+    return relations.capped(relations.candidates(_cards(spark, d), CONFIG), CONFIG.top_k)
 
 
 @query()
@@ -625,8 +624,8 @@ def r04_completeness(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def r08_relations(spark: SparkSession, d: str) -> DataFrame:
-    """Relations of all cards that have a vector, with manual entries."""
-    return relations.build_relations(_embedded(spark, d), CONFIG, *_manual(spark, d))[1]
+    """Relations of all cards, with manual entries."""
+    return relations.build_relations(_cards(spark, d), CONFIG, *_manual(spark, d))[1]
 
 
 @query(f"WITH {MEMBERS} SELECT card_id, concept_id, origin, strength FROM members")
@@ -636,14 +635,14 @@ def r09_memberships(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def r10_graph(spark: SparkSession, d: str) -> DataFrame:
-    """Edges of the graph that the whole build makes of all cards that have a vector."""
-    return build_artifacts(_embedded(spark, d), CONFIG, PROMOTED)["edges"]
+    """Edges of the graph that the whole build makes of all cards."""
+    return build_artifacts(_cards(spark, d), CONFIG, PROMOTED)["edges"]
 
 
 @query("SELECT 'x' AS key, 'x' AS code WHERE false")
 def f14_artifact_issues(spark: SparkSession, d: str) -> DataFrame:
-    """Issues of a whole build over the cards with vectors: there are none."""
-    cards = _embedded(spark, d)
+    """Issues of a whole build over the cards with vectors, of which the artifacts need one a card: there are none."""
+    cards = c.part_cards(spark, d).where("vector is not null").checkpoint()
     return publishable(build_artifacts(cards, CONFIG, PROMOTED), cards, 64)
 
 
