@@ -245,27 +245,46 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
         fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text", "fp", shingle).drop("_text"),
         "fingerprints",
     )
+    named = _named(rows, distance, tile_rows).drop("component")
+    return salted_lookup(rows, named, "fp", F.col("doc_id"), 8).select("doc_id", "fp", "component_id")
+
+
+def _named(rows: DataFrame, distance: int, tile_rows: int) -> DataFrame:
+    """(fp, component, component_id) of each fingerprint in rows (doc_id, fp); component is the smallest fingerprint that links reach."""
     classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
     links = search_links(classes.select("fp"), distance, tile_rows)
     joined = connected_components(links, "a", "b")
     # Most fingerprints have no link and are their own component.
     linked = joined.join(classes, joined.node == classes.fp).select("fp", "component", "first")
     least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    linked = salted_lookup(linked, least, "component", F.col("fp")).select("fp", "component_id")
-    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return salted_lookup(rows, named, "fp", F.col("doc_id"), 8).select("doc_id", "fp", "component_id")
+    linked = salted_lookup(linked, least, "component", F.col("fp")).select("fp", "component", "component_id")
+    return classes.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "first").alias("component_id"))
 
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def drop_near(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def numbered(df: DataFrame) -> DataFrame:
+    """(_n, _row): df written once, each row packed and with a number of its own."""
+    packed = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+    return materialise(df.select(F.monotonically_increasing_id().alias("_n"), packed), "numbered-rows")
+
+
+def keep_one(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of numbered rows one of each component, that with the smallest id, null last; groups: (_n, doc_id, component)."""
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_n")).alias("x"))
+    return rows.join(first.select("x._n"), "_n", "left_semi").select("_row.*")
+
+
+def drop_near(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, tile_rows: int = TILE_ROWS) -> DataFrame:
     """df with one row of each component, the one with its smallest id; columns as before, whatever their names.
 
-    Ids must be unique for that; of rows that share the smallest id, any one stays.
+    Rows are told apart by a number of their own, so null and repeated ids are no harm: a
+    null id comes last, and of rows that share the smallest id exactly one stays.
     """
-    drop = near_groups(df, doc_id, text, **options).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    drop = materialise(drop.select(F.col("doc_id").alias("_id")), "near-copies")
-    packed = df.select(F.col(doc_id).alias("_doc"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
-    return packed.join(drop, F.col("_doc").eqNullSafe(F.col("_id")), "left_anti").select("_row.*")
+    rows = numbered(df)
+    read = rows.select("_n", F.col("_row")[doc_id].alias("doc_id"), F.col("_row")[text].alias("_text"))
+    found = materialise(fingerprints(read, "_text", "fp", shingle).drop("_text"), "fingerprints")
+    named = _named(found.select("doc_id", "fp"), distance, tile_rows).select("fp", "component")
+    return keep_one(rows, salted_lookup(found, named, "fp", F.col("_n"), 8))
