@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import bpe, exact_dedup, mixing, quality, simhash
+from quillmesh.llm import bpe, exact_dedup, jaccard, mixing, quality
 from quillmesh.llm.common import materialise, table
 from quillmesh.llm.queries import tokenizer_path
 
@@ -25,8 +25,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id stays."""
-    return simhash.drop_near(docs)
+    """Of each component of near duplicates the document with the smallest doc_id stays.
+
+    Near duplicates share at least 0.8 of their five-word shingles, counted exactly.
+    """
+    return jaccard.drop_similar(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +53,7 @@ STAGES = [
     ("tokens", token_stage),
 ]
 
-#: The classifier is fitted and fingerprints use a hash that SQL lacks, so there is no SQL for the whole.
+#: The classifier is fitted and shingles use a hash that SQL lacks, so there is no SQL for the whole.
 ORACLE_SQL = None
 
 

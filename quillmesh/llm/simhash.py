@@ -36,25 +36,32 @@ FAN, AT_ONCE = 8, 1 << 15
 BLOCK = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text's word shingles, unsigned.
-
-    Words are what ASCII white space separates, A-Z in lower case. A text of fewer words
-    than a shingle has one shingle of all of them; one without words has fingerprint 0.
-    """
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles in blocks; see fingerprint()."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(words))
-    n, digest, ones = len(words) - k + 1, xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    n, digest = len(words) - k + 1, xxhash.xxh64_intdigest
     for at in range(0, n, BLOCK):
         a, b = begins[at : min(at + BLOCK, n)].tolist(), ends[at + k - 1 : min(at + BLOCK, n) + k - 1].tolist()
-        h = np.fromiter((digest(joined[x:y], seed) for x, y in zip(a, b, strict=True)), np.uint64, len(a))
+        yield np.fromiter((digest(joined[x:y], seed) for x, y in zip(a, b, strict=True)), np.uint64, len(a))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int:
+    """The 64-bit SimHash of a text's word shingles, unsigned.
+
+    Words are what ASCII white space separates, A-Z in lower case. A text of fewer words
+    than a shingle has one shingle of all of them; one without words has fingerprint 0.
+    """
+    n, ones = 0, np.zeros(64, np.int64)
+    for h in shingle_hashes(text, shingle, seed):
+        n += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]) if n else 0
 
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", shingle: int = SHINGLE) -> DataFrame:
