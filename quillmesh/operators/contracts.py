@@ -115,19 +115,6 @@ def hand_off_stage(request: Column, evidence: Column, handoff: Column, judgement
     )
 
 
-def post_url(url: Column) -> Column:
-    """struct<kind, token, canonical> of a link to a post: post, share, short or other; null elsewhere."""
-    host = F.lower(F.regexp_extract(url, r"^https?://([^/?#:]+)", 1))
-    path = F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1)
-    part = F.filter(F.split(path, "/"), lambda x: x != "")
-    at = lambda k: F.get(part, F.lit(k))
-    is_post = F.coalesce(F.startswith(at(0), F.lit("@")) & (F.lower(at(1)) == "post") & at(2).isNotNull(), F.lit(False))
-    kind = F.when(F.coalesce((F.lower(at(0)) == "share") & at(1).isNotNull(), F.lit(False)), "share").when(F.coalesce((F.lower(at(0)) == "t") & at(1).isNotNull(), F.lit(False)), "short").when(is_post, "post").otherwise("other")
-    canonical = F.when(kind == "post", F.concat(F.lit("https://threads.com/"), at(0), F.lit("/post/"), at(2)))
-    token = F.when(kind.isin("share", "short"), at(1)).when(kind == "post", at(2))
-    return F.when(host.rlike(r"(^|\.)threads\.(com|net)$"), F.struct(kind.alias("kind"), token.alias("token"), canonical.alias("canonical")))
-
-
 def canonical_link(html: Column) -> Column:
     """The page's own canonical address: its link element, else its og:url."""
     link = F.regexp_extract(html, r"(?is)<link\b[^>]*rel=[\"']canonical[\"'][^>]*href=[\"']([^\"']+)", 1)
