@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import to_fixed
+from .rounds import checkpoint
 
 #: What a continuation may be late by, and how many are kept: fixed values.
 MAX_DELTA_SECONDS, MAX_CANDIDATES = 24 * 60 * 60, 8
@@ -47,21 +47,20 @@ def roots(rows: DataFrame, max_rounds: int = 40) -> DataFrame:
         F.coalesce("_p", "id").alias("at"),
         F.col("_p").isNull().alias("done"),
         (F.col("reply_to").isNotNull() & F.col("_p").isNull()).alias("cut"),
-    ).checkpoint()
+    )
+    state = checkpoint(state)
     left = state.where("not done").count()
     for _ in range(max_rounds):
         if not left:
             break
         step = state.select(F.col("id").alias("at"), F.col("at").alias("_to"), F.col("done").alias("_d"), F.col("cut").alias("_c"))
-        state = (
-            state.join(step, "at")
-            .select(
+        state = checkpoint(
+            state.join(step, "at").select(
                 "id",
                 F.when(F.col("done"), F.col("at")).otherwise(F.col("_to")).alias("at"),
                 (F.col("done") | F.col("_d")).alias("done"),
                 (F.col("cut") | (~F.col("done") & F.col("_c"))).alias("cut"),
             )
-            .checkpoint()
         )
         before, left = left, state.where("not done").count()
         if left == before:
@@ -75,39 +74,46 @@ def roots(rows: DataFrame, max_rounds: int = 40) -> DataFrame:
     return state.select("id", F.when(F.col("done") & ~F.col("cut"), F.col("at")).alias("root"), reason.alias("reason"))
 
 
+def climb(edges: DataFrame, tops: DataFrame) -> DataFrame:
+    """(id, top, hops) of every node that its edges (id, parent; one an id) lead to one of `tops` (id), by joins that double their reach."""
+    top = tops.select(F.col("id").alias("_t"))
+    state = edges.join(top, F.col("parent") == F.col("_t"), "left").select("id", F.col("parent").alias("at"), F.lit(1).cast("long").alias("hops"), F.col("_t").isNotNull().alias("done"))
+    state, left = checkpoint(state), None
+    while (now := state.where("not done").count()) and now != left:  # each round settles some node unless only cycles are left
+        left = now
+        step = state.select(F.col("id").alias("at"), F.col("at").alias("_to"), F.col("hops").alias("_h"), F.col("done").alias("_d"))
+        further = state.where("not done").join(step, "at").select("id", F.col("_to").alias("at"), (F.col("hops") + F.col("_h")).alias("hops"), F.col("_d").alias("done"))
+        state = checkpoint(state.where("done").unionByName(further))
+    return state.where("done").select("id", F.col("at").alias("top"), "hops")
+
+
 def author_chains(rows: DataFrame) -> DataFrame:
     """(conv_id, length, last, ambiguous): from each root the one child by the same author, and so on.
 
-    Where two children could follow, the one whose indicator names the next place is taken;
-    otherwise the chain is ambiguous. Conversations are dealt to tasks by their id.
+    The root is the first post, by id, that replies to nothing. Where two children could follow, the one whose
+    indicator (column hint) alone names the next place is taken; otherwise the chain is ambiguous. A conversation
+    without a root has length 0. Chains are followed by joins that double their reach, so a conversation is never one task's group.
     """
-
-    def chain(group: pa.Table) -> pa.Table:
-        found = group.select(["id", "username", "reply_to", "hint"]).to_pylist()
-        by = {p["id"]: p for p in found}
-        below: dict = {}
-        for p in found:
-            if p["reply_to"] in by and p["reply_to"] != p["id"]:
-                below.setdefault(p["reply_to"], []).append(p)
-        top = min((p for p in found if p["reply_to"] is None), key=lambda p: p["id"], default=None)
-        length, unclear, now, seen = 0, False, top, set()
-        while now is not None:
-            length += 1
-            seen.add(now["id"])
-            last = now["id"]
-            follow = [p for p in below.get(now["id"], []) if p["id"] not in seen and (p["username"] or "").lower() == (top["username"] or "").lower() and top["username"]]
-            if len(follow) > 1:
-                hinted = [p for p in follow if p["hint"] == length + 1]
-                if len(hinted) != 1:
-                    unclear = True
-                    break
-                follow = hinted
-            now = follow[0] if follow else None
-        return pa.table({"conv_id": [group["conv_id"][0].as_py()], "length": [length], "last": [last if length else None], "ambiguous": [unclear]}, schema=schema)
-
-    schema = pa.schema([("conv_id", pa.int64()), ("length", pa.int64()), ("last", pa.string()), ("ambiguous", pa.bool_())])
     hinted = rows if "hint" in rows.columns else rows.withColumn("hint", F.lit(None).cast("int"))
-    return hinted.select("conv_id", "id", "username", "reply_to", "hint").groupBy("conv_id").applyInArrow(chain, "conv_id bigint, length bigint, last string, ambiguous boolean")
+    posts_ = checkpoint(hinted.select("conv_id", "id", F.lower("username").alias("author"), "reply_to", "hint"))
+    root = posts_.where("reply_to is null").groupBy("conv_id").agg(F.min(F.struct("id", "author")).alias("r")).select("conv_id", F.col("r.id").alias("root"), F.col("r.author").alias("root_author"))
+    every = posts_.select("conv_id").distinct().join(root, "conv_id", "left")
+    known = posts_.select("conv_id", F.col("id").alias("parent"))
+    own = posts_.join(root.where("root_author != ''"), "conv_id").where((F.col("author") == F.col("root_author")) & (F.col("id") != F.col("root")) & (F.col("reply_to") != F.col("id")))
+    edges = checkpoint(own.select("conv_id", "id", F.col("reply_to").alias("parent"), "hint").join(known, ["conv_id", "parent"], "left_semi"))
+    tops = root.select(F.col("root").alias("id"))
+    # A reply's place in the chain is its distance from the root.
+    placed = checkpoint(edges.join(climb(edges.select("id", "parent"), tops), "id"))
+    hits = F.col("hint") == F.col("hops") + 1
+    follow = placed.groupBy("parent").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("one"), F.count_if(hits).alias("hinted"), F.min(F.when(hits, F.col("id"))).alias("named")
+    )
+    follow = checkpoint(follow.select("parent", F.when(F.col("n") == 1, F.col("one")).when(F.col("hinted") == 1, F.col("named")).alias("next"), ((F.col("n") > 1) & (F.col("hinted") != 1)).alias("unclear")))
+    line = climb(follow.where("next is not null").select(F.col("next").alias("id"), "parent"), tops)
+    chain = line.unionByName(tops.select("id", F.col("id").alias("top"), F.lit(0).cast("long").alias("hops")))
+    last = chain.groupBy("top").agg(F.max(F.struct("hops", "id")).alias("x")).select(F.col("top").alias("root"), (F.col("x.hops") + 1).alias("length"), F.col("x.id").alias("last"))
+    ended = last.join(follow.select(F.col("parent").alias("last"), "unclear"), "last", "left")
+    return every.join(ended, "root", "left").select("conv_id", F.coalesce("length", F.lit(0).cast("long")).alias("length"), "last", F.coalesce("unclear", F.lit(False)).alias("ambiguous"))
 
 
 def indicator(text: Column) -> Column:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import checkpoint
+
 #: Kinds of evidence: fixed values.
 KINDS = (
     "readme", "documentation", "manifest", "configuration", "entrypoint", "api", "data_model", "auth",
@@ -16,144 +22,167 @@ KIND_CAPS = {
     "readme": 1, "documentation": 4, "manifest": 1, "entrypoint": 3, "source": 2, "api": 2, "data_model": 2, "auth": 2,
     "background_job": 2, "security": 1, "deployment": 1, "license": 1, "configuration": 2, "test": 2, "other": 1,
 }
-#: Quotas that are filled first, in order, and kinds that stand for how a project works.
+#: What a first pack takes in which turn, and how many of each; kinds that stand for how a project works, and how many of them: fixed values.
 QUOTAS = (("readme", 1), ("documentation", 3), ("manifest", 1), ("entrypoint", 2), ("security", 1), ("license", 1))
-MECHANISMS = ("api", "data_model", "auth", "background_job", "source")
+MECHANISMS, MECHANISM_FILES = ("api", "data_model", "auth", "background_job", "source"), 4
+LATE_QUOTAS = (("deployment", 1),)
 MAX_ITEMS, MAX_BYTES = 14, 512 * 1024
 
-#: File names and path parts of each kind, the first that fits: fixed values.
+#: Endings of source files and of other texts, names of texts without an ending, and files that machines write: fixed values.
+SOURCE_ENDINGS = (
+    ".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx", ".py", ".go", ".rs", ".java", ".kt", ".kts", ".rb", ".php", ".cs", ".swift", ".sh", ".bash",
+    ".zsh", ".sql", ".graphql", ".gql", ".proto", ".svelte", ".vue", ".cts", ".mts", ".ps1",
+)
+TEXT_ENDINGS = (*SOURCE_ENDINGS, ".md", ".mdx", ".txt", ".json", ".jsonc", ".yaml", ".yml", ".toml", ".xml", ".ini", ".cfg", ".conf", ".env")
+TEXT_NAMES = ("dockerfile", "makefile", "procfile", "gemfile", "license", "copying", "_headers")
+LOCK_FILES = ("package-lock.json", "pnpm-lock.yaml", "yarn.lock", "bun.lock", "bun.lockb", "poetry.lock", "cargo.lock", "go.sum")
 MANIFESTS = (
     "package.json", "pyproject.toml", "requirements.txt", "go.mod", "cargo.toml", "pom.xml", "build.gradle", "build.gradle.kts",
     "composer.json", "gemfile", "mix.exs", "deno.json", "deno.jsonc", "package.swift",
 )
 
 
+@dataclass(frozen=True)
+class FileRule:
+    """Fits a file by any of its name, its path, a part of its path or its ending; `also` and `source` must hold besides."""
+
+    kind: str
+    priority: int
+    name: str = ""
+    path: str = ""
+    parts: tuple[str, ...] = ()
+    endings: tuple[str, ...] = ()
+    also: str = ""
+    source: bool = False
+
+    def fits(self, low: Column, base: Column, ending: Column) -> Column:
+        ways = [base.rlike(self.name)] * bool(self.name) + [low.rlike(self.path)] * bool(self.path) + [ending.isin(*self.endings)] * bool(self.endings)
+        if self.parts:
+            ways.append(F.arrays_overlap(F.split(low, "/"), F.array(*map(F.lit, self.parts))))
+        needs = [low.rlike(self.also)] * bool(self.also) + [ending.isin(*SOURCE_ENDINGS)] * self.source
+        return reduce(and_, needs, reduce(or_, ways))
+
+
+_DOCS = {"parts": ("docs", "doc", "documentation"), "endings": (".md", ".mdx")}
+#: Kind and priority of a file, the first rule that fits: fixed values.
+FILE_RULES = (
+    FileRule("readme", 0, name=r"^readme(?:\.[^.]+)?$"),
+    FileRule("security", 0, name=r"^(security|security-policy)(?:\.[^.]+)?$"),
+    FileRule("license", 1, name=r"^(license|licence|copying)(?:\.[^.]+)?$"),
+    FileRule("manifest", 1, name="^(" + "|".join(x.replace(".", r"\.") for x in MANIFESTS) + ")$"),
+    FileRule("deployment", 2, name=r"^dockerfile$|^docker-compose|^(vercel|netlify|render|railway|fly)\.", path=r"^\.github/workflows(/|$)", parts=("deploy", "deployment", "k8s", "kubernetes", "helm", "terraform")),
+    FileRule("documentation", 1, also="architecture|design|internals|overview", **_DOCS),
+    FileRule("documentation", 3, **_DOCS),
+    FileRule("auth", 2, path="auth|oauth|permission|authorization"),
+    FileRule("security", 2, path="security|threat|trust|attest|secret"),
+    FileRule("background_job", 3, path="job|queue|worker|inngest|scheduler|cron|background"),
+    FileRule("data_model", 3, path=r"schema|model|migration|prisma|drizzle|database|(^|/)db([./]|$)"),
+    FileRule("api", 4, path=r"api|route|router|controller|handler|endpoint|server[-_.]?action|(^|/)actions?([./]|$)"),
+    FileRule("configuration", 5, path=r"config|settings|\.env(?:\.example|\.sample)?$", endings=(".json", ".jsonc", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".conf")),
+    FileRule("entrypoint", 4, name=r"^(index|main|app|server|cli)\.[^/]+$", source=True),
+    FileRule("test", 8, path=r"\.(test|spec)\.[^.]+$", parts=("test", "tests", "__tests__", "spec")),
+    FileRule("source", 7, parts=("src", "app", "apps", "packages", "server", "client", "lib", "core"), source=True),
+)
+#: What a file's score gains (less is better) by its kind, the first pattern that fits its name or path: fixed values.
+PREFERENCES = {
+    "documentation": (
+        ("path", "architecture|design|internals|overview", -700),
+        ("path", "introduction|concepts?|core[-_. ]?model", -600),
+        ("path", "methodology|workflow|data[-_. ]?flow|control[-_. ]?flow", -550),
+        ("path", "plugins?|extensions?|custom[-_. ]?commands?", -525),
+        ("path", r"^docs?/(?:index|readme)\.(?:md|mdx)$", -500),
+        ("path", "usage|guide|getting[-_. ]?started", -350),
+        ("path", "contributing|code[-_. ]?of[-_. ]?conduct|changelog|release[-_. ]?notes", 700),
+    ),
+    "deployment": (
+        ("path", r"(^|/)dockerfile$|(^|/)docker-compose[^/]*$|(?:^|/)(?:deploy|deployment|k8s|kubernetes|helm|terraform)(?:/|$)", -600),
+        ("name", "publish|release|deploy", -350),
+        ("name", "test|mypy|ruff|lint|issue|dependabot", 700),
+    ),
+    "configuration": (("path", "dependabot|readthedocs", 500), ("path", "example|sample|default", -150)),
+    "source": (("name", r"^__init__\.[^/]+$|(?:^|[._-])index\.[^/]+$", 800), ("name", "base|types?|constants?", 150)),
+    "test": (("name", r"^__init__\.[^/]+$|(?:^|[._-])index\.[^/]+$", 800), ("name", "base|types?|constants?", 150)),
+    "auth": (("path", "auth|oauth|permission|authorization", -400), ("path", "", 300)),
+    "license": (("path", "^docs?/", -150),),
+}
+
+
 def _base(path: Column) -> Column:
     return F.lower(F.element_at(F.split(path, "/"), -1))
 
 
 def classify_path(path: Column) -> Column:
-    """struct<kind, priority> of a file by its path; null where it is of no use."""
+    """struct<kind, priority> of a file by its path; null where it is no text, written by a machine or of no use."""
     low, base = F.lower(path), _base(path)
-    source = low.rlike(r"\.(js|jsx|mjs|cjs|ts|tsx|py|go|rs|java|kt|rb|php|cs|swift|scala|c|h|cc|cpp|hpp)$")
-    inside = lambda names: low.rlike(rf"(^|/)({names})/")
-    of = lambda kind, priority: F.struct(F.lit(kind).alias("kind"), (priority if isinstance(priority, Column) else F.lit(priority)).alias("priority"))
-    skip = base.rlike(r"(\.min\.(js|css)$)|^(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|cargo\.lock|go\.sum)$")
-    rules = (
-        (base.rlike(r"^readme(\.[^.]+)?$"), of("readme", 0)),
-        (base.rlike(r"^(security|security-policy)(\.[^.]+)?$"), of("security", 0)),
-        (base.rlike(r"^(license|licence|copying)(\.[^.]+)?$"), of("license", 1)),
-        (base.isin(*MANIFESTS), of("manifest", 1)),
-        ((base == "dockerfile") | base.rlike(r"^(docker-compose|vercel\.|netlify\.|render\.|railway\.|fly\.)") | inside("deploy|deployment|k8s|kubernetes|helm|terraform") | low.rlike(r"^\.github/workflows/"), of("deployment", 2)),
-        (inside("docs|doc|documentation") | base.rlike(r"\.mdx?$"), of("documentation", F.when(low.rlike("architecture|design|internals|overview"), 1).otherwise(3))),
-        (low.rlike("auth|oauth|permission"), of("auth", 2)),
-        (low.rlike("security|threat|trust|attest|secret"), of("security", 2)),
-        (low.rlike("job|queue|worker|inngest|scheduler|cron|background"), of("background_job", 3)),
-        (low.rlike(r"schema|model|migration|prisma|drizzle|database|(^|/)db([./]|$)"), of("data_model", 3)),
-        (low.rlike(r"api|route|router|controller|handler|endpoint|server[-_.]?action|(^|/)actions?([./]|$)"), of("api", 4)),
-        (low.rlike(r"config|settings|\.env(\.example|\.sample)?$|\.(jsonc?|ya?ml|toml|ini|cfg|conf)$"), of("configuration", 5)),
-        (base.rlike(r"^(index|main|app|server|cli)\.[^/]+$") & source, of("entrypoint", 4)),
-        (inside("tests?|__tests__|spec") | base.rlike(r"\.(test|spec)\.[^.]+$"), of("test", 8)),
-        (source & inside("src|apps?|packages|server|client|lib|core"), of("source", 7)),
-    )
-    out = F.when(skip, F.lit(None))
-    for cond, value in rules:
-        out = out.when(cond, value)
-    return out
+    ending = F.regexp_extract(base, r"^.+(\.[^.]*)$", 1)
+    text = (base.isin(*TEXT_NAMES) | ending.isin(*TEXT_ENDINGS)) & ~base.isin(*LOCK_FILES) & ~base.rlike(r"\.min\.(js|css)$")
+    fitting = F.array(*(F.when(rule.fits(low, base, ending), F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.priority).alias("priority"))) for rule in FILE_RULES))
+    return F.when(text, F.get(F.array_compact(fitting), F.lit(0)))
 
 
 def low_signal(path: Column, kind: Column) -> Column:
     """Package markers and index files of sources and tests."""
-    return kind.isin("source", "test") & _base(path).rlike(r"^__init__\.[^/]+$|(^|[._-])index\.[^/]+$")
+    return kind.isin("source", "test") & _base(path).rlike(PREFERENCES["source"][0][1])
 
 
 def candidate_score(path: Column, kind: Column, priority: Column) -> Column:
-    """Lower is better: the priority, then what a path's words tell. Amounts: fixed values."""
-    low, base = F.lower(path), _base(path)
-    docs = (
-        F.when(low.rlike("architecture|design|internals|overview"), -700)
-        .when(low.rlike(r"introduction|concepts?|core[-_. ]?model"), -600)
-        .when(low.rlike(r"methodology|workflow|data[-_. ]?flow|control[-_. ]?flow"), -550)
-        .when(low.rlike(r"plugins?|extensions?|custom[-_. ]?commands?"), -525)
-        .when(low.rlike(r"^docs?/(index|readme)\.mdx?$"), -500)
-        .when(low.rlike(r"usage|guide|getting[-_. ]?started"), -350)
-        .when(low.rlike(r"contributing|code[-_. ]?of[-_. ]?conduct|changelog|release[-_. ]?notes"), 700)
-    )
-    deploy = (
-        F.when((base == "dockerfile") | F.startswith(base, F.lit("docker-compose")) | low.rlike(r"(^|/)(deploy|deployment|k8s|kubernetes|helm|terraform)(/|$)"), -600)
-        .when(base.rlike("publish|release|deploy"), -350)
-        .when(base.rlike("test|mypy|ruff|lint|issue|dependabot"), 700)
-    )
-    config = F.when(low.rlike("dependabot|readthedocs"), 500).when(low.rlike("example|sample|default"), -150)
-    code = F.when(low_signal(path, kind), 800).when(base.rlike("base|types?|constants?"), 150)
-    auth = F.when(low.rlike("auth|oauth|permission"), -400).otherwise(300)
-    license_ = F.when(low.rlike("^docs?/"), -150)
-    extra = (
-        F.when(kind == "documentation", docs)
-        .when(kind == "deployment", deploy)
-        .when(kind == "configuration", config)
-        .when(kind.isin("source", "test"), code)
-        .when(kind == "auth", auth)
-        .when(kind == "license", license_)
-    )
-    return priority * 1000 + F.coalesce(extra, F.lit(0))
+    """Lower is better: the priority, then what PREFERENCES say."""
+    seen = {"path": F.lower(path), "name": _base(path)}
+    gains = [F.when((kind == k) & seen[where].rlike(pattern), F.lit(gain)) for k, entries in PREFERENCES.items() for where, pattern, gain in entries]
+    return priority * 1000 + F.coalesce(*gains, F.lit(0))
 
 
-def pack(rows: list[dict], max_items: int = MAX_ITEMS, max_bytes: int = MAX_BYTES) -> list[dict]:
-    """The first pack of one repository; rows are sorted by score and path.
+def _offers(scored: DataFrame) -> DataFrame:
+    """(repo, turn, score, path, kind, bytes, most): when a file may be taken, and how many of its kind there may be then.
 
-    Quotas of kinds come first, then the best file of up to four mechanisms, then
-    deployment, then whatever is best and fits.
+    A file has a turn with its kind's quota, one as a mechanism if it is the best of such a
+    kind and among the best MECHANISM_FILES of these, and one at the end.
     """
-    taken: dict[str, dict] = {}
-    count: dict[str, int] = {}
-    used = 0
-
-    def offer(r: dict) -> None:
-        nonlocal used
-        kind = r["kind"]
-        if len(taken) < max_items and r["path"] not in taken and used + r["bytes"] <= max_bytes and count.get(kind, 0) < KIND_CAPS.get(kind, 1):
-            taken[r["path"]] = r
-            count[kind] = count.get(kind, 0) + 1
-            used += r["bytes"]
-
-    def fill(kind: str, quota: int) -> None:
-        for r in (r for r in rows if r["kind"] == kind):
-            if count.get(kind, 0) >= quota:
-                break
-            offer(r)
-
-    for kind, quota in QUOTAS:
-        fill(kind, quota)
-    best = {}
-    for r in rows:
-        best.setdefault(r["kind"], r)
-    for r in [r for r in rows if r["kind"] in MECHANISMS and best[r["kind"]] is r][:4]:
-        offer(r)
-    fill("deployment", 1)
-    for r in rows:
-        offer(r)
-    return [r for r in rows if r["path"] in taken]
+    last = len(QUOTAS) + 1 + len(LATE_QUOTAS)
+    caps = F.create_map(*(F.lit(x) for pair in KIND_CAPS.items() for x in pair))
+    cap = F.coalesce(F.try_element_at(caps, F.col("kind")), F.lit(1))
+    quotas = [*enumerate(QUOTAS), *enumerate(LATE_QUOTAS, len(QUOTAS) + 1)]
+    turns = [F.when(F.col("kind") == kind, F.struct(F.lit(turn).alias("turn"), F.least(F.lit(n), cap).alias("most"))) for turn, (kind, n) in quotas]
+    turns.append(F.struct(F.lit(last).alias("turn"), cap.alias("most")))
+    usual = scored.select("repo", "score", "path", "kind", "bytes", F.inline(F.array_compact(F.array(*turns))))
+    best = scored.where(F.col("kind").isin(*MECHANISMS)).groupBy("repo", "kind").agg(F.min(F.struct("score", "path", "bytes")).alias("x")).select("repo", "kind", "x.*")
+    # At most one row a mechanism is left of a repository here.
+    place = F.row_number().over(Window.partitionBy("repo").orderBy("score", "path"))
+    chosen = best.withColumn("n", place).where(F.col("n") <= MECHANISM_FILES)
+    names = ("repo", "turn", "score", "path", "kind", "bytes", "most")
+    return usual.select(*names).unionByName(chosen.withColumns({"turn": F.lit(len(QUOTAS)), "most": cap}).select(*names))
 
 
 def select_packs(candidates: DataFrame, max_items: int = MAX_ITEMS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(repo, path, kind, bytes, place) of each repository's first pack.
 
-    candidates: (repo, path, kind, priority, bytes). Files too large for any pack are left out
-    before repositories are dealt to tasks; the choice within one is sequential.
+    candidates: (repo, path, kind, priority, bytes). Files are offered in turns (quotas, mechanisms, late quotas, the
+    rest), within a turn by score and path; one is taken if its kind has room and its bytes fit. What
+    has been passed over never fits later, so the next file of a pack is the least offer after
+    the last one taken that fits now: one partial aggregate a round, at most max_items rounds for all
+    repositories together. What is kept between rounds is a row a repository.
     """
-    scored = candidates.where(~low_signal(F.col("path"), F.col("kind")) & F.col("bytes").between(0, max_bytes)).withColumn(
-        "score", candidate_score(F.col("path"), F.col("kind"), F.col("priority"))
-    )
-    schema = pa.schema([("repo", pa.string()), ("path", pa.string()), ("kind", pa.string()), ("bytes", pa.int64()), ("place", pa.int64())])
-
-    def choose(group: pa.Table) -> pa.Table:
-        rows = group.sort_by([("score", "ascending"), ("path", "ascending")]).to_pylist()
-        return pa.Table.from_pylist([{"repo": r["repo"], "path": r["path"], "kind": r["kind"], "bytes": r["bytes"], "place": k + 1} for k, r in enumerate(pack(rows, max_items, max_bytes))], schema=schema)
-
-    return scored.select("repo", "path", "kind", F.col("bytes").cast("long").alias("bytes"), F.col("score").cast("long").alias("score")).groupBy("repo").applyInArrow(
-        choose, "repo string, path string, kind string, bytes bigint, place bigint"
+    scored = candidates.where(~low_signal(F.col("path"), F.col("kind")) & F.col("bytes").between(0, max_bytes)).select(
+        "repo", "path", "kind", F.col("bytes").cast("long").alias("bytes"), candidate_score(F.col("path"), F.col("kind"), F.col("priority")).cast("long").alias("score")
     )
+    offers = checkpoint(_offers(scored))
+    order = ("turn", "score", "path")
+    nothing = "array<struct<turn:int,score:bigint,path:string,kind:string,bytes:bigint>>"
+    state = checkpoint(offers.select("repo").distinct().select("repo", F.array().cast(nothing).alias("pack")))
+    open_ = state
+    for _ in range(max_items):
+        after = F.struct(*(F.col(x) for x in order)) > F.struct(*(F.try_element_at("pack", F.lit(-1))[x].alias(x) for x in order))
+        of_kind = F.size(F.filter("pack", lambda p: p["kind"] == F.col("kind")))
+        used = F.reduce("pack", F.lit(0).cast("long"), lambda n, p: n + p["bytes"])
+        fits = ((F.size("pack") == 0) | after) & (of_kind < F.col("most")) & (used + F.col("bytes") <= max_bytes) & ~F.exists("pack", lambda p: p["path"] == F.col("path"))
+        found = offers.join(open_, "repo").where(fits).groupBy("repo").agg(F.min(F.struct(*order, "kind", "bytes")).alias("next"))
+        open_ = checkpoint(open_.join(found, "repo").select("repo", F.array_append("pack", F.col("next")).alias("pack")))
+        if open_.isEmpty():
+            break
+        state = checkpoint(state.join(open_.withColumnRenamed("pack", "_more"), "repo", "left").select("repo", F.coalesce("_more", "pack").alias("pack")))
+    packed = F.array_sort(F.transform("pack", lambda p: F.struct(p["score"].alias("score"), p["path"].alias("path"), p["kind"].alias("kind"), p["bytes"].alias("bytes"))))
+    each = state.select("repo", F.posexplode(packed).alias("at", "p"))
+    return each.select("repo", "p.path", "p.kind", "p.bytes", (F.col("at") + 1).cast("long").alias("place"))
 
 
 #: Bounds of a tree walk: fixed values.
@@ -193,16 +222,32 @@ def walk(children: dict[str, list[dict]], root: str, limits: dict[str, int] = WA
     return found, stops
 
 
+def reachable(trees: DataFrame, limits: dict[str, int] = WALK) -> DataFrame:
+    """The entries that a bounded walk could meet: those of folders that are deep at most `depth`, each among its parent's first.
+
+    A folder's children wait together, so of them only as many as trees may be read can be reached,
+    and of its entries only as many as the whole budget. One join a level, nothing by repository.
+    """
+    nth = lambda *by: F.row_number().over(Window.partitionBy("repo", "parent").orderBy(*by))
+    kept = trees.withColumn("_n", nth("path")).where(F.col("_n") <= limits["entries"] + 1)
+    kept = kept.withColumn("_k", nth(~F.col("is_folder"), "priority", "path")).withColumn("_open", F.col("is_folder") & (F.col("_k") <= limits["trees"])).drop("_n", "_k")
+    kept = checkpoint(kept)
+    level = kept.where("parent = ''")
+    out = level
+    for _ in range(limits["depth"]):
+        folders = level.where("_open").select("repo", F.col("path").alias("parent"))
+        level = kept.join(folders, ["repo", "parent"], "left_semi")
+        out = out.unionByName(level)
+    return out.drop("_open")
+
+
 def discover(trees: DataFrame, limits: dict[str, int] = WALK) -> DataFrame:
     """(repo, path, place, stops): the bounded walk of every repository's tree.
 
-    trees: (repo, parent, path, is_folder, priority), the root's path empty. A repository is
-    one task's group; more entries than the budget of a folder cannot be reached and are
-    left out before.
+    trees: (repo, parent, path, is_folder, priority), the root's path empty. Only what the walk's bounds
+    let it reach comes to a repository's task, whatever the size of its tree.
     """
     schema = pa.schema([("repo", pa.string()), ("path", pa.string()), ("place", pa.int64()), ("stops", pa.string())])
-    nth = F.row_number().over(Window.partitionBy("repo", "parent").orderBy("path"))
-    bounded = trees.withColumn("_n", nth).where(F.col("_n") <= limits["entries"] + 1).drop("_n")
 
     def run(group: pa.Table) -> pa.Table:
         children: dict[str, list[dict]] = {}
@@ -212,7 +257,7 @@ def discover(trees: DataFrame, limits: dict[str, int] = WALK) -> DataFrame:
         repo = group["repo"][0].as_py()
         return pa.Table.from_pylist([{"repo": repo, "path": p, "place": k + 1, "stops": ",".join(stops)} for k, p in enumerate(found)], schema=schema)
 
-    return bounded.groupBy("repo").applyInArrow(run, "repo string, path string, place bigint, stops string")
+    return reachable(trees, limits).groupBy("repo").applyInArrow(run, "repo string, path string, place bigint, stops string")
 
 
 def resolve_targets(cards: DataFrame, sources: DataFrame) -> DataFrame:
