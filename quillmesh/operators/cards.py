@@ -87,6 +87,11 @@ def document_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_fields() -> dict[str, Column]:
+    """A document card's searchable texts."""
+    return {"title": F.col("title"), "summary": F.col("summary"), "metadata": F.concat_ws(" ", "lang", "source", "status"), "body": F.col("body")}
+
+
 def summary_columns() -> list[Column]:
     """What a list of cards shows."""
     return [

@@ -107,22 +107,28 @@ def p05_tokenize(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.size("k").cast("long").alias("n_tokens"), F.sha2(F.array_join("k", " ").cast("binary"), 256).alias("tokens_hash"))
 
 
-@query(f"WITH {DOCS}, w AS (SELECT id, unnest({toks(norm('summary'))}) AS token FROM docs) SELECT id, token, count(*) AS n FROM w GROUP BY id, token")
+def _term_sql(field: str) -> str:
+    return f"SELECT token, '{field}' AS field, id, count(*) AS n FROM (SELECT id, unnest({toks(norm(field))}) AS token FROM docs) GROUP BY id, token"
+
+
+@query(f"WITH {DOCS} {' UNION ALL '.join(map(_term_sql, ('title', 'summary', 'body')))}")
 def p06_term_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = c.document_cards(spark, d).select("id", F.explode(tokens(F.col("summary"))).alias("token"))
-    return rows.groupBy("id", "token").agg(F.count(F.lit(1)).alias("n"))
+    """How often each token stands in each field of each document: the postings of the whole index."""
+    names = ("title", "summary", "body")
+    index = c.document_cards(spark, d).select("id", *(tokens(F.col(x)).alias(f"{x}_tokens") for x in names))
+    return search.postings(index, "id", names)
+
+
+_META = "concat_ws(' ', lang, source, status)"
 
 
 @query(
-    f"WITH {PARTS}, f AS (SELECT id, {norm('title')} AS a, {norm('summary')} AS b, {norm(chr(39)+chr(39)+' || concat_ws(chr(32), array_to_string(cats, chr(32)), array_to_string(tags, chr(32)), array_to_string(nav, chr(32)), array_to_string(acts, chr(32)), status)')} AS m FROM cards) "
-    f"SELECT id, m AS metadata, len({toks('b')}) AS summary_tokens, sha256(a || chr(1) || b || chr(1) || m) AS input_hash FROM f"
+    f"WITH {DOCS}, f AS (SELECT id, {norm('title')} AS a, {norm('summary')} AS b, {norm(_META)} AS m, {norm('body')} AS t FROM docs) "
+    f"SELECT id, m AS metadata, len({toks('b')}) AS summary_tokens, len({toks('t')}) AS body_tokens, sha256(a || chr(1) || b || chr(1) || m || chr(1) || t) AS input_hash FROM f"
 )
 def p07_search_document(spark: SparkSession, d: str) -> DataFrame:
-    from .build import card_fields
-
-    fields = {k: v for k, v in card_fields().items() if k != "body"}
-    index = search.index_documents(c.part_cards(spark, d), fields)
-    return index.select("id", F.col("metadata_text").alias("metadata"), F.size("summary_tokens").cast("long").alias("summary_tokens"), "input_hash")
+    index = search.index_documents(c.document_cards(spark, d), c.document_fields())
+    return index.select("id", F.col("metadata_text").alias("metadata"), *(F.size(f"{x}_tokens").cast("long").alias(f"{x}_tokens") for x in ("summary", "body")), "input_hash")
 
 
 _COMPACT = (
@@ -394,23 +400,50 @@ def f09_owned_changes(spark: SparkSession, d: str) -> DataFrame:
     return validate.owned_changes(before, after, "id", ["tags", "status", "categories"])
 
 
+#: Addresses and hosts of every rule's branch, with what is right for them.
+_HOSTS = (
+    ("https://a.example.org/x", True), ("http://A-b.Example.ORG:80/", True), ("https://a.example.org:443", True), ("https://a.example.org:8443/", False),
+    ("ftp://a.example.org/", False), ("https://u:p@a.example.org/", False), ("https://localhost/", False), ("https://db.internal/", False),
+    ("https://1.0.0.127.in-addr.arpa/", False), ("https://-a.example.org/", False), ("https://a-.example.org/", False), ("https://8.8.8.8/", False),
+    ("https://[2001:4860::1]/", False), ("https://printer.local/x", False), ("https://nas.lan/", False), ("https://a.home/", True), ("https://x.onion/y?z", True),
+    ("https://a.test/", False), ("https://a.invalid", False), ("https://a.example", False), ("//a.example.org/", False), ("https://a..b.org/", False),
+)
+_ADDRESSES = (
+    ("8.8.8.8", True), ("192.0.0.9", False), ("192.0.1.0", False), ("192.0.255.1", False), ("192.1.0.1", True), ("192.88.99.1", False), ("192.88.98.1", True),
+    ("198.20.0.1", True), ("198.51.100.7", False), ("203.0.113.1", False), ("203.0.114.1", True), ("256.1.1.1", False), ("01.2.3.4", False), ("1.2.3", False),
+    ("2606:4700::1111", True), ("2001:4860:4860::8888", True), ("2002:808:808::1", False), ("2001:0:1::1", False), ("2001::1", False), ("2001:10::1", False),
+    ("2001:20::1", False), ("2001:db8::1", False), ("2001:0db8::1", False), ("2001:DB8:1:2:3:4:5:6", False), ("::ffff:8.8.8.8", False), ("::1", False), ("fe80::1", False),
+    ("fc00::1", False), ("ff02::1", False), ("4000::1", False), ("3fff:ffff::1", True), ("2606:4700:1:2:3:4:5:6", True), ("2606:4700:1:2:3:4:5", False),
+    ("2606::1::2", False), ("2606:12345::1", False), ("2606:4700::1.2.3.4", True), ("2606:4700:", False), ("", False),
+)
+
+
+def _values(pairs: tuple) -> str:
+    return ", ".join(f"({k}, {right})" for k, (_, right) in enumerate(pairs))
+
+
 @query(
-    "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN false WHEN page_id % 7 = 0 THEN false WHEN page_id % 11 = 0 THEN false ELSE true END AS safe FROM pages"
+    f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN h.safe ELSE NOT regexp_matches(split_part(split_part(url, '://', 2), '/', 1), '(^|\\.)-|-(\\.|$|[?#:])') END AS safe "
+    f"FROM pages JOIN (VALUES {_values(_HOSTS)}) h(k, safe) ON k = page_id % {len(_HOSTS)}"
 )
 def f15_url_safety(spark: SparkSession, d: str) -> DataFrame:
-    k, url = F.col("page_id"), F.col("url")
-    given = F.when(k % 5 == 0, F.regexp_replace(url, "://", "://user:secret@")).when(k % 7 == 0, F.regexp_replace(url, "^https?", "ftp")).when(k % 11 == 0, F.lit("https://printer.local/x")).otherwise(url)
+    """Every second page's own url, and urls of every kind."""
+    k, made = F.col("page_id"), F.array(*(F.lit(url) for url, _ in _HOSTS))
+    given = F.when(k % 2 == 0, made[(k % len(_HOSTS)).cast("int")]).otherwise(F.col("url"))
     return table(spark, d, "pages").select("page_id", urls.is_safe_public(given).alias("safe"))
 
 
 @query(
-    "WITH a AS (SELECT event_id, event_id * 2654435761 % 256 AS p, event_id * 40503 % 256 AS q, event_id % 256 AS r FROM events) SELECT event_id, NOT (p IN (0, 10, 127) OR p >= 224 OR (p = 100 AND q BETWEEN 64 AND 127) "
-    "OR (p = 169 AND q = 254) OR (p = 172 AND q BETWEEN 16 AND 31) OR (p = 192 AND q = 168) OR (p = 192 AND q = 0 AND r IN (0, 2)) OR (p = 198 AND q IN (18, 19)) OR (p = 198 AND q = 51 AND r = 100) OR (p = 203 AND q = 0 AND r = 113)) AS public FROM a"
+    "WITH a AS (SELECT event_id, event_id * 2654435761 % 256 AS p, event_id * 40503 % 256 AS q, event_id % 256 AS r FROM events) SELECT event_id, CASE WHEN event_id % 3 = 0 THEN h.public ELSE NOT (p IN (0, 10, 127) OR p >= 224 OR (p = 100 AND q BETWEEN 64 AND 127) "
+    "OR (p = 169 AND q = 254) OR (p = 172 AND q BETWEEN 16 AND 31) OR (p = 192 AND q IN (0, 168)) OR (p = 192 AND q = 88 AND r = 99) OR (p = 198 AND q IN (18, 19)) OR (p = 198 AND q = 51 AND r = 100) OR (p = 203 AND q = 0 AND r = 113)) END AS public "
+    f"FROM a JOIN (VALUES {_values(_ADDRESSES)}) h(k, public) ON k = event_id % {len(_ADDRESSES)}"
 )
 def f16_public_address(spark: SparkSession, d: str) -> DataFrame:
-    e = F.col("event_id")
+    """Made-up IPv4 addresses, and addresses of every kind for every third event."""
+    e, made = F.col("event_id"), F.array(*(F.lit(address) for address, _ in _ADDRESSES))
     address = F.concat_ws(".", (e * 2654435761 % 256).cast("string"), (e * 40503 % 256).cast("string"), (e % 256).cast("string"), F.lit("7"))
-    return table(spark, d, "events").select("event_id", urls.is_public_address(address).alias("public"))
+    given = F.when(e % 3 == 0, made[(e % len(_ADDRESSES)).cast("int")]).otherwise(address)
+    return table(spark, d, "events").select("event_id", urls.is_public_address(given).alias("public"))
 
 
 @query("SELECT doc_id, doc_id % 15 IN (12, 13) AND doc_id % 4 = 0 AS low_signal FROM documents")

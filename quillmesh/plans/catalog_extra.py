@@ -211,13 +211,20 @@ def p31_bind(spark: SparkSession, d: str) -> DataFrame:
 def x13_post_urls(spark: SparkSession, d: str) -> DataFrame:
     k, id_ = F.col("page_id") % 5, F.col("page_id").cast("string")
     url = F.concat(F.when(k == 0, "https://www.threads.net/@Me/post/C").when(k == 1, "https://threads.com/share/S").when(k == 2, "https://threads.com/t/T").when(k == 3, "https://threads.com/@Me/").otherwise("https://example.org/t/"), id_, F.lit("?x=1"))
-    p = contracts.post_url(url)
+    p = urls.post_url(url)
     return table(spark, d, "pages").select("page_id", p["kind"].alias("kind"), p["token"].alias("token"), p["canonical"].alias("canonical"))
 
 
-@query("SELECT page_id, 'a<b & \"c\" ''d'' ' || page_id AS text FROM pages")
+#: Texts with entities and what they say.
+_ENTITIES = (
+    ("a&lt;b &amp;&nbsp;&quot;c&quot; &#39;d&apos;", "a<b & \"c\" 'd'"), ("&NDASH;&mdash;&hellip;&rsquo;&lsquo;&rdquo;&ldquo;&bull;&Copy;", "–—…’‘”“•©"), ("&amp;lt; &middot; &unknown;", "&lt; &middot; &unknown;"),
+    ("&#8364;&#x20AC;&#X1f600;", "€€😀"), ("a&#0;b&#xD800;c&#1114112;d&#99999999999999999999;", "a b c d "), ("no & entity; &; &#; &#x;", "no & entity; &; &#; &#x;"), ("&lt;&lt;", "<<"), ("", ""),
+)
+
+
+@query("SELECT page_id, e.text FROM pages JOIN (VALUES " + ", ".join("({}, '{}')".format(k, x.replace("'", "''")) for k, (_, x) in enumerate(_ENTITIES)) + f") e(k, text) ON k = page_id % {len(_ENTITIES)}")
 def x14_entities(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.lit("a&lt;b &amp;&nbsp;&quot;c&quot; &#39;d&apos; "), "page_id")
+    raw = F.array(*(F.lit(x) for x, _ in _ENTITIES))[(F.col("page_id") % len(_ENTITIES)).cast("int")]
     return table(spark, d, "pages").select("page_id", text.decode_entities(raw).alias("text"))
 
 

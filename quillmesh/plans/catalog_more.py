@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -13,9 +13,10 @@ from ..operators import concepts as con
 from ..operators import conversations as conv
 from ..operators import graph, ingest, reader, relations, release, search, validate, vectors
 from ..operators.cards import table
+from ..operators.rounds import checkpoint
 from ..streaming import incremental
 from .build import build_artifacts, publishable
-from .catalog import _POS, _POSTS, _SIM, DOCS, MEMBERS, PARTS, PROMOTED, TOKEN, _members, _vectors, fixed, norm, query, tokens, toks
+from .catalog import _META, _POS, _POSTS, _SIM, DOCS, MEMBERS, PARTS, PROMOTED, TOKEN, _members, _vectors, fixed, norm, query, tokens, toks
 
 #: The fixture vectors are far apart, so their similarities are stretched from this range.
 CONFIG = relations.Config().with_range(0.0, 0.5)
@@ -49,7 +50,7 @@ def j03_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 def _cards(spark: SparkSession, d: str) -> DataFrame:
     """All cards, with and without a vector; they are written once, as a build reads them many times."""
-    return c.part_cards(spark, d).checkpoint()
+    return checkpoint(c.part_cards(spark, d))
 
 
 def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -332,15 +333,17 @@ def _hit_sql(field: str) -> str:
 
 
 @query(
-    f"WITH {DOCS}, n AS (SELECT id, docs.title AS shown, {norm('docs.title')} AS title, {norm('docs.summary')} AS summary, {norm('docs.body')} AS body FROM docs), "
-    f"k AS (SELECT *, {toks('title')} AS title_k, {toks('summary')} AS summary_k, {toks('body')} AS body_k FROM n), "
-    f"s AS (SELECT id, shown, {_score_sql('title', 5)} + {_score_sql('summary', 3)} + {_score_sql('body', 1)} + CASE WHEN contains(title, '{_QUERY}') THEN 4 ELSE 0 END + CASE WHEN contains(summary, '{_QUERY}') THEN 2 ELSE 0 END AS x, "
-    f"concat_ws(',', {_hit_sql('title')}, {_hit_sql('summary')}, {_hit_sql('body')}) AS matched_fields FROM k) "
+    f"WITH {DOCS}, n AS (SELECT id, docs.title AS shown, {norm('docs.title')} AS title, {norm('docs.summary')} AS summary, {norm(_META)} AS metadata, {norm('docs.body')} AS body FROM docs), "
+    f"k AS (SELECT *, {toks('title')} AS title_k, {toks('summary')} AS summary_k, {toks('metadata')} AS metadata_k, {toks('body')} AS body_k FROM n), "
+    f"s AS (SELECT id, shown, {_score_sql('title', 5)} + {_score_sql('summary', 3)} + {_score_sql('metadata', 2)} + {_score_sql('body', 1)} + CASE WHEN contains(title, '{_QUERY}') THEN 4 ELSE 0 END + CASE WHEN contains(summary, '{_QUERY}') THEN 2 ELSE 0 END AS x, "
+    f"concat_ws(',', {_hit_sql('title')}, {_hit_sql('summary')}, {_hit_sql('metadata')}, {_hit_sql('body')}) AS matched_fields FROM k) "
     f"SELECT id, shown AS title, {fixed('x', 6)} AS score, matched_fields FROM s WHERE x > 0 ORDER BY {fixed('x', 6)} DESC, shown, id LIMIT 20"
 )
 def w01_search(spark: SparkSession, d: str) -> DataFrame:
-    index = search.index_documents(c.document_cards(spark, d), {x: F.col(x) for x in ("title", "summary", "body")})
-    return search.search(index, _QUERY, sorted(set(_QUERY.split())), 20, ("title", "summary", "body"))
+    """Search without a stored index: documents that cannot match are left out before they are normalised."""
+    fields, wanted = c.document_fields(), sorted(set(_QUERY.split()))
+    some = c.document_cards(spark, d).where(search.may_match(list(fields.values()), wanted))
+    return search.search(search.searchable(some, fields), _QUERY, wanted, 20)
 
 
 @query(f"WITH {_SIM} SELECT id, count(*) AS n, {fixed('sum(similarity)', 4)} AS total FROM n WHERE rank <= 12 GROUP BY id")
@@ -349,13 +352,32 @@ def w02_neighbor_totals(spark: SparkSession, d: str) -> DataFrame:
     return near.groupBy("id").agg(F.count(F.lit(1)).alias("n"), to_fixed(F.sum("similarity"), 4).alias("total"))
 
 
-@query()
+def _greedy_sql(edges: str, cap: int, name: str, order: str) -> str:
+    """The greedy choice in rounds, as recursion: rows of `edges` under the name `name`. Edges that were taken and undecided ones go on."""
+    return f"""{name}_o AS (SELECT *, row_number() OVER (ORDER BY {order}) AS o FROM {edges}),
+{name}_r(k, o, u, v, taken) AS (
+  SELECT 0, o, source, target, false FROM {name}_o
+  UNION ALL
+  SELECT k + 1, o, u, v, taken OR now FROM (
+    SELECT k, o, taken, any_value(u) AS u, any_value(v) AS v, bool_and(place + used <= {cap}) AS now, bool_or(used >= {cap}) AS filled FROM (
+      SELECT k, o, u, v, taken, x, row_number() OVER (PARTITION BY x, taken ORDER BY o) AS place, count(*) FILTER (WHERE taken) OVER (PARTITION BY x) AS used
+      FROM (SELECT *, unnest([u, v]) AS x FROM {name}_r)
+    ) GROUP BY k, o, taken
+  ) WHERE (taken OR NOT filled) AND (SELECT bool_or(NOT taken) FROM {name}_r)
+), {name} AS (SELECT * EXCLUDE (o) FROM {name}_o WHERE o IN (SELECT o FROM {name}_r WHERE taken))"""
+
+
+_FOUND = "found AS (SELECT * FROM pairs WHERE (taxonomy >= 0.08 OR coalesce(semantic >= 0.2, false)) AND combined >= 0.3)"
+_BEST = "combined DESC, source || '::' || target"
+
+
+@query(f"WITH RECURSIVE {PAIRS}, {_FOUND}, {_greedy_sql('found', 12, 'best', _BEST)} SELECT source, target, taxonomy, semantic, raw, combined FROM best")
 def w03_capped_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Candidates among all cards, under the cap."""
     return relations.capped(relations.candidates(_cards(spark, d), CONFIG), CONFIG.top_k)
 
 
-@query()
+@query(f"WITH RECURSIVE {_CO}, {_greedy_sql('rel', con.RELATION_TOP_K, 'best', 'weight DESC, support DESC, source || target')} SELECT source, target, support, weight FROM best")
 def w05_capped_concepts(spark: SparkSession, d: str) -> DataFrame:
     return con.concept_relations(_members(spark, d))
 
@@ -511,33 +533,89 @@ def u09_bundle_merge(spark: SparkSession, d: str) -> DataFrame:
 # Pages and urls
 
 
+#: Urls of every branch with their provider, kind, canonical form and identity (null: as the canonical form says).
+_SOURCES = (
+    ("https://www.GitHub.com/Some-Owner/Repo.git/tree/main?x=1#top", "github", "github", "https://github.com/Some-Owner/Repo", "github:some-owner/repo"),
+    ("http://github.com/a/b", "github", "github", "https://github.com/a/b", "github:a/b"),
+    ("https://github.com/only-owner", None, None, None, None),
+    ("https://github.com/a/b%20c", None, None, None, None),
+    ("https://www.threads.net/@Me/post/Ab1?x=1", "threads", "article", "https://threads.com/@Me/post/Ab1", "threads:Ab1"),
+    ("https://threads.com/share/S%201/", "threads", "article", "https://threads.com/share/S+1", None),
+    ("https://threads.com/t/T1", "threads", "article", "https://threads.com/t/T1", None),
+    ("https://threads.com/@Me/", None, None, None, None),
+    ("ftp://example.org/a", None, None, None, None),
+    ("not a url", None, None, None, None),
+    ("https://Example.ORG:8443/A/b//?b=2&a=1&b=1&UTM_Source=x&ref=y#z", "generic", "article", "https://example.org:8443/A/b?a=1&b=2&b=1&ref=y", ""),
+    ("HTTP://example.org:80", "generic", "article", "http://example.org/", ""),
+    ("https://example.org:443/?fbclid=1&ref_url=2&Ref_Src=3&gclid=4&mc_cid=5&mc_eid=6", "generic", "article", "https://example.org/", ""),
+    ("https://example.org/a?igshid=1&q=a%20b&flag", "generic", "article", "https://example.org/a?flag=&igshid=1&q=a+b", ""),
+    ("https://export.arxiv.org/abs/1", "generic", "paper", "https://export.arxiv.org/abs/1", ""),
+    ("https://youtu.be/x", "generic", "video", "https://youtu.be/x", ""),
+    ("https://m.youtube.com/x", "generic", "article", "https://m.youtube.com/x", ""),
+    ("https://docs.example.org/x/", "generic", "documentation", "https://docs.example.org/x", ""),
+    ("https://example.org/en/Docs/1", "generic", "documentation", "https://example.org/en/Docs/1", ""),
+    ("https://u:p@example.org/x", "generic", "article", "https://u:p@example.org/x", ""),
+)
+
+
+def _text_sql(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+def _sources_sql(*columns: int) -> str:
+    rows = ((k, *(x[c] for c in columns)) for k, x in enumerate(_SOURCES))
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else _text_sql(x) for x in row) + ")" for row in rows)
+
+
+_OWN_URL = (
+    "regexp_extract(url, '^([a-z]+)://', 1) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || coalesce(nullif(regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', ''), ''), '/') || "
+    "coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&'), ''), '')"
+)
+
+
+def _given_url() -> Column:
+    """The page's own url, and made-up ones for every second page."""
+    made = F.array(*(F.lit(x[0]) for x in _SOURCES))
+    return F.when(F.col("page_id") % 2 == 0, made[(F.col("page_id") / 2 % len(_SOURCES)).cast("int")]).otherwise(F.col("url"))
+
+
+_MADE = "CAST(page_id // 2 % {n} AS INTEGER)".format(n=len(_SOURCES))
+
+
 @query(
-    "WITH p AS (SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') AS path, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages), "
-    "k AS (SELECT *, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_') AND NOT starts_with(x, 'ref='))) AS kept FROM p) "
-    "SELECT page_id, scheme || '://' || lower(host) || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical FROM k"
+    f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN m.canonical ELSE {_OWN_URL} END AS canonical, CASE WHEN page_id % 2 = 1 THEN 'generic' ELSE m.provider END AS provider, "
+    f"CASE WHEN page_id % 2 = 1 THEN 'url:' || {_OWN_URL} WHEN m.identity = '' THEN 'url:' || m.canonical ELSE m.identity END AS identity FROM pages JOIN (VALUES {_sources_sql(1, 3, 4)}) m(k, provider, canonical, identity) ON m.k = {_MADE}"
 )
 def x11_canonical_url(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical"))
+    rows = table(spark, d, "pages").select("page_id", urls.source_identity(_given_url()).alias("s"))
+    return rows.select("page_id", "s.canonical", "s.provider", "s.identity")
 
 
-@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'paper' WHEN 1 THEN 'video' WHEN 2 THEN 'documentation' ELSE 'article' END AS kind FROM pages")
+@query(f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN m.kind ELSE 'article' END AS kind FROM pages JOIN (VALUES {_sources_sql(2)}) m(k, kind) ON m.k = {_MADE}")
 def x12_source_type(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("page_id") % 4
-    url = F.when(k == 0, F.lit("https://www.arxiv.org/abs/1")).when(k == 1, F.lit("https://youtu.be/x")).when(k == 2, F.concat(F.lit("https://x.org/docs/"), "page_id")).otherwise(F.col("url"))
-    return table(spark, d, "pages").select("page_id", urls.source_type(url).alias("kind"))
+    return table(spark, d, "pages").select("page_id", urls.source_identity(_given_url())["source_type"].alias("kind"))
+
+
+_NAMED = " ".join(f"WHEN '{k}' THEN {_text_sql(v)}" for k, v in t.ENTITIES.items())
+_ENTITY_SQL = "(?i)&(?:#x[0-9a-f]+|#[0-9]+|[a-z]+);"
+
+
+def decoded_sql(x: str) -> str:
+    """Entities of x decoded once: the parts between them and what each stands for, put together again."""
+    one = f"CASE WHEN e ILIKE '&#%' THEN ' ' ELSE coalesce(CASE lower(e[2:-2]) {_NAMED} END, e) END"
+    return f"array_to_string(list_transform(list_zip(string_split_regex({x}, '{_ENTITY_SQL}'), list_transform(regexp_extract_all({x}, '{_ENTITY_SQL}'), lambda e: {one})), lambda p: p[1] || coalesce(p[2], '')), '')"
 
 
-_ENT = "replace(replace(replace(replace(replace(replace(replace({x}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&')"
 _PLAIN = (
-    "regexp_replace(regexp_replace(regexp_replace(" + _ENT.format(x="regexp_replace(regexp_replace({m}, '(?i)</?(?:br|hr)\\b[^>]*>|</(?:h[1-6]|p|div|li|section|article|main|pre|tr|table|blockquote)>', chr(10), 'g'), '<[^>]+>', ' ', 'g')")
-    + ", '[\\t\\r \\x{{00a0}}]+', ' ', 'g'), ' *\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
+    "array_to_string(list_filter(list_transform(string_split_regex(" + decoded_sql("regexp_replace(regexp_replace({m}, '(?i)</?(?:br|hr)\\b[^>]*>|</(?:h[1-6]|p|div|li|section|article|main|pre|tr|table|blockquote)>', chr(10), 'g'), '<[^>]+>', ' ', 'g')")
+    + ", '\r?\n'), lambda x: regexp_replace(regexp_replace(x, '[\\t \\x{{00a0}}]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10))"
 )
 
 
 def _cleaned() -> str:
     out = "regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
-    for tag in t.ASIDE:
-        out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
+    for group in map("|".join, t.ASIDE):
+        out = f"regexp_replace({out}, '(?is)<(?:{group})\\b[^>]*>.*?</(?:{group})\\s*>', ' ', 'g')"
     return out
 
 
@@ -569,17 +647,23 @@ def x18_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.when(F.date_format(good, "yyyy-MM-dd") == raw, raw).alias("day"))
 
 
-_FILES = ("README.md", "LICENSE", "package.json", "Dockerfile", "docs/architecture.md", "src/auth/token.ts", "src/queue.py", "db/schema.sql", "src/routes/a.go", "config.yaml", "src/main.rs", "tests/a_test.py", "src/core/x.py", "yarn.lock", "img.png")
-_FILE_KINDS = (("readme", 0), ("license", 1), ("manifest", 1), ("deployment", 2), ("documentation", 1), ("auth", 2), ("background_job", 3), ("data_model", 3), ("api", 4), ("configuration", 5), ("entrypoint", 4), ("test", 8), ("source", 7), (None, None), (None, None))
+#: Files of every rule, and files that no rule takes, with kind and priority.
+_FILES = (
+    ("README.md", "readme", 0), ("a/readme", None, None), ("SECURITY.md", "security", 0), ("LICENSE", "license", 1), ("COPYING", "license", 1), ("LICENCE.txt", "license", 1), ("LICENCE", None, None),
+    ("package.json", "manifest", 1), ("x/Gemfile", "manifest", 1), ("Dockerfile", "deployment", 2), ("docker-compose.yml", "deployment", 2), ("fly.toml", "deployment", 2),
+    (".github/workflows/ci.yml", "deployment", 2), ("x/.github/workflows/ci.yml", "configuration", 5), ("k8s/a.yaml", "deployment", 2), ("docs/architecture.md", "documentation", 1),
+    ("docs/logo.png", None, None), ("notes.mdx", "documentation", 3), ("doc/conf.py", "documentation", 3), ("src/auth/token.ts", "auth", 2), ("src/secrets.py", "security", 2), ("src/queue.py", "background_job", 3),
+    ("db/a.sql", "data_model", 3), ("src/routes/a.go", "api", 4), ("src/api/a.bin", None, None), ("src/server-action.ts", "api", 4), ("config.yaml", "configuration", 5), ("x.ini", "configuration", 5),
+    (".env", None, None), ("prod.env", "configuration", 5), ("src/main.rs", "entrypoint", 4), ("main.txt", None, None), ("tests/a_test.py", "test", 8), ("src/a.spec.ts", "test", 8), ("src/core/x.py", "source", 7), ("x.py", None, None),
+    ("lib/a.kts", "source", 7), ("lib/a.scala", None, None), ("yarn.lock", None, None), ("bun.lockb", None, None), ("src/x.min.js", None, None), ("img.png", None, None), ("Makefile", None, None), ("src/a.", None, None),
+)
 
 
 @query(
-    "SELECT doc_id, k.kind, k.priority FROM documents JOIN (VALUES "
-    + ", ".join(f"({i}, {'NULL' if kind is None else chr(39) + kind + chr(39)}, {'NULL' if p is None else p})" for i, (kind, p) in enumerate(_FILE_KINDS))
-    + ") k(i, kind, priority) ON k.i = doc_id % 15"
+    "SELECT doc_id, k.kind, CAST(k.priority AS INTEGER) AS priority FROM documents JOIN (VALUES " + ", ".join(f"({i}, {_text_sql(kind)}, {'NULL' if p is None else p})" for i, (_, kind, p) in enumerate(_FILES)) + f") k(i, kind, priority) ON k.i = doc_id % {len(_FILES)}"
 )
 def x19_classify_files(spark: SparkSession, d: str) -> DataFrame:
-    path = F.get(F.array(*map(F.lit, _FILES)), (F.col("doc_id") % 15).cast("int"))
+    path = F.get(F.array(*(F.lit(x[0]) for x in _FILES)), (F.col("doc_id") % len(_FILES)).cast("int"))
     k = ingest.classify_path(path)
     return table(spark, d, "documents").select("doc_id", k["kind"].alias("kind"), k["priority"].alias("priority"))
 
@@ -639,11 +723,17 @@ def r10_graph(spark: SparkSession, d: str) -> DataFrame:
     return build_artifacts(_cards(spark, d), CONFIG, PROMOTED)["edges"]
 
 
-@query("SELECT 'x' AS key, 'x' AS code WHERE false")
+@query(
+    f"WITH {PARTS} SELECT id AS key, 'vectors_missing' AS code FROM cards WHERE vector IS NULL OR ord % 10 = 3 UNION ALL SELECT id, 'vector_dimensions' FROM cards WHERE vector IS NOT NULL AND ord % 10 = 4 "
+    "UNION ALL SELECT id, 'search_repeats' FROM cards WHERE ord % 10 = 5 UNION ALL SELECT id, 'search_missing' FROM cards WHERE ord % 10 = 6 UNION ALL SELECT 'gone-' || id, 'search_unknown_card' FROM cards WHERE ord % 10 = 7"
+)
 def f14_artifact_issues(spark: SparkSession, d: str) -> DataFrame:
-    """Issues of a whole build over the cards with vectors, of which the artifacts need one a card: there are none."""
-    cards = c.part_cards(spark, d).where("vector is not null").checkpoint()
-    return publishable(build_artifacts(cards, CONFIG, PROMOTED), cards, 64)
+    """Issues of the artifacts of all cards, made faulty on purpose: each card needs one vector and one search entry."""
+    cards, k = _cards(spark, d), F.col("ord") % 10
+    made = build_artifacts(cards.where("ord < 300"), CONFIG, PROMOTED)
+    entries = cards.where(k != 6).select(F.when(k == 7, F.array("id", F.concat(F.lit("gone-"), "id"))).when(k == 5, F.array("id", "id")).otherwise(F.array("id")).alias("x"))
+    vectors_ = cards.where((k != 3) & F.col("vector").isNotNull()).select("id", F.when(k == 4, F.slice("vector", 1, 3)).otherwise(F.col("vector")).alias("vector"))
+    return publishable(made | {"search": entries.select(F.explode("x").alias("id")), "vectors": vectors_}, cards, 64)
 
 
 @query(f"WITH {DOCS}, f AS (SELECT id, ord, title, ord % 7 = 0 AS new, ord % 5 = 0 AS changed, ord % 3 = 0 AS seen FROM docs) SELECT id, CASE WHEN changed AND seen THEN title || '!' ELSE title END AS title, CASE WHEN new THEN '2024-06-01' ELSE '2024-01-01' END AS created_at, CASE WHEN new OR (seen AND changed) THEN '2024-06-01' ELSE '2024-01-01' END AS updated_at, CASE WHEN new THEN 'created' WHEN NOT seen THEN 'kept' WHEN changed THEN 'updated' ELSE 'checked' END AS action FROM f WHERE seen OR NOT new")
