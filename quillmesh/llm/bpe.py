@@ -15,9 +15,8 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +29,10 @@ from .common import small_batches
 
 #: Characters handled at once; a longer text is cut before white space.
 CHUNK_CHARS = 1 << 19
-#: Merged pre-tokens that a worker remembers from batch to batch.
-MEMO = 200_000
-#: Pre-tokens whose first pairs are looked up together.
-MERGE_AT_ONCE = 10_000
+#: Pre-tokens up to these many bytes are merged together, by rows of at most so many cells.
+WIDTHS, CELLS_AT_ONCE = (8, 16, 32, 64), 1 << 17
+#: Above every rank and every heap entry of a row.
+NO_PAIR = np.int64(1 << 62)
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
@@ -102,66 +101,111 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.tokens, self.hash = list(ranks), PerfectHash(list(ranks))
         self.rank_of = np.fromiter(ranks.values(), np.int64, len(ranks))
-        self._late()
-
-    def _late(self) -> None:
-        self.ranks = dict(zip(self.tokens, self.rank_of.tolist(), strict=True))
-        self.keys = {token: rank << 32 for token, rank in self.ranks.items()}
-        by_rank: list[bytes | None] = [None] * (max(self.ranks.values(), default=-1) + 1)
-        for token, rank in self.ranks.items():
-            by_rank[rank] = token
-        self.by_rank, self.memo = pa.array(by_rank, pa.binary()), {}
-        self.one, self.two = np.full(256, -1, np.int64), np.full(1 << 16, -1, np.int64)
-        for token, rank in self.ranks.items():
+        #: Every two tokens that make a token, as one number, in an open hash table; and that token's rank.
+        self.span = max(ranks.values(), default=0) + 1
+        found = [
+            (left * self.span + right, rank)
+            for token, rank in ranks.items()
+            for k in range(1, len(token))
+            if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None
+        ]
+        self._fill(np.array(found, np.int64).reshape(-1, 2))
+        self.one = np.full(256, -1, np.int64)
+        for token, rank in ranks.items():
             if len(token) == 1:
                 self.one[token[0]] = rank
-            elif len(token) == 2:
-                self.two[token[0] << 8 | token[1]] = rank
-        self.single = [(x,) for x in self.rank_of.tolist()]
-
-    def __getstate__(self) -> tuple:
-        return self.tokens, self.hash, self.rank_of
-
-    def __setstate__(self, state: tuple) -> None:
-        self.tokens, self.hash, self.rank_of = state
-        self._late()
-
-    def resolve(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of each pre-token."""
-        out, memo, tokens, single = [], self.memo, self.tokens, self.single
-        misses = []
-        for piece, key in zip(pieces, self.hash.find(pieces).tolist(), strict=True):
-            ids = single[key] if tokens[key] == piece else memo.get(piece)
-            if ids is None:
-                misses.append((len(out), piece))
-            out.append(ids)
-        for at in range(0, len(misses), MERGE_AT_ONCE):
-            part = misses[at : at + MERGE_AT_ONCE]
-            for (k, piece), ids in zip(part, self._merged([p for _, p in part]), strict=True):
-                out[k] = ids
-                if len(piece) <= 64 and len(memo) < MEMO:
-                    memo[piece] = ids
-        if len(memo) >= MEMO:
-            memo.clear()
+        self._keys = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_keys": None}
+
+    @property
+    def keys(self) -> dict[bytes, int]:
+        """rank << 32 of each token; only long pre-tokens need it."""
+        if self._keys is None:
+            self._keys = {token: rank << 32 for token, rank in zip(self.tokens, self.rank_of.tolist(), strict=True)}
+        return self._keys
+
+    @cached_property
+    def by_rank(self) -> pa.Array:
+        """The bytes of each id; null where there is none."""
+        out: list[bytes | None] = [None] * self.span
+        for token, rank in zip(self.tokens, self.rank_of.tolist(), strict=True):
+            out[rank] = token
+        return pa.array(out, pa.binary())
+
+    def _fill(self, found: np.ndarray) -> None:
+        """Put every pair into the first free slot from its own on."""
+        self.slots = 1 << int(4 * len(found) + 1).bit_length()
+        self.pair, self.pair_rank = np.full(self.slots, -1, np.int64), np.full(self.slots, NO_PAIR)
+        at = self._slot(found[:, 0])
+        while len(found):
+            free = self.pair[at] < 0
+            self.pair[at[free]] = found[free, 0]  # of several the last one stays
+            mine = self.pair[at] == found[:, 0]
+            self.pair_rank[at[mine]] = found[mine, 1]
+            found, at = found[~mine], (at[~mine] + 1) % self.slots
+
+    def _slot(self, pair: np.ndarray) -> np.ndarray:
+        mixed = pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(65 - self.slots.bit_length())).astype(np.int64)
+
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each two ids put together, NO_PAIR where they make no token."""
+        pair = left * self.span + right
+        at = self._slot(pair)
+        held = self.pair[at]
+        out = np.where(held == pair, self.pair_rank[at], NO_PAIR)
+        rest = np.flatnonzero((held != pair) & (held >= 0))
+        at = at[rest]
+        while len(rest):
+            at = (at + 1) % self.slots
+            held, sought = self.pair[at], pair[rest]
+            out[rest] = np.where(held == sought, self.pair_rank[at], NO_PAIR)
+            more = (held != sought) & (held >= 0)
+            rest, at = rest[more], at[more]
         return out
 
-    def _merged(self, pieces: list[bytes]) -> Iterator[tuple[int, ...]]:
-        """Merge pieces one by one; their bytes' ids and first pairs are looked up for all together."""
+    def resolve(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pre-tokens in a row, and how many each has."""
+        key, tokens = self.hash.find(pieces), self.tokens
+        known = np.fromiter((tokens[k] == p for k, p in zip(key.tolist(), pieces, strict=True)), bool, len(pieces))
+        missing = np.flatnonzero(~known)
+        ids, size = self.merged([pieces[k] for k in missing.tolist()])
+        sizes = np.ones(len(pieces), np.int64)
+        sizes[missing] = size
+        out = np.zeros(int(sizes.sum()), np.int32)
+        begin = np.cumsum(sizes) - sizes
+        out[begin[known]] = self.rank_of[key[known]]
+        out[np.repeat(begin[missing] - (np.cumsum(size) - size), size) + np.arange(len(ids))] = ids
+        return out, sizes
+
+    def merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces that are no vocabulary entries, in a row, and how many each has.
+
+        Pieces of like length are merged together; see merge_rows(). Long ones are merged one by one.
+        """
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
         data = np.frombuffer(b"".join(pieces), np.uint8)
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        stop = np.cumsum(size)
-        pairs = np.full(len(data), -1, np.int64)
-        pairs[:-1] = self.two[data[:-1].astype(np.int64) << 8 | data[1:]]
-        pairs[stop - 1] = -1
-        place = np.arange(len(data)) - np.repeat(stop - size, size)
-        pairs = np.where(pairs >= 0, pairs << 32 | place, -1).tolist()
-        ids = self.one[data]
-        if len(ids) and ids.min() < 0:
+        if len(data) and self.one[np.flatnonzero(np.bincount(data, minlength=256))].min() < 0:
             raise ValueError("the vocabulary lacks a byte")
-        ids, low = ids.tolist(), 0
-        for piece, high in zip(pieces, stop.tolist(), strict=True):
-            yield merge(piece, [*pairs[low:high], -1], ids[low:high], self.keys)
-            low = high
+        begin, parts, shorter = np.cumsum(length) - length, [], 0
+        for width in WIDTHS:
+            like = np.flatnonzero((length > shorter) & (length <= width))
+            shorter, rows = width, max(1, CELLS_AT_ONCE // width)
+            for at in range(0, len(like), rows):
+                some = like[at : at + rows]
+                parts.append((some, *merge_rows(data, begin[some], length[some], width, self)))
+        for k in np.flatnonzero(length > shorter).tolist():
+            ids = merge(pieces[k], self)
+            parts.append((np.array([k]), np.array(ids, np.int32), np.array([len(ids)])))
+        sizes = np.zeros(len(pieces), np.int64)
+        for some, _, size in parts:
+            sizes[some] = size
+        start, out = np.cumsum(sizes) - sizes, np.zeros(int(sizes.sum()), np.int32)
+        for some, ids, size in parts:
+            out[np.repeat(start[some] - (np.cumsum(size) - size), size) + np.arange(len(ids))] = ids
+        return out, sizes
 
 
 @lru_cache(maxsize=4)
@@ -169,17 +213,77 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(load_ranks(path))
 
 
-def merge(piece: bytes, pairs: list[int], ids: list[int], keys: dict[bytes, int]) -> tuple[int, ...]:
-    """Merge the pair of lowest rank, the leftmost of equals, until none has a rank.
+def merge_rows(data: np.ndarray, begin: np.ndarray, length: np.ndarray, width: int, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Merge pieces of at most `width` bytes (a power of two), a row each, in step; (ids in a row, how many each piece has).
 
-    Spans are a linked list over the bytes: `end[i]` is where the span that starts at i
-    ends, `before[i]` where the span before it starts, ids[i] its id. pairs[i] is the heap's
-    valid entry for the pair that starts at i (rank << 32 | i, or -1); others are passed over.
-    keys: ranks << 32. Both lists are changed.
+    Spans are a linked list over a row's bytes: `end` is where the span that starts at a byte
+    ends, `before` where the span before it starts. The pairs of a row are the leaves of its heap, a
+    binary tree in which a parent is the lesser of its two children, so the root is the pair of
+    lowest rank, the leftmost of equals. A merge changes three leaves and what is above them.
     """
-    n = len(piece)
-    get = keys.get
-    end, before = list(range(1, n + 2)), list(range(-1, n))
+    n, place = len(begin), np.arange(width)
+    inside = place < length[:, None]
+    ids = vocab.one[data[np.where(inside, begin[:, None] + place, 0)]].ravel()
+    end = np.tile(place + 1, n)
+    before = np.tile(np.arange(-1, width), n)
+    starts = inside.ravel().copy()
+    tree = np.full((n, 2 * width), NO_PAIR)
+    followed = np.flatnonzero((place + 1 < length[:, None]).ravel())
+    rank = vocab.pair_ranks(ids[followed], ids[followed + 1])
+    leaf = np.full(n * width, NO_PAIR)
+    leaf[followed] = np.where(rank < NO_PAIR, rank << 8 | followed % width, NO_PAIR)
+    tree[:, width:] = leaf.reshape(n, width)
+    level = width // 2
+    while level:
+        np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2], out=tree[:, level : 2 * level])
+        level //= 2
+    tree = tree.ravel()
+    live = np.arange(n)
+
+    def pair_key(left: np.ndarray, right: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The leaf of the pair of spans that start at `left` and `right`."""
+        rank = vocab.pair_ranks(ids[row * width + left], ids[row * width + right])
+        return np.where(rank < NO_PAIR, rank << 8 | left, NO_PAIR)
+
+    while True:
+        root = tree[live * (2 * width) + 1]
+        some = root < NO_PAIR
+        live, root = live[some], root[some]
+        if not len(live):
+            break
+        row, heap = live * width, live * (2 * width)
+        i = root & 255
+        middle = end[row + i]
+        stop = end[row + middle]
+        ids[row + i] = root >> 8
+        end[row + i] = stop
+        starts[row + middle] = False
+        tree[heap + width + middle] = NO_PAIR
+        tree[heap + width + i] = NO_PAIR
+        on = stop < length[live]
+        before[live[on] * (width + 1) + stop[on]] = i[on]
+        tree[heap[on] + width + i[on]] = pair_key(i[on], stop[on], live[on])
+        j = before[live * (width + 1) + i]
+        back = j >= 0
+        tree[heap[back] + width + j[back]] = pair_key(j[back], i[back], live[back])
+        base = np.concatenate([heap, heap, heap[back]])
+        node = np.concatenate([i, middle, j[back]]) + width
+        while (node := node >> 1)[0]:
+            at = base + 2 * node
+            tree[base + node] = np.minimum(tree[at], tree[at + 1])
+    return ids[starts].astype(np.int32), starts.reshape(n, width).sum(axis=1)
+
+
+def merge(piece: bytes, vocab: Vocabulary) -> list[int]:
+    """Merge one piece of any length: linked spans as in merge_rows(), and a heap of entries rank << 32 | start.
+
+    An entry that is no longer its start's valid one is passed over.
+    """
+    n, get = len(piece), vocab.keys.get
+    ids = vocab.one[np.frombuffer(piece, np.uint8)]
+    rank = vocab.pair_ranks(ids[:-1], ids[1:])
+    pairs = [*np.where(rank < NO_PAIR, rank << 32 | np.arange(n - 1), -1).tolist(), -1]
+    ids, end, before = ids.tolist(), list(range(1, n + 2)), list(range(-1, n))
     heap = [x for x in pairs if x >= 0]
     heapify(heap)
     while heap:
@@ -207,7 +311,7 @@ def merge(piece: bytes, pairs: list[int], ids: list[int], keys: dict[bytes, int]
     while i < n:
         out.append(ids[i])
         i = end[i]
-    return tuple(out)
+    return out
 
 
 @lru_cache(maxsize=1)
@@ -264,7 +368,8 @@ def boundaries(chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return cut
 
 
-_SAFE = re.compile(r"(?<=\S)[ \n]")
+#: White space after anything else, and changes of class within ASCII for texts without white space.
+_SAFE = re.compile(r"(?<=\S)[ \n]|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9.,;:/=&_+-])(?=[A-Za-z])|(?<=[A-Za-z0-9])(?=[.,;:/=&_+-])")
 
 
 def segments(text: str, limit: int = CHUNK_CHARS) -> Iterator[str]:
@@ -332,10 +437,8 @@ def _encode_some(parts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.nd
     begin = np.flatnonzero(boundaries(chars, part_end - part_size))
     code, first = number_pieces(chars, begin, np.diff(begin, append=len(chars)))
     stop = np.append(begin[1:], len(chars))[first]
-    ids = vocab.resolve([whole[a:b].encode() for a, b in zip(begin[first].tolist(), stop.tolist(), strict=True)])
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat, size = vocab.resolve([whole[a:b].encode() for a, b in zip(begin[first].tolist(), stop.tolist(), strict=True)])
     start = np.cumsum(size) - size
-    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
     each = size[code]
     until = np.concatenate([[0], np.cumsum(each)])
     spread = np.repeat(start[code] - until[:-1], each) + np.arange(until[-1])
@@ -384,9 +487,15 @@ def decode_ids(lists: pa.Array, vocab: Vocabulary) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32)), data])
 
 
+@lru_cache(maxsize=4)
+def _shared(application: str, path: str):
+    """One broadcast of a vocabulary for all encodings and decodings of an application."""
+    return SparkSession.getActiveSession().sparkContext.broadcast(vocabulary(path))
+
+
 def _broadcast(spark: SparkSession, path: str):
     small_batches(spark)
-    return spark.sparkContext.broadcast(vocabulary(path))
+    return _shared(spark.sparkContext.applicationId, path)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "token_ids") -> DataFrame:

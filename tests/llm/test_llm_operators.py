@@ -37,7 +37,7 @@ def vocab():
 def reference(vocab):
     import public_tokenizers
 
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab.ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(tokenizer_path()), special_tokens={})
 
 
 def documents(spark):
