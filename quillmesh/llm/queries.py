@@ -66,7 +66,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(
-        "doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken")
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 
@@ -98,6 +98,10 @@ def queries() -> dict:
 _KNOWN = ", ".join(f"('{k}', '{v}')" for k, v in licenses.SENTENCES.items())
 
 
+#: Licences in the order of the first rule that names them.
+_ORDER = str(list(dict.fromkeys(r.license for r in licenses.RULES)))
+
+
 def _license_sql() -> str:
     """Rules are tried one after another on the bracketed identifiers, as nested replacements."""
     rest, cases = "ids", []
@@ -105,20 +109,32 @@ def _license_sql() -> str:
         pattern = "".join(f"<{x}>" for x in rule.sequence)
         cases.append(f"CASE WHEN contains({rest}, '{pattern}') THEN '{rule.license}' END")
         rest = f"replace({rest}, '{pattern}', '|')"
+    key = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
     return f"""
-WITH parts AS (
-  SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) - 1 AS nr
-  FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '[.;!?]*[\\n\\r]+|[.;!?]+(?:[ \\t\\f]|\\z)') AS p FROM documents)
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+marked AS (
+  SELECT doc_id, string_split(regexp_replace(regexp_replace(replace(text, chr(1), ' '), '([.;!?]+)([ \\t\\f\\r\\n]|\\z)', '\\1' || chr(1) || '\\2', 'g'),
+    '(\\n[ \\t\\r*/#;-]*)(\\n)', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS p FROM t
+), parts AS (
+  SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS nr FROM marked
+), placed AS (
+  SELECT doc_id, part, nr, coalesce(sum(len(string_split(part, chr(10))) - 1) OVER (PARTITION BY doc_id ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM parts
+), units AS (
+  SELECT doc_id, CAST(line + len(string_split(regexp_extract(part, '^[^A-Za-z0-9]*', 0), chr(10))) - 1 AS BIGINT) AS pos, nr, {key.format(x="part")} AS key FROM placed
+  UNION ALL
+  SELECT doc_id, pos, -1, {key.format(x="part")} FROM (SELECT doc_id, unnest(l) AS part, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM t))
 ), found AS (
-  SELECT doc_id, nr, k.id
-  FROM parts JOIN (VALUES {_KNOWN}) k(sentence, id)
-    ON trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) = k.sentence
+  SELECT doc_id, pos, nr, k.id FROM units u JOIN (VALUES {_KNOWN}) k(sentence, id) ON u.key = k.sentence
+), alone AS (
+  SELECT * FROM found WINDOW w AS (PARTITION BY doc_id ORDER BY pos, nr) QUALIFY coalesce(lag(pos) OVER w <> pos OR lag(id) OVER w <> id, true)
 ), lists AS (
-  SELECT doc_id, string_agg('<' || id || '>', '' ORDER BY nr) AS ids, string_agg(nr || ':' || id, ',' ORDER BY nr) AS sentences
-  FROM found GROUP BY doc_id
+  SELECT doc_id, string_agg('<' || id || '>', '' ORDER BY pos, nr) AS ids, string_agg(pos || ':' || id, ',' ORDER BY pos, nr) AS sentences
+  FROM alone GROUP BY doc_id
+), named AS (
+  SELECT doc_id, list_distinct(list_filter([{", ".join(cases)}], lambda x: x IS NOT NULL)) AS found, sentences FROM lists
 )
-SELECT d.doc_id, coalesce(concat_ws(',', {", ".join(cases)}), '') AS licenses, coalesce(l.sentences, '') AS sentences
-FROM documents d LEFT JOIN lists l USING (doc_id)"""
+SELECT d.doc_id, coalesce(array_to_string(list_filter({_ORDER}, lambda x: list_contains(l.found, x)), ','), '') AS licenses, coalesce(l.sentences, '') AS sentences
+FROM documents d LEFT JOIN named l USING (doc_id)"""
 
 
 ORACLES = {
@@ -149,7 +165,7 @@ WITH d AS (
     sum(d.size) OVER (PARTITION BY d.source ORDER BY place) AS until
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
 )
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target,
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(size * (epochs + CASE WHEN until - size / 2.0 < extra THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM r""",
     "op7_exact_dedup": """
