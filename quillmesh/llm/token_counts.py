@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import materialise, new_folder
 
 #: Ids in a range.
 RANGE_IDS = 1 << 22
@@ -129,20 +129,22 @@ def count_tokens(spark: SparkSession, folder: str, end: int, width: int = 2, ran
     ranges = token_ranges(spark, folder, width, range_ids)
     # One range a task at a time; neighbours need not be together, as the scan below joins them.
     found = ranges.repartition(F.col("file"), F.col("part")).mapInArrow(scan, "file string, part int, counts array<bigint>, rest bigint")
-    scanned = found.select("file", "part", "counts", "rest", F.size("counts").cast("long").alias("n"))
+    scanned = materialise(found.select("file", "part", "counts", "rest", F.size("counts").cast("long").alias("n")), "range-counts")
 
     # The prefix scan: a range's first document takes what is left open before it, which
-    # reaches back to the last range with an end in it.
+    # reaches back to the last range with an end in it. It goes over three numbers a range; the counts stay where they are.
     order = Window.partitionBy("file").orderBy("part")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    run = (
-        scanned.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    summaries = (
+        scanned.select("file", "part", "n", "rest")
+        .withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .withColumn("_total", F.sum("rest").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_base", F.when(F.col("n") > 0, F.col("_total") - F.col("rest")))
         .withColumn("_open", F.coalesce(F.lag("_total").over(order), F.lit(0)) - F.coalesce(F.last("_base", True).over(before), F.lit(0)))
         .withColumn("_last", F.lead("part").over(order).isNull())
     )
-    ended = run.where("n > 0").select(
+    offsets = materialise(summaries.select("file", "part", "n", "rest", "first", "_open", "_last"), "range-offsets")
+    ended = scanned.where("n > 0").select("file", "part", "counts").join(offsets.hint("merge"), ["file", "part"]).select(
         "file", "first", "_open", F.posexplode("counts").alias("_k", "count")
     ).select(
         "file",
@@ -150,7 +152,7 @@ def count_tokens(spark: SparkSession, folder: str, end: int, width: int = 2, ran
         (F.col("count") + F.when(F.col("_k") == 0, F.col("_open")).otherwise(0)).alias("n_tokens"),
         F.lit(True).alias("closed"),
     )
-    tail = run.where(F.col("_last")).select(
+    tail = offsets.where(F.col("_last")).select(
         "file",
         (F.col("first") + F.col("n")).alias("position"),
         (F.col("rest") + F.when(F.col("n") == 0, F.col("_open")).otherwise(0)).alias("n_tokens"),
@@ -174,4 +176,5 @@ def document_token_counts(docs: DataFrame, encoded_ids: str = "token_ids", key:
     counts = count_tokens(spark, folder, end) if placed.limit(1).count() else None
     if counts is None:
         return placed.select(key, F.lit(0).cast("long").alias("n_tokens"))
-    return placed.join(counts, ["file", "position"], "left").select(key, F.col("n_tokens"))
+    # Both sides have a row a document: neither may be broadcast.
+    return placed.join(counts.hint("merge"), ["file", "position"], "left").select(key, F.col("n_tokens"))

@@ -23,6 +23,8 @@ from .common import materialise
 BUCKET = 32768
 #: The most bits of one level, 16 MB: a longer list's levels are fuller, so more of them follow.
 MAX_BITS = 1 << 27
+#: So many keys of a level, or fewer, are listed in the plan.
+FEW_KEYS = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,11 +71,25 @@ class Level:
     bitmap: bytes
 
     def holds(self, key: Column, number: int) -> Column:
-        hit = F.lit(True)
-        for at in _positions(key, number, self.bits, self.hashes):
-            octet = F.substring(F.lit(self.bitmap), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))
-            hit = hit & (F.getbit(F.conv(F.hex(octet), 16, 10).cast("int"), (at % 8).cast("int")) == 1)
-        return hit
+        def all_bits(bitmap: Column) -> Column:
+            hit = F.lit(True)
+            for at in _positions(key, number, self.bits, self.hashes):
+                octet = F.substring(bitmap, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))
+                hit = hit & (F.getbit(F.conv(F.hex(octet), 16, 10).cast("int"), (at % 8).cast("int")) == 1)
+            return hit
+
+        # The plan holds the bitmap once, whatever the number of hashes.
+        return F.exists(F.array(F.lit(self.bitmap)), all_bits)
+
+
+@dataclass(frozen=True)
+class Rest:
+    """The last few keys, as they are."""
+
+    keys: tuple[str, ...]
+
+    def holds(self, key: Column, number: int) -> Column:
+        return key.isin(list(self.keys))
 
 
 def _level(keys: DataFrame, count: int, rate: float, number: int) -> Level:
@@ -92,7 +108,7 @@ def _level(keys: DataFrame, count: int, rate: float, number: int) -> Level:
 class Cascade:
     """Exact membership in a list for the keys of one corpus."""
 
-    def __init__(self, levels: list[Level]) -> None:
+    def __init__(self, levels: list[Level | Rest]) -> None:
         self.levels = levels
 
     def holds(self, key: Column) -> Column:
@@ -103,7 +119,7 @@ class Cascade:
         return found
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, universe_keys: int, max_levels: int = 40) -> Cascade:
+def build_cascade(listed: DataFrame, universe: DataFrame, universe_keys: int, few: int = FEW_KEYS) -> Cascade:
     """listed, universe: column `key`, repeats allowed; universe_keys: about how many.
 
     The corpus is read once. What level 0 lets through is as many keys as are listed, or
@@ -118,9 +134,10 @@ def build_cascade(listed: DataFrame, universe: DataFrame, universe_keys: int, ma
     outside = materialise(passed.join(inside, "key", "left_anti"), "false-keys")
     levels, now, other = [first], outside, inside
     while count := now.count():
-        if len(levels) >= max_levels:
-            raise RuntimeError("the cascade did not end")
         number = len(levels)
+        if count <= few:
+            levels.append(Rest(tuple(sorted(r[0] for r in now.collect()))))
+            break
         level = _level(now, count, 0.5, number)
         levels.append(level)
         now, other = materialise(other.where(level.holds(F.col("key"), number)), "false-keys"), now
