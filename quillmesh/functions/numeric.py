@@ -80,7 +80,10 @@ def project_2d(v: Column) -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over the characters of a text."""
+    """32-bit FNV-1a over the UTF-16 units of a text."""
     points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    # A character beyond 16 bits is a pair of units.
+    pair = lambda c: F.array(F.shiftright(c - 0x10000, 10) + 0xD800, (c - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00)
+    units = F.flatten(F.transform(points, lambda c: F.when(c > 0xFFFF, pair(c)).otherwise(F.array(c))))
     mask = F.lit(0xFFFFFFFF)
-    return F.aggregate(points, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * 16777619).bitwiseAND(mask))
+    return F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * 16777619).bitwiseAND(mask))

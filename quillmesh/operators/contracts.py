@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Least confidence of a judgement, of its labels, and least score of a first continuation.
+#: Least confidence of a judgement, of its labels, and least score of a first continuation: fixed values.
 MIN_CONFIDENCE, MIN_LABEL, MIN_METADATA = 0.8, 0.8, 0.3
 STATUSES = ("supported", "partial", "unavailable", "not_applicable")
 
@@ -78,28 +78,43 @@ def progress_issues(items: DataFrame, progress: DataFrame) -> DataFrame:
     return j.select("key", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in checks.items())))).alias("code"))
 
 
-def judge_selection(rows: DataFrame) -> DataFrame:
-    """rows with `accepted` and `reason`, the first rule that a continuation judgement breaks.
+#: Workspaces and their locks: fixed values.
+WORKSPACE_PATHS = ("profile", "projects", "knowledge", "config", "state", "data", "releases")
+WORKSPACE_VERSIONS = LOCK_VERSIONS = (1,)
 
-    rows: complete, confidence, author, selected (array of ids), candidates (map of id to
-    struct<is_reply, score, delta, author>).
+
+def _issues(checks: dict[str, Column]) -> Column:
+    return F.array_compact(F.array(*(F.when(F.coalesce(broken, F.lit(True)), F.lit(code)) for code, broken in checks.items())))
+
+
+def workspace_issues(version: Column, workspace_id: Column, paths: Column) -> Column:
+    """array<string>: what is wrong with a workspace's settings; paths is a map of its folders.
+
+    Each folder has a relative path of its own, in canonical form.
     """
-    chosen = F.transform("selected", lambda s: F.try_element_at("candidates", s))
-    delta = F.filter(F.transform(chosen, lambda x: x["delta"]), lambda d: d.isNotNull())
-    rules = (
-        (~F.coalesce(F.col("complete"), F.lit(False)), "not_complete"),
-        (~F.coalesce(F.col("confidence").between(MIN_CONFIDENCE, 1), F.lit(False)), "confidence_below_threshold"),
-        ((F.size("selected") == 0) | (F.size(F.array_distinct("selected")) < F.size("selected")), "invalid_sequence"),
-        (F.exists(chosen, lambda x: x.isNull()), "not_in_evidence"),
-        (F.exists(chosen, lambda x: x["is_reply"] == F.lit(False)), "not_reply"),
-        (F.get(chosen, F.lit(0))["score"] < MIN_METADATA, "metadata_too_weak"),
-        (delta != F.array_sort(delta), "not_chronological"),
-        (F.exists(chosen, lambda x: F.lower(x["author"]) != F.lower(F.col("author"))), "author_mismatch"),
+    where = F.map_values(paths)
+    bad = lambda p: (p == "") | (F.trim(p) != p) | p.rlike(r"^([A-Za-z]:|/)|\\") | F.exists(F.split(p, "/"), lambda x: x.isin("", ".", ".."))
+    return _issues(
+        {
+            "version_unsupported": ~version.isin(*WORKSPACE_VERSIONS),
+            "id_invalid": ~workspace_id.rlike("^[a-z0-9][a-z0-9-]{0,63}$"),
+            "paths_keys": F.array_sort(F.map_keys(paths)) != F.array(*map(F.lit, sorted(WORKSPACE_PATHS))),
+            "path_invalid": F.exists(where, lambda p: F.coalesce(bad(p), F.lit(True))),
+            "path_repeats": F.size(F.array_distinct(where)) < F.size(where),
+        }
+    )
+
+
+def lock_issues(version: Column, repository: Column, commit: Column, workspace_version: Column) -> Column:
+    """array<string>: what is wrong with the lock that pins a workspace's engine."""
+    return _issues(
+        {
+            "version_unsupported": ~version.isin(*LOCK_VERSIONS),
+            "repository_invalid": ~repository.rlike("^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$"),
+            "commit_invalid": ~commit.rlike("^[0-9a-f]{40}$"),
+            "workspace_version_invalid": workspace_version < 1,
+        }
     )
-    reason = F.lit(None).cast("string")
-    for broken, name in reversed(rules):
-        reason = F.when(F.coalesce(broken, F.lit(False)), F.lit(name)).otherwise(reason)
-    return rows.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
 
 
 def hand_off_stage(request: Column, evidence: Column, handoff: Column, judgement: Column, plan: Column, analysis: Column) -> Column:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.urls import is_safe_path
 from .rounds import checkpoint
 
 #: Kinds of evidence: fixed values.
@@ -185,6 +186,40 @@ def select_packs(candidates: DataFrame, max_items: int = MAX_ITEMS, max_bytes: i
     return each.select("repo", "p.path", "p.kind", "p.bytes", (F.col("at") + 1).cast("long").alias("place"))
 
 
+#: Bounds of a selection: fixed values.
+SELECTION = {"items": 20, "item_bytes": 163_840, "total_bytes": 786_432}
+
+
+def expand_selection(candidates: DataFrame, selected: DataFrame, wanted: DataFrame, limits: dict[str, int] = SELECTION) -> DataFrame:
+    """(repo, items, bytes, unknown, too_large, unmatched, code): what a round of expansion would fetch for each repository.
+
+    candidates: repo, path, kind, bytes (what discovery found); selected: repo, path; wanted: repo, kind, hint (a kind or the begin of a path that the plan asks
+    for; either may be null). code is the first budget or rule that the round breaks, null if it may go on. A path
+    that discovery did not find is unknown; a file that no request asks for is unmatched. Repositories without a selection have no row.
+    """
+    joined = selected.select("repo", "path").distinct().join(candidates, ["repo", "path"], "left")
+    asked = F.transform(F.collect_set(F.struct("kind", "hint")), lambda x: x)
+    plans = wanted.groupBy("repo").agg(asked.alias("_asked"))
+    matches = F.exists("_asked", lambda x: F.coalesce(x["kind"] == F.col("kind"), F.lit(False)) | F.coalesce(F.startswith(F.col("path"), x["hint"]), F.lit(False)))
+    rows = joined.join(plans, "repo", "left").withColumn("_fits", F.coalesce(matches, F.lit(False)))
+    sums = rows.groupBy("repo").agg(
+        F.count(F.lit(1)).alias("items"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"),
+        F.count_if(F.col("kind").isNull()).alias("unknown"),
+        F.count_if(F.col("bytes") > limits["item_bytes"]).alias("too_large"),
+        F.count_if(~F.col("_fits")).alias("unmatched"),
+        F.count_if(~is_safe_path(F.col("path"))).alias("_unsafe"),
+    )
+    code = (
+        F.when(F.col("items") > limits["items"], F.lit("item_budget_exceeded"))
+        .when(F.col("_unsafe") > 0, F.lit("path_unsafe"))
+        .when(F.col("unknown") > 0, F.lit("path_unknown"))
+        .when(F.col("too_large") > 0, F.lit("item_too_large"))
+        .when(F.col("bytes") > limits["total_bytes"], F.lit("byte_budget_exceeded"))
+    )
+    return sums.withColumn("code", code).drop("_unsafe")
+
+
 #: Bounds of a tree walk: fixed values.
 WALK = {"trees": 64, "entries": 4_000, "candidates": 500, "depth": 5}
 

@@ -9,6 +9,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 ARTIFACTS = ("search", "vectors", "relations", "concepts", "graph")
 _SHA1, _SHA256 = re.compile(r"[0-9a-f]{40}"), re.compile(r"[0-9a-f]{64}")
@@ -32,19 +33,24 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def source_manifest(docs: DataFrame, group: str, text: str) -> DataFrame:
-    """(group, documents, bytes): what a manifest tells of documents by their source."""
-    return docs.groupBy(group).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.octet_length(F.coalesce(text, F.lit("")))).alias("bytes"))
+    """(group, documents, bytes, digest): what a manifest tells of documents by their source.
+
+    The digest is the sum of the first 60 bits of the texts' hashes: it does not depend on an order and needs no sort.
+    """
+    given = F.coalesce(text, F.lit(""))
+    part = F.conv(F.substring(F.sha2(given.cast("binary"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return docs.groupBy(group).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.octet_length(given)).alias("bytes"), F.sum(part).cast("string").alias("digest"))
 
 
 def write_release(spark: SparkSession, root: str, tables: dict[str, DataFrame], source_sha: str, engine_sha: str) -> dict:
     """Write the artifacts of a new version, then its description, then the pointer to it.
 
-    Readers follow the pointer, a one-row table replaced last, so they see the old version
-    or the new one and nothing between.
+    Pointers are one-row files in a folder to which only new ones are added, the last step of a release;
+    readers follow the latest, so they see the old version or the new one and nothing between.
     """
     if not _SHA1.fullmatch(source_sha) or not _SHA1.fullmatch(engine_sha):
         raise ValueError("commit ids must be 40 lower-case hexadecimal digits")
-    release_id = f"{datetime.now(timezone.utc):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
+    release_id = f"{datetime.now(timezone.utc):%Y%m%d%H%M%S%f}-{uuid.uuid4().hex[:8]}"
     folder = f"{root}/versions/{release_id}"
     for name, df in tables.items():
         df.write.parquet(f"{folder}/{name}")
@@ -57,13 +63,33 @@ def write_release(spark: SparkSession, root: str, tables: dict[str, DataFrame],
     }
     line = spark.createDataFrame([(json.dumps(description, sort_keys=True),)], "value string")
     line.coalesce(1).write.text(f"{root}/releases/{release_id}")
-    spark.createDataFrame([(release_id,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
+    point_to(spark, root, release_id)
     return description
 
 
+def point_to(spark: SparkSession, root: str, release_id: str) -> None:
+    """Make a release the current one. A pointer's number is one more than the latest; nothing is overwritten."""
+    spark.createDataFrame([(_latest(spark, root)[0] + 1, release_id)], "number long, release_id string").coalesce(1).write.mode("append").json(f"{root}/current")
+
+
+def _latest(spark: SparkSession, root: str) -> tuple[int, str | None]:
+    try:
+        found = spark.read.schema("number long, release_id string").json(f"{root}/current").agg(F.max_by("release_id", "number"), F.max("number")).first()
+    except AnalysisException:
+        return 0, None
+    return (found[1] or 0, found[0])
+
+
+def current_release(spark: SparkSession, root: str) -> str:
+    """The release that readers should take."""
+    if (found := _latest(spark, root)[1]) is None:
+        raise ValueError("there is no release")
+    return found
+
+
 def read_release(spark: SparkSession, root: str, release_id: str | None = None) -> tuple[dict, dict[str, DataFrame]]:
     """A release's description and tables, after its manifest was verified against the files."""
-    release_id = release_id or spark.read.text(f"{root}/current").first()[0]
+    release_id = release_id or current_release(spark, root)
     if not re.fullmatch(r"[0-9a-zA-Z-]+", release_id):
         raise ValueError("the pointer is no release id")
     description = json.loads(spark.read.text(f"{root}/releases/{release_id}").first()[0])
@@ -97,19 +123,3 @@ def public_projection(description: dict) -> dict:
     return {k: description[k] for k in ("release_id", "source_sha", "engine_sha")} | {
         "artifacts": {k: {"sha256": v["sha256"], "bytes": v["bytes"]} for k, v in description["artifacts"].items()}
     }
-
-
-class Snapshots:
-    """The tables of the latest few releases, kept while they are asked for; the oldest goes first."""
-
-    def __init__(self, spark: SparkSession, root: str, most: int = 3) -> None:
-        self.spark, self.root, self.most, self.kept = spark, root, most, {}
-
-    def get(self, release_id: str | None = None) -> dict[str, DataFrame]:
-        release_id = release_id or self.spark.read.text(f"{self.root}/current").first()[0]
-        if release_id not in self.kept:
-            self.kept[release_id] = read_release(self.spark, self.root, release_id)[1]
-            while len(self.kept) > self.most:
-                for df in self.kept.pop(next(iter(self.kept))).values():
-                    df.unpersist()
-        return self.kept[release_id]

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import schema
+from .contracts import body_issues
+
 ISSUE = ("key", "code", "path", "message")
 
 
@@ -157,6 +161,23 @@ def artifact_issues(cards: DataFrame, search: DataFrame, vectors: DataFrame, rel
     return out
 
 
+def collection_issues(rows: DataFrame, key: str, shaped: Column, shape: dict, body: Column, title: Column, sections: tuple[str, ...], tags: Column, canonical: DataFrame, unique: Mapping[str, Column]) -> DataFrame:
+    """(key, area, code): everything that is wrong with cards one by one and with the collection as a whole.
+
+    Areas: schema (a typed value against a schema), body, dates, taxonomy, and collection (values that must be unique).
+    """
+    each = lambda found, area: rows.select(F.col(key).alias("key"), F.lit(area).alias("area"), F.explode(found).alias("code"))
+    of = lambda issues, area: issues.select("key", F.lit(area).alias("area"), "code")
+    parts = [
+        each(F.transform(schema.issues(shaped, shape), lambda i: i["code"]), "schema"),
+        each(body_issues(body, title, sections), "body"),
+        of(date_order(rows, key), "dates"),
+        of(unknown_values(rows, key, tags, canonical, "tags"), "taxonomy"),
+        of(duplicates(rows, key, key, unique), "collection"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def require_none(issues: DataFrame, what: str) -> None:
     """Refuse to go on where any issue exists; the message holds the first few."""
     if some := issues.orderBy("key", "code").limit(5).collect():

@@ -273,45 +273,27 @@ def x29_canonical_link(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", contracts.canonical_link(F.concat(head, "html")).alias("canonical"))
 
 
-_R05 = ("not_complete", "confidence_below_threshold", "invalid_sequence", "not_in_evidence", "not_reply", "metadata_too_weak", "not_chronological", "author_mismatch")
-
-
-@query("SELECT event_id, list_extract(CAST([" + ", ".join(f"'{x}'" for x in _R05) + ", NULL] AS VARCHAR[]), CAST(event_id % 9 + 1 AS BIGINT)) AS reason FROM events")
-def r05_judgements(spark: SparkSession, d: str) -> DataFrame:
-    """The first rule that each made-up judgement breaks."""
-    k = F.col("event_id") % 9
-    post = lambda reply, score, delta, author: F.struct(reply.alias("is_reply"), score.alias("score"), delta.alias("delta"), author.alias("author"))
-    a = post(F.lit(True), F.when(k == 5, 0.1).otherwise(0.9), F.lit(50), F.lit("Me"))
-    b = post(F.when(k == 4, False).otherwise(F.lit(True)), F.lit(0.9), F.when(k == 6, 10).otherwise(60), F.when(k == 7, "you").otherwise("me"))
-    rows = table(spark, d, "events").select(
-        "event_id", (k != 0).alias("complete"), F.when(k == 1, 0.2).otherwise(0.95).alias("confidence"), F.lit("me").alias("author"), F.create_map(F.lit("a"), a, F.lit("b"), b).alias("candidates"),
-        F.when(k == 2, F.array(F.lit("a"), F.lit("a"))).when(k == 3, F.array(F.lit("a"), F.lit("z"))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("selected"),
-    )
-    return contracts.judge_selection(rows).select("event_id", "reason")
-
-
-@query("SELECT source, CAST(count(*) AS BIGINT) AS items, CAST(count(*) FILTER (doc_id % 15 NOT IN (0, 1) AND doc_id % 7 <> 0) AS BIGINT) AS unmatched FROM documents WHERE doc_id % 2 = 0 GROUP BY source")
-def r14_expansion(spark: SparkSession, d: str) -> DataFrame:
-    """Selected files that match neither a requested kind nor a hinted path."""
-    kinds, docs = F.col("doc_id") % 15, table(spark, d, "documents").where("doc_id % 2 = 0")
-    matched = kinds.isin(0, 1) | (F.col("doc_id") % 7 == 0)
-    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("items"), F.count_if(~matched).alias("unmatched"))
-
-
-@query(f"WITH {_POSTS} SELECT conv_id, count(*) AS parts, CASE WHEN count(DISTINCT username) = 1 THEN 'COMPLETE' ELSE 'MIXED' END AS kind, sha256(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (trim(coalesce(text, '')) <> '')) AS text_sha256 FROM posts GROUP BY conv_id")
+@query(
+    f"WITH {_POSTS}, f AS (SELECT conv_id, min(turn) FILTER (username <> head) AS stop, max(turn) + 1 AS n FROM (SELECT *, first_value(username) OVER (PARTITION BY conv_id ORDER BY turn) AS head FROM posts) GROUP BY conv_id), "
+    "l AS (SELECT conv_id, n, CAST(coalesce(stop, n) AS BIGINT) AS parts FROM f), t AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (trim(coalesce(text, '')) <> '') AS text FROM posts JOIN l USING (conv_id) WHERE turn < parts GROUP BY conv_id) "
+    "SELECT conv_id, parts, CASE WHEN conv_id % 2 = 0 THEN CASE WHEN parts = 1 THEN 'SINGLE_POST' ELSE 'COMPLETE_THREAD' END WHEN parts > 1 AND parts = n THEN 'COMPLETE_THREAD' ELSE 'INCOMPLETE_THREAD' END AS status, "
+    "CASE WHEN conv_id % 2 = 1 AND NOT (parts > 1 AND parts = n) THEN 'conversation_coverage_unverified' END AS reason, sha256(text) AS text_sha256 FROM l LEFT JOIN t USING (conv_id)"
+)
 def r15_threads(spark: SparkSession, d: str) -> DataFrame:
-    """Each conversation put together: its parts, whether one author wrote them, its text."""
-    raw = table(spark, d, "conversations")
-    p = conv.posts(raw).groupBy("conv_id").agg(F.count(F.lit(1)).alias("parts"), F.when(F.count_distinct("username") == 1, "COMPLETE").otherwise("MIXED").alias("kind"))
-    joined = conv.combined_text(raw).select("conv_id", F.sha2(F.col("combined").cast("binary"), 256).alias("text_sha256"))
-    return p.join(joined, "conv_id", "left")
+    """Each conversation's thread: its author's chain from the root, whether that is all of it, and its text. Half of the conversations are known to be covered."""
+    posts = conv.posts(table(spark, d, "conversations"))
+    covered = posts.select("conv_id").distinct().select("conv_id", (F.col("conv_id") % 2 == 0).alias("coverage"))
+    found = conv.extract_threads(posts, covered)
+    return found.select("conv_id", F.col("detected").alias("parts"), "status", "reason", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'missing-request' WHEN event_id // 2 % 2 = 0 THEN 'fetch-evidence' WHEN event_id // 4 % 2 = 1 THEN 'apply-analysis' WHEN event_id // 8 % 2 = 1 THEN 'expand-research' ELSE 'waiting-for-analysis' END AS stage FROM events")
+@query(
+    "WITH e AS (SELECT event_id, " + ", ".join(f"event_id // {1 << k} % 2 = 1 AS b{k}" for k in range(6)) + " FROM events) SELECT event_id, CASE WHEN NOT b0 THEN 'missing-request' WHEN NOT b1 AND b4 AND NOT b5 THEN 'waiting-for-judgement' WHEN NOT b1 AND NOT b4 AND b5 THEN 'judgement-without-evidence' "
+    "WHEN NOT b1 THEN 'fetch-evidence' WHEN b2 THEN 'apply-analysis' WHEN b3 THEN 'expand-research' ELSE 'waiting-for-analysis' END AS stage FROM e"
+)
 def t03_stages(spark: SparkSession, d: str) -> DataFrame:
     bit = lambda k: F.getbit(F.col("event_id"), F.lit(k)) == 1
-    no = F.lit(False)
-    return table(spark, d, "events").select("event_id", contracts.hand_off_stage(bit(0), bit(1), no, no, bit(3), bit(2)).alias("stage"))
+    return table(spark, d, "events").select("event_id", contracts.hand_off_stage(bit(0), bit(1), bit(4), bit(5), bit(3), bit(2)).alias("stage"))
 
 
 @query(f"WITH {DOCS} SELECT id, ord % 7 <> 0 AS known, ord % 7 <> 0 AND ord % 5 <> 0 AS reused FROM docs")

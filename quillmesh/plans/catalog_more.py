@@ -673,7 +673,7 @@ def x28_embedding_hash(spark: SparkSession, d: str) -> DataFrame:
     return c.part_cards(spark, d).select("id", F.sha2(F.concat_ws("\x01", F.lit("local"), F.lit("hash"), F.lit("v1"), "summary").cast("binary"), 256).alias("content_hash"))
 
 
-@query("SELECT source, count(*) AS documents, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS bytes FROM documents GROUP BY source")
+@query("SELECT source, count(*) AS documents, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS bytes, CAST(sum(CAST(('0x' || sha256(coalesce(text, ''))[1:15]) AS HUGEINT)) AS VARCHAR) AS digest FROM documents GROUP BY source")
 def k05_manifest(spark: SparkSession, d: str) -> DataFrame:
     return release.source_manifest(table(spark, d, "documents"), "source", "text")
 
@@ -730,7 +730,8 @@ def r10_graph(spark: SparkSession, d: str) -> DataFrame:
 def f14_artifact_issues(spark: SparkSession, d: str) -> DataFrame:
     """Issues of the artifacts of all cards, made faulty on purpose: each card needs one vector and one search entry."""
     cards, k = _cards(spark, d), F.col("ord") % 10
-    made = build_artifacts(cards.where("ord < 300"), CONFIG, PROMOTED)
+    members = _members(spark, d)
+    made = {"relations": _edges(spark, d), "concepts": con.concepts(members), "members": members, "concept_relations": con.concept_relations(members)}
     entries = cards.where(k != 6).select(F.when(k == 7, F.array("id", F.concat(F.lit("gone-"), "id"))).when(k == 5, F.array("id", "id")).otherwise(F.array("id")).alias("x"))
     vectors_ = cards.where((k != 3) & F.col("vector").isNotNull()).select("id", F.when(k == 4, F.slice("vector", 1, 3)).otherwise(F.col("vector")).alias("vector"))
     return publishable(made | {"search": entries.select(F.explode("x").alias("id")), "vectors": vectors_}, cards, 64)

@@ -6,7 +6,8 @@ import json
 
 import pyarrow as pa
 import yaml
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,20 +70,15 @@ def parse_cards(files: DataFrame, path: str = "path", raw: str = "raw") -> DataF
 
 
 def read_cards(spark: SparkSession, folder: str) -> DataFrame:
-    """All *.md below a folder but README.md, with `ord`, their rank by path.
+    """All *.md below a folder but README.md, with `ord`, a number that rises with the path: a range sort, no single task."""
+    found = texts(spark, folder, "*.md").where(F.element_at(F.split("path", "/"), -1) != "README.md")
+    return parse_cards(found.orderBy("path")).withColumn("ord", F.monotonically_increasing_id())
 
-    A million files is a million rows for the rank's one sort; for larger collections
-    order by file_path where "first" matters, which sorts the same way.
-    """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.md")
-        .load(folder)
-        .where(F.element_at(F.split("path", "/"), -1) != "README.md")
-        .select("path", F.decode("content", "UTF-8").alias("raw"))
-    )
-    return parse_cards(files).withColumn("ord", F.row_number().over(Window.orderBy("file_path")))
+
+def texts(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(path, raw) of the text files below a folder whose names fit a pattern."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    return found.select("path", F.decode("content", "UTF-8").alias("raw"))
 
 
 def read_state(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -97,15 +93,15 @@ def read_state(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     )
 
 
-def read_settings(path: str, missing: dict | None = None) -> dict:
-    """A small YAML file as a mapping, on the driver; `missing` where there is none."""
+def read_settings(spark: SparkSession, path: str, missing: dict | None = None) -> dict:
+    """A small YAML file, on any file system that Spark reads, as a mapping on the driver; `missing` where there is none."""
     try:
-        with open(path, encoding="utf-8") as f:
-            data = yaml.safe_load(f)
-    except FileNotFoundError:
+        text = spark.read.text(path, wholetext=True).first()
+    except AnalysisException:
         if missing is None:
             raise
         return missing
+    data = yaml.safe_load(text[0]) if text else None
     if not isinstance(data, dict):
         raise ValueError(f"{path} is no mapping")
     return data
