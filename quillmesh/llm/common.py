@@ -34,11 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Send whole texts to Python by at most `rows`: a session's larger Arrow batches are lowered to that."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 4 << 20) -> None:
+    """Send whole texts to Python by at most `rows` and about `size` bytes: a session's larger Arrow batches are lowered to that."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -57,14 +59,29 @@ def held_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, key: str, salt_by: Column, salts: int = 16) -> DataFrame:
-    """Left join with a table that has one row a key; a hot key is dealt over `salts` tasks.
+#: Lists of row numbers are broadcast up to this many (8 MB); longer ones are joined by shuffling.
+BROADCAST_IDS = 1_000_000
+#: A key is hot from this share of all rows on, so there are at most so many hot keys.
+HOT_KEYS = 10_000
 
-    `right` is repeated `salts` times, so it should hold few and narrow rows.
+
+def small_side(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """df, marked for broadcasting if its rows, which are counted, are few enough. It should hold a few numbers a row."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, size: str) -> DataFrame:
+    """Left join with a table that has one row a key; `size` of it: how many rows of left have the key, as it is known.
+
+    Keys that a ten-thousandth of all rows or more have are looked up in a broadcast of at most
+    HOT_KEYS rows and their rows of left are not moved; all others are shuffled. `right` should be materialised.
     """
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [key, "_salt"], "left").drop("_salt")
+    total = right.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot = F.col(size) >= max(1_000, -(-total // HOT_KEYS))
+    heavy = F.broadcast(right.where(hot).drop(size))
+    near = left.join(heavy, key)
+    far = left.join(heavy.select(key), key, "left_anti").join(right.where(~hot).drop(size), key, "left")
+    return near.unionByName(far)
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -92,9 +109,9 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
         if not before[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"), "n")
         # A star's centre is the hot key of this join.
-        large = salted_lookup(e, low, "v", F.col("u"), 8).select("u", F.col("m").alias("v")).distinct()
+        large = lookup(e, low.checkpoint(), "v", "n").select("u", F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(
             F.explode(

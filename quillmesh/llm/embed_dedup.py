@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, salted_lookup
+from .common import connected_components, lookup, materialise
 
 SIMILARITY = 0.98
 #: Vectors that a cell should hold, and the most pivots of all labels together (they are broadcast).
@@ -186,8 +186,8 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
         classes.select("key", "first", "n")
         .join(counts, "first", "left")
         .join(joined, F.col("first") == F.col("node"), "left")
-        .select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "first").alias("component_id"))
+        .select("key", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "first").alias("component_id"))
     )
-    found = salted_lookup(rows.where("key is not null"), named, "key", F.col("vec_id"), 8).select("vec_id", "n_links", "component_id")
+    found = lookup(rows.where("key is not null"), materialise(named, "named-vectors"), "key", "n").select("vec_id", "n_links", "component_id")
     alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

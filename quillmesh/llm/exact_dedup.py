@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, salted_lookup
+from .common import lookup, materialise
 
 #: Positions of a hash, and bits of the table for each row.
 POSITIONS, BITS_PER_ROW = 2, 16
@@ -84,8 +84,9 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_
     alone = probed.where(~F.col("_maybe")).select(
         "doc_id", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
     )
-    maybe = probed.where("_maybe").select("doc_id", "text_sha256")
-    together = salted_lookup(maybe, _groups(maybe), "text_sha256", F.col("doc_id")).select(
+    maybe = materialise(probed.where("_maybe").select("doc_id", "text_sha256"), "possible-repeats")
+    found = materialise(_groups(maybe).withColumn("n", F.col("group_size")), "text-groups")
+    together = lookup(maybe, found, "text_sha256", "n").select(
         "doc_id", "text_sha256", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
     )
     return alone.unionByName(together)

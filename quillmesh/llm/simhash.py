@@ -1,23 +1,25 @@
 """SimHash near-duplicates by a Gray-ordered hierarchical index.
 
-Fingerprints are computed from word shingles; equal ones are one row from there on. If
-64 bits are cut into `distance` + 2 segments, two fingerprints that differ in at most
-`distance` bits agree in at least two whole segments, so rows are dealt by every pair of
-segments and each such key is searched by itself. Within a key fingerprints are sorted by
-Gray rank, which puts like bit patterns side by side. Eight neighbours make a node that
-holds the bits they all share; eight nodes make an upper node, and so on. A pair of
-nodes is opened only while the differences found in shared bits, added up on the way
-down, stay within the distance, and only while the pair could still join two components.
-
-What comes out of a key is a star for each component in it, not its pairs, so a group of n
-fingerprints gives at most n links. A key that holds more than `tile_rows` fingerprints is
-cut into tiles and every two tiles are searched as one, each in a task of its own.
+Fingerprints are computed from word shingles; equal ones are one row from there on. The index
+holds every fingerprint in `TURNS` rotations, each of which puts another segment of the
+bits in front: two fingerprints that differ in at most `distance` bits differ in at most
+distance / TURNS bits of some segment, so each rotation only has to find pairs with so few
+differences in front. A rotation's fingerprints are sorted by Gray rank, which puts like bit
+patterns side by side, and cut into leaves of about NODE_ROWS. A leaf keeps the bits that
+all its fingerprints share, FAN leaves make an upper node with the bits that they share, and so on.
+
+From the top down, a pair of nodes is opened only while the differences in bits that both
+share, in front and in all, stay within their limits; a whole group of pairs goes where they do
+not. That is a join of the pair table with the nodes, level by level. Each pair of
+leaves that is left is searched by one task in the same way, down to single fingerprints.
+
+What comes out of a pair of leaves is a star for each component in it, not its pairs, so a group of
+n fingerprints gives at most n links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, salted_lookup, small_batches
+from .common import connected_components, lookup, materialise, small_batches, small_side
 
 SHINGLE, DISTANCE = 4, 4
-#: Most fingerprints of a key that one task searches; more are cut into tiles.
-TILE_ROWS = 50_000
-#: Nodes below a node; pairs handled at once.
-FAN, AT_ONCE = 8, 1 << 15
+#: Rotations of the index; fingerprints of a leaf, about; nodes below a node.
+TURNS, NODE_ROWS, FAN = 5, 1 << 13, 8
+#: Node pairs that a task handles at once; rows that it gathers before it searches whole pairs of leaves.
+AT_ONCE, LAST_AT_ONCE, GATHER_ROWS = 1 << 15, 1 << 12, 1 << 16
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
 
@@ -57,11 +59,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int
     Words are what ASCII white space separates, A-Z in lower case. A text of fewer words
     than a shingle has one shingle of all of them; one without words has fingerprint 0.
     """
-    n, ones = 0, np.zeros(64, np.int64)
-    for h in shingle_hashes(text, shingle, seed):
+    return int(several_fingerprints(shingle_hashes(text, shingle, seed), 1)[0])
+
+
+def several_fingerprints(hashes: Iterable[np.ndarray], count: int) -> np.ndarray:
+    """`count` fingerprints of shingle hashes in blocks: the first of the hashes as they are, others of mixed ones."""
+    n, ones = 0, np.zeros((count, 64), np.int64)
+    for h in hashes:
         n += len(h)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]) if n else 0
+        for k in range(count):
+            ones[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64).ravel() if n else np.zeros(count, np.uint64)
 
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", shingle: int = SHINGLE) -> DataFrame:
@@ -84,18 +94,61 @@ def gray_rank(fp: Column) -> Column:
     return fp
 
 
-def segment_keys(fp: Column, distance: int = DISTANCE) -> Column:
-    """array<bigint>: a key for every two of distance + 2 segments of the bits."""
-    count = distance + 2
-    size = [64 // count + (k < 64 % count) for k in range(count)]
-    begin = [sum(size[:k]) for k in range(count)]
-    part = lambda k: F.shiftrightunsigned(fp, begin[k]).bitwiseAND(F.lit((1 << size[k]) - 1))
-    return F.array(
-        *(
-            F.shiftleft(F.lit(n).cast("long"), 48).bitwiseOR(F.shiftleft(part(i), size[j])).bitwiseOR(part(j))
-            for n, (i, j) in enumerate(combinations(range(count), 2))
-        )
-    )
+def segments(turns: int = TURNS) -> list[tuple[int, int]]:
+    """(bits before it, size) of each segment, from the highest bit on."""
+    size = [64 // turns + (k < 64 % turns) for k in range(turns)]
+    return [(sum(size[:k]), size[k]) for k in range(turns)]
+
+
+def rotations(fp: Column, turns: int = TURNS) -> Column:
+    """array<struct<turn, rot>>: fp with each segment in front."""
+    turned = lambda n: F.shiftleft(fp, n).bitwiseOR(F.shiftrightunsigned(fp, 64 - n)) if n else fp
+    return F.array(*(F.struct(F.lit(t).alias("turn"), turned(n).alias("rot")) for t, (n, _) in enumerate(segments(turns))))
+
+
+def _front(turns: int) -> list[int]:
+    """The mask of each rotation's front segment, as a signed long."""
+    return [(((1 << size) - 1) << (64 - size)) - (1 << 64) for _, size in segments(turns)]
+
+
+def gray_index(fps: DataFrame, turns: int = TURNS, node_rows: int = NODE_ROWS) -> tuple[DataFrame, int]:
+    """(turn, leaf, rot) of every fingerprint (column fp, distinct) in every rotation, and the number of leaves.
+
+    Leaves are ranges of (turn, Gray rank), numbered in that order.
+    """
+    leaves = max(1, -(-fps.count() * turns // node_rows))
+    turned = fps.select(F.inline(rotations(F.col("fp"), turns)))
+    # With the highest bit flipped, signed longs sort as unsigned ones.
+    rank = gray_rank(F.col("rot")).bitwiseXOR(F.lit(-(1 << 63)))
+    ranged = turned.withColumn("rank", rank).repartitionByRange(leaves, "turn", "rank")
+    placed = materialise(ranged.select("turn", F.spark_partition_id().alias("leaf"), "rot"), "gray-index")
+    return placed, placed.agg(F.coalesce(F.max("leaf"), F.lit(0))).first()[0] + 1
+
+
+def open_leaves(index: DataFrame, leaves: int, distance: int = DISTANCE, turns: int = TURNS, report: list | None = None) -> DataFrame:
+    """(turn, a, b): pairs of leaves, a <= b, that no node above and no shared bits of their own rule out.
+
+    report, if given, gets (level, pairs met, pairs opened) of each level, from the top on.
+    """
+    levels = [materialise(index.groupBy("turn", F.col("leaf").alias("node")).agg(F.bit_and("rot").alias("all"), F.bit_or("rot").alias("some")), "gray-leaves")]
+    width = leaves
+    while width > 1:
+        width = -(-width // FAN)
+        levels.append(levels[-1].groupBy("turn", F.expr(f"node div {FAN}").cast("int").alias("node")).agg(F.bit_and("all").alias("all"), F.bit_or("some").alias("some")))
+    pairs = levels[-1].select("turn", F.col("node").alias("a"), F.col("node").alias("b"))
+    front = F.array(*map(F.lit, _front(turns)))[F.col("turn")]
+    for number in range(len(levels) - 2, -1, -1):
+        nodes = levels[number].select("turn", "node", F.col("all").alias("pattern"), F.bitwise_not(F.col("all").bitwiseXOR(F.col("some"))).alias("mask"))
+        side = lambda x, nodes=nodes: nodes.select("turn", *(F.col(c).alias(n) for c, n in (("node", x), ("pattern", f"p_{x}"), ("mask", f"m_{x}"))))
+        below = lambda x: F.explode(F.sequence(F.col(x) * FAN, F.col(x) * FAN + FAN - 1))
+        met = pairs.select("turn", below("a").alias("a"), "b").select("turn", "a", below("b").alias("b")).where("a <= b")
+        met = met.join(side("a"), ["turn", "a"]).join(side("b"), ["turn", "b"])
+        differ = F.col("p_a").bitwiseXOR(F.col("p_b")).bitwiseAND(F.col("m_a")).bitwiseAND(F.col("m_b"))
+        near = (F.bit_count(differ) <= distance) & (F.bit_count(differ.bitwiseAND(front)) <= distance // turns)
+        pairs = met.where(near).select("turn", "a", "b")
+        if report is not None:
+            report.append((number, met.count(), pairs.count()))
+    return pairs
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -103,13 +156,11 @@ def _bits(x: np.ndarray) -> np.ndarray:
 
 
 class _Tree:
-    """Levels of nodes over sorted fingerprints; no node reaches over a key's end."""
+    """Levels of nodes over rows that are sorted by group and Gray rank; no node reaches over a group's end."""
 
-    def __init__(self, keys: np.ndarray, fps: np.ndarray) -> None:
-        n = len(fps)
-        begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if n else np.zeros(0, np.int64)
+    def __init__(self, begins: np.ndarray, fps: np.ndarray) -> None:
         #: Of each level: shared-bit mask, pattern, first child and the end of the children.
-        self.levels = [(np.full(n, ~np.uint64(0)), fps, None, None)]
+        self.levels = [(np.full(len(fps), ~np.uint64(0)), fps, None, None)]
         all_and, all_or = fps, fps
         while True:
             size = np.diff(np.append(begins, len(all_and)))
@@ -127,12 +178,12 @@ class _Tree:
                 self.top_begin, self.top_size = begins, nodes
                 return
 
-    def top_pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        a, b = np.triu_indices(FAN)
-        left = (self.top_begin[:, None] + a[None, :]).ravel()
-        right = (self.top_begin[:, None] + b[None, :]).ravel()
-        inside = (b[None, :] < self.top_size[:, None]).ravel()
-        return left[inside], right[inside]
+    def top_pairs(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of top nodes of the groups one[k] and two[k], and k; of a group with itself each pair once."""
+        i, j = (x.ravel() for x in np.mgrid[:FAN, :FAN])
+        inside = (i < self.top_size[one][:, None]) & (j < self.top_size[two][:, None]) & ((one != two)[:, None] | (i <= j))
+        left, right = self.top_begin[one][:, None] + i, self.top_begin[two][:, None] + j
+        return left[inside], right[inside], np.nonzero(inside)[0]
 
 
 def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -151,43 +202,73 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def components_of(keys: np.ndarray, fps: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
-    """For rows sorted by key and Gray rank: the first row of each row's component within its key."""
+def components_of(begins: np.ndarray, one: np.ndarray, two: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, front: np.ndarray | None = None, front_distance: int = DISTANCE, report: dict | None = None) -> np.ndarray:
+    """The first row of each row's component, where group one[k] meets group two[k] for each k.
+
+    Groups begin at the rows `begins` and are sorted by Gray rank. front[k]: bits of which at
+    most front_distance may differ. report, if given, gets how many pairs of each level were met and opened.
+    """
     label = np.arange(len(fps))
-    if not len(fps):
+    if not len(fps) or not len(one):
         return label
-    tree = _Tree(keys, fps)
-    top = len(tree.levels) - 1
-    left, right = tree.top_pairs()
+    tree = _Tree(begins, fps)
+    left, right, k = tree.top_pairs(one, two)
+    front = np.zeros(len(one), np.uint64) if front is None else front
     zero = np.zeros(len(left), np.int64)
-    stack = [(top, left, right, zero, np.zeros(len(left), np.uint64))]
+    stack = [(len(tree.levels) - 1, left, right, zero, zero, np.zeros(len(left), np.uint64), front[k])]
     while stack:
-        level, a, b, dist, seen = stack.pop()
-        if len(a) > AT_ONCE:
-            stack.append((level, a[AT_ONCE:], b[AT_ONCE:], dist[AT_ONCE:], seen[AT_ONCE:]))
-            a, b, dist, seen = a[:AT_ONCE], b[:AT_ONCE], dist[:AT_ONCE], seen[:AT_ONCE]
+        level, *held = stack.pop()
+        if len(held[0]) > AT_ONCE:
+            stack.append((level, *(x[AT_ONCE:] for x in held)))
+            held = [x[:AT_ONCE] for x in held]
+        a, b, dist, ahead, seen, lead = held
         mask, pattern, first, until = tree.levels[level]
         # Only bits that no node above has compared are added.
         both = mask[a] & mask[b]
-        dist = dist + _bits((pattern[a] ^ pattern[b]) & both & ~seen)
-        near = dist <= distance
-        if not level:
-            _unite(label, a[near], b[near])
-            continue
-        a, b, dist, both = a[near], b[near], dist[near], both[near]
+        differ = (pattern[a] ^ pattern[b]) & both & ~seen
+        dist, ahead = dist + _bits(differ), ahead + _bits(differ & lead)
+        near = (dist <= distance) & (ahead <= front_distance)
+        if report is not None:
+            met, opened = report.get(level, (0, 0))
+            report[level] = met + len(a), opened + int(near.sum())
+        a, b, dist, ahead, both, lead = (x[near] for x in (a, b, dist, ahead, both, lead))
         if not len(a):
             continue
         low, high = _spread(tree, level, label)
         apart = (low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b])
-        a, b, dist, both = a[apart], b[apart], dist[apart], both[apart]
+        a, b, dist, ahead, both, lead = (x[apart] for x in (a, b, dist, ahead, both, lead))
+        if level == 1:
+            for at in range(0, len(a), LAST_AT_ONCE):
+                part = slice(at, at + LAST_AT_ONCE)
+                x, y, met = _near_rows(fps, first, until, a[part], b[part], distance, lead[part], front_distance)
+                _unite(label, x, y)
+                if report is not None:
+                    report[0] = report.get(0, (0, 0))[0] + met, report.get(0, (0, 0))[1] + len(x)
+            continue
         i, j = (x.ravel() for x in np.mgrid[:FAN, :FAN])
         left, right = first[a][:, None] + i, first[b][:, None] + j
-        good = (left < until[a][:, None]) & (right < until[b][:, None]) & ((a != b)[:, None] | (i < j) | ((level > 1) & (i == j)))
+        good = (left < until[a][:, None]) & (right < until[b][:, None]) & ((a != b)[:, None] | (i <= j))
         row = np.nonzero(good)[0]
-        stack.append((level - 1, left[good], right[good], dist[row], both[row]))
+        stack.append((level - 1, left[good], right[good], dist[row], ahead[row], both[row], lead[row]))
     return label
 
 
+def _near_rows(fps: np.ndarray, first: np.ndarray, until: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int, lead: np.ndarray, front_distance: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rows of the lowest nodes a[k] and b[k] that are near enough, and how many pairs of rows were compared."""
+    place = np.arange(FAN)
+    left, right = first[a][:, None] + place, first[b][:, None] + place
+    inside = (left < until[a][:, None])[:, :, None] & (right < until[b][:, None])[:, None, :]
+    inside &= (a != b)[:, None, None] | (place[:, None] < place[None, :])
+    last = len(fps) - 1
+    differ = fps[np.minimum(left, last)][:, :, None] ^ fps[np.minimum(right, last)][:, None, :]
+    near = inside & (np.bitwise_count(differ) <= distance)
+    k, i, j = np.nonzero(near)
+    if front_distance < distance:
+        ahead = np.bitwise_count(differ[k, i, j] & lead[k]) <= front_distance
+        k, i, j = k[ahead], i[ahead], j[ahead]
+    return left[k, i], right[k, j], int(inside.sum())
+
+
 def _spread(tree: _Tree, level: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The smallest and largest label below each node of a level."""
     low = high = label
@@ -196,50 +277,60 @@ def _spread(tree: _Tree, level: int, label: np.ndarray) -> tuple[np.ndarray, np.
     return low, high
 
 
-def search_links(fps: DataFrame, distance: int = DISTANCE, tile_rows: int = TILE_ROWS) -> DataFrame:
+def _search(block: np.ndarray, distance: int, turns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within whole pairs of leaves; block: rows turn, a, b, side and rot, sorted by these, rot by Gray rank."""
+    change = (block[:4, 1:] != block[:4, :-1]).any(axis=0)
+    begins = np.flatnonzero(np.concatenate([[True], change]))
+    turn, a, b, side = block[:4, begins]
+    alone = np.flatnonzero(a == b)
+    first = np.flatnonzero((a != b) & (side == 0))
+    one, two = np.concatenate([alone, first]), np.concatenate([alone, first + 1])
+    front = np.array(_front(turns), np.int64).view(np.uint64)[turn[one]]
+    rot = np.ascontiguousarray(block[4]).view(np.uint64)
+    label = components_of(begins, one, two, rot, distance, front, distance // turns)
+    child = np.flatnonzero(label != np.arange(len(label)))
+    # Turned back, so that links are between fingerprints.
+    back = np.array([n for n, _ in segments(turns)], np.uint64)[block[0][child]]
+    turned = lambda x: ((x >> back) | (x << ((np.uint64(64) - back) & np.uint64(63)))).view(np.int64)
+    return turned(rot[child]), turned(rot[label[child]])
+
+
+def search_links(fps: DataFrame, distance: int = DISTANCE, turns: int = TURNS, node_rows: int = NODE_ROWS) -> DataFrame:
     """(a, b): links that join all fingerprints (column fp, distinct) at most `distance` bits apart, and no others."""
-    keyed = fps.select("fp", F.explode(segment_keys(F.col("fp"), distance)).alias("key"))
-    sizes = keyed.groupBy("key").count()
-    # Keys of two or more; of those beyond a tile, every two tiles.
-    several = sizes.where("count > 1").select("key", F.ceil(F.col("count") / tile_rows).cast("int").alias("tiles"))
-    tiled = keyed.join(several, "key")
-    mine = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, mine).alias("s"), F.greatest(t, mine).alias("t"))
-    )
-    dealt = tiled.select("key", "fp", F.explode(pairs).alias("x")).select("key", "x.s", "x.t", "fp", gray_rank(F.col("fp")).alias("rank"))
-    sorted_ = dealt.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t", "rank")
+    index, leaves = gray_index(fps, turns, node_rows)
+    pairs = materialise(open_leaves(index, leaves, distance, turns), "leaf-pairs")
+    both = F.array(F.struct(F.col("a").alias("leaf"), F.lit(0).alias("side")), F.struct(F.col("b").alias("leaf"), F.lit(1).alias("side")))
+    dealt = pairs.select("turn", "a", "b", F.inline(both)).where("a != b or side = 0").join(index, ["turn", "leaf"])
+    names = ("turn", "a", "b", "side")
+    met = dealt.select(*names, "rot").repartition("turn", "a", "b")
+    met = met.withColumn("rank", gray_rank(F.col("rot")).bitwiseXOR(F.lit(-(1 << 63)))).sortWithinPartitions(*names, "rank")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         rows = 0
 
         def found(block: np.ndarray) -> pa.RecordBatch:
-            change = np.concatenate([[True], (block[:3, 1:] != block[:3, :-1]).any(axis=0)])
-            group = np.cumsum(change)
-            label = components_of(group, block[3].view(np.uint64), distance)
-            child = np.flatnonzero(label != np.arange(len(label)))
-            return pa.RecordBatch.from_arrays([pa.array(block[3][child]), pa.array(block[3][label[child]])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays(list(map(pa.array, _search(block, distance, turns))), names=["a", "b"])
 
         for batch in batches:
-            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]))
+            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]))
             rows += batch.num_rows
-            if rows < tile_rows:
+            if rows < GATHER_ROWS:
                 continue
             block = np.concatenate(held, axis=1)
-            last = block[:3, -1:]
-            whole = int(np.flatnonzero((block[:3] != last).any(axis=0))[-1]) + 1 if (block[:3] != last).any() else 0
+            other = np.flatnonzero((block[:3] != block[:3, -1:]).any(axis=0))
+            whole = int(other[-1]) + 1 if len(other) else 0
             if whole:
                 yield found(block[:, :whole])
             held = [block[:, whole:]]
-            rows = 0 if whole else -block.shape[1]  # a long group is not tried again and again
+            rows = block.shape[1] - whole if whole else 0  # a long pair is not tried again and again
         if held and (block := np.concatenate(held, axis=1)).shape[1]:
             yield found(block)
 
-    return sorted_.select("key", "s", "t", "fp").mapInArrow(search, "a bigint, b bigint")
+    return met.select(*names, "rot").mapInArrow(search, "a bigint, b bigint")
 
 
-def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, tile_rows: int = TILE_ROWS) -> DataFrame:
+def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, node_rows: int = NODE_ROWS) -> DataFrame:
     """(doc_id, fp, component_id), a row for each row of df.
 
     component_id is the smallest doc_id that links reach, its own included; links go
@@ -252,20 +343,20 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
         fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text", "fp", shingle).drop("_text"),
         "fingerprints",
     )
-    named = _named(rows, distance, tile_rows).drop("component")
-    return salted_lookup(rows, named, "fp", F.col("doc_id"), 8).select("doc_id", "fp", "component_id")
+    return lookup(rows, _named(rows, distance, node_rows).drop("component"), "fp", "n").select("doc_id", "fp", "component_id")
 
 
-def _named(rows: DataFrame, distance: int, tile_rows: int) -> DataFrame:
-    """(fp, component, component_id) of each fingerprint in rows (doc_id, fp); component is the smallest fingerprint that links reach."""
-    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
-    links = search_links(classes.select("fp"), distance, tile_rows)
+def _named(rows: DataFrame, distance: int, node_rows: int) -> DataFrame:
+    """(fp, n, component, component_id) of each fingerprint in rows (doc_id, fp), n of them; component is the smallest fingerprint that links reach."""
+    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "fingerprint-classes")
+    links = search_links(classes.select("fp"), distance, node_rows=node_rows)
     joined = connected_components(links, "a", "b")
     # Most fingerprints have no link and are their own component.
-    linked = joined.join(classes, joined.node == classes.fp).select("fp", "component", "first")
-    least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    linked = salted_lookup(linked, least, "component", F.col("fp")).select("fp", "component", "component_id")
-    return classes.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "first").alias("component_id"))
+    linked = materialise(joined.join(classes, joined.node == classes.fp).select("fp", "component", "first"), "linked-fingerprints")
+    least = materialise(linked.groupBy("component").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("size")), "component-ids")
+    linked = lookup(linked, least, "component", "size").select("fp", "component", "component_id")
+    named = classes.join(linked, "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "first").alias("component_id"))
+    return materialise(named, "named-fingerprints")
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -279,12 +370,18 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 def keep_one(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Of numbered rows one of each component, that with the smallest id, null last; groups: (_n, doc_id, component)."""
-    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_n")).alias("x"))
-    return rows.join(first.select("x._n"), "_n", "left_semi").select("_row.*")
+    """Of numbered rows one of each component, that with the smallest id, null last.
+
+    groups: (_n, doc_id, component), materialised; rows that are alone may be left out of it.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_n")
+    first = groups.groupBy("component").agg(F.min(order).alias("x"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    first = materialise(first.select("component", F.col("x._n").alias("_stays"), "size"), "kept-rows")
+    dropped = lookup(groups, first, "component", "size").where("_n != _stays").select("_n")
+    return rows.join(small_side(materialise(dropped, "dropped-rows")), "_n", "left_anti").select("_row.*")
 
 
-def drop_near(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, tile_rows: int = TILE_ROWS) -> DataFrame:
+def drop_near(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, node_rows: int = NODE_ROWS) -> DataFrame:
     """df with one row of each component, the one with its smallest id; columns as before, whatever their names.
 
     Rows are told apart by a number of their own, so null and repeated ids are no harm: a
@@ -293,5 +390,5 @@ def drop_near(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     rows = numbered(df)
     read = rows.select("_n", F.col("_row")[doc_id].alias("doc_id"), F.col("_row")[text].alias("_text"))
     found = materialise(fingerprints(read, "_text", "fp", shingle).drop("_text"), "fingerprints")
-    named = _named(found.select("doc_id", "fp"), distance, tile_rows).select("fp", "component")
-    return keep_one(rows, salted_lookup(found, named, "fp", F.col("_n"), 8))
+    named = _named(found.select("doc_id", "fp"), distance, node_rows).drop("component_id")
+    return keep_one(rows, materialise(lookup(found, named, "fp", "n"), "near-groups"))

@@ -158,6 +158,20 @@ def test_licenses(spark, odd):
     found = {r["doc_id"]: r for r in licenses.scan_licenses(df).collect()}
     assert {k: r["licenses"] for k, r in found.items()} == {1: ["MIT"], 2: ["GPL-3.0-or-later"], 3: [], 4: ["Apache-2.0", "CC-BY-NC-4.0"], 5: [], 6: [], 7: ["MIT"]}
     assert [tuple(s) for s in found[1]["license_sentences"]] == [(1, "mit")]
+    notices = {
+        "GPL-3.0-or-later": "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.\n",
+        "LGPL-2.1-or-later": " * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.\n *\n * This library is distributed",
+        "GPL-2.0-only": "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License version 2 as\n# published by the Free Software Foundation.\n",
+        "Apache-2.0": "Copyright 2024 A\n\nLicensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n",
+        "MIT": "Copyright (c) 2024 A\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright",
+        "BSD": "// Redistribution and use in source and binary forms, with or without\n// modification, are permitted provided that the following conditions are\n// met:\n//\n//    * Redistributions of source code must retain the above copyright\n// notice, this list of conditions and the following disclaimer.\n",
+        "CC-BY-SA-4.0": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.",
+        "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this",
+    }
+    wrapped = spark.createDataFrame(list(notices.items()), "name string, text string")
+    assert {r["name"]: r["licenses"] for r in licenses.scan_licenses(wrapped).collect()} == {k: [k] for k in notices}
+    first = {r["name"]: r["license_sentences"][0]["at"] for r in licenses.scan_licenses(wrapped).collect()}
+    assert first["GPL-3.0-or-later"] == 0 and first["Apache-2.0"] == first["MIT"] == 2
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(odd.limit(0)).count() == 0
 
 
@@ -209,24 +223,58 @@ def test_fingerprints(spark):
     assert simhash.fingerprint("a b c d") == got
 
 
-@pytest.mark.parametrize("tile", [5, 50_000])
-def test_components_of_fingerprints(spark, tile):
+def signed(fps):
+    return np.array(fps, np.uint64).view(np.int64).tolist()
+
+
+@pytest.mark.parametrize("node_rows", [16, 50_000])
+def test_components_of_fingerprints(spark, node_rows):
     rng = np.random.default_rng(4)
-    base = rng.integers(0, 2**63, 12, dtype=np.uint64)
+    base = rng.integers(0, 2**64, 12, dtype=np.uint64)
     fps = [int(base[k % 12]) for k in range(150)]
     for k in range(150):
         for _ in range(int(rng.integers(0, 6))):
             fps[k] ^= 1 << int(rng.integers(0, 64))
     fps = sorted(set(fps))
-    df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp bigint")
-    links = simhash.search_links(df, tile_rows=tile)
+    df = spark.createDataFrame([(f,) for f in signed(fps)], "fp bigint")
+    links = simhash.search_links(df, node_rows=node_rows)
     found = {r["node"]: r["component"] for r in connected_components(links, "a", "b").collect()}
-    signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
-    mine = [found.get(f, f) for f in signed]
+    mine = [found.get(f, f) for f in signed(fps)]
     want = brute_components(fps)
     assert all((mine[a] == mine[b]) == (want[a] == want[b]) for a in range(len(fps)) for b in range(a))
 
 
+def test_index_of_many_like_fingerprints_prunes_groups(spark):
+    """4,000 fingerprints, 1,500 of which agree in a third of their bits, so that trees have several levels."""
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 2**64, 4_000, dtype=np.uint64)
+    fps[:1_500] = (fps[0] & np.uint64(0xFFFFFC0000000000)) | (fps[:1_500] & np.uint64(0x3FFFFFFFFFF))
+    for k in range(3_000, 4_000):
+        fps[k] = fps[k - 2_900] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, int(rng.integers(1, 7)), dtype=np.uint64))
+    fps = np.unique(fps)
+    apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    want = {frozenset(p) for p in zip(*np.nonzero(apart <= 4), strict=True) if p[0] < p[1]}
+    df = spark.createDataFrame([(f,) for f in signed(fps)], "fp bigint")
+    at = {f: k for k, f in enumerate(signed(fps))}
+    links = {frozenset((at[r["a"]], at[r["b"]])) for r in simhash.search_links(df, node_rows=600).collect()}
+    assert links <= want
+    join = lambda pairs: dict(map(tuple, connected_components(spark.createDataFrame([tuple(map(int, p)) for p in pairs], "a int, b int"), "a", "b").collect()))
+    assert len(want) > 500 and join(links) == join(want)
+    index, leaves = simhash.gray_index(df, node_rows=600)
+    report, inner = [], {}
+    simhash.open_leaves(index, leaves, report=report).count()
+    assert leaves >= 18 and report[-1][1] > report[-1][2] > 0
+    order = np.argsort([int(x) for x in simhash_rank(fps)], kind="stable")
+    simhash.components_of(np.array([0]), np.array([0]), np.array([0]), fps[order], report=inner)
+    assert all(inner[level][0] > inner[level][1] for level in (0, 1))
+
+
+def simhash_rank(x):
+    for shift in (1, 2, 4, 8, 16, 32):
+        x = x ^ (x >> np.uint64(shift))
+    return x
+
+
 def test_near_groups(spark, odd):
     docs = documents(spark).select("doc_id", "text")
     found = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()}
