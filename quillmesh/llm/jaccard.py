@@ -30,7 +30,7 @@ TENTHS = 8
 #: Fingerprints of a class, bits in which those of a family's classes may differ, and rotations of the index.
 PRINTS, DISTANCE, TURNS = 3, 9, 5
 #: Shingles of a tile, about; a text of more has a tile of its own.
-TILE_SHINGLES = 100_000
+TILE_SHINGLES = 400_000
 
 
 def shingle_set(hashes: list[np.ndarray]) -> np.ndarray:

@@ -10,10 +10,10 @@ all its fingerprints share, FAN leaves make an upper node with the bits that the
 
 From the top down, a pair of nodes is opened only while the differences in bits that both
 share, in front and in all, stay within their limits; a whole group of pairs goes where they do
-not. That is a join of the pair table with the nodes, level by level. Each pair of
-leaves that is left is searched by one task in the same way, down to single fingerprints.
+not. That is a join of the pair table with the nodes, level by level. Each leaf
+is searched with the partners that are left to it by one task in the same way, down to single fingerprints.
 
-What comes out of a pair of leaves is a star for each component in it, not its pairs, so a group of
+What comes out of a task is a star for each component in it, not its pairs, so a group of
 n fingerprints gives at most n links.
 """
 
@@ -278,32 +278,39 @@ def _spread(tree: _Tree, level: int, label: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _search(block: np.ndarray, distance: int, turns: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within whole pairs of leaves; block: rows turn, a, b, side and rot, sorted by these, rot by Gray rank."""
-    change = (block[:4, 1:] != block[:4, :-1]).any(axis=0)
-    begins = np.flatnonzero(np.concatenate([[True], change]))
-    turn, a, b, side = block[:4, begins]
-    alone = np.flatnonzero(a == b)
-    first = np.flatnonzero((a != b) & (side == 0))
-    one, two = np.concatenate([alone, first]), np.concatenate([alone, first + 1])
-    front = np.array(_front(turns), np.int64).view(np.uint64)[turn[one]]
-    rot = np.ascontiguousarray(block[4]).view(np.uint64)
-    label = components_of(begins, one, two, rot, distance, front, distance // turns)
-    child = np.flatnonzero(label != np.arange(len(label)))
+    """Links between leaves and their partners; block: rows turn, a, leaf and rot of whole (turn, a), sorted by these, rot by Gray rank.
+
+    Leaf a, the first of each (turn, a), meets itself and all others there. A component's centre is its least fingerprint.
+    """
+    begins = np.flatnonzero(np.concatenate([[True], (block[:3, 1:] != block[:3, :-1]).any(axis=0)]))
+    turn, a, leaf = block[:3, begins]
+    # A leaf's own part is the latest part before each that is its leaf's own.
+    one = np.maximum.accumulate(np.where(leaf == a, np.arange(len(begins)), 0))
+    front = np.array(_front(turns), np.int64).view(np.uint64)[turn]
+    rot = np.ascontiguousarray(block[3]).view(np.uint64)
+    label = components_of(begins, one, np.arange(len(begins)), rot, distance, front, distance // turns)
     # Turned back, so that links are between fingerprints.
-    back = np.array([n for n, _ in segments(turns)], np.uint64)[block[0][child]]
-    turned = lambda x: ((x >> back) | (x << ((np.uint64(64) - back) & np.uint64(63)))).view(np.int64)
-    return turned(rot[child]), turned(rot[label[child]])
+    back = np.array([n for n, _ in segments(turns)], np.uint64)[block[0]]
+    fps = ((rot >> back) | (rot << ((np.uint64(64) - back) & np.uint64(63)))).view(np.int64)
+    child = np.flatnonzero(label != np.arange(len(label)))
+    low = fps.copy()
+    np.minimum.at(low, label[child], fps[child])
+    member = np.union1d(child, label[child])
+    centre = low[label[member]]
+    apart = fps[member] != centre
+    return fps[member][apart], centre[apart]
 
 
 def search_links(fps: DataFrame, distance: int = DISTANCE, turns: int = TURNS, node_rows: int = NODE_ROWS) -> DataFrame:
-    """(a, b): links that join all fingerprints (column fp, distinct) at most `distance` bits apart, and no others."""
+    """(a, b): links that join all fingerprints (column fp, distinct) at most `distance` bits apart, and no others.
+
+    A leaf meets all its partners in one task, so it moves once and its partners once each.
+    """
     index, leaves = gray_index(fps, turns, node_rows)
     pairs = materialise(open_leaves(index, leaves, distance, turns), "leaf-pairs")
-    both = F.array(F.struct(F.col("a").alias("leaf"), F.lit(0).alias("side")), F.struct(F.col("b").alias("leaf"), F.lit(1).alias("side")))
-    dealt = pairs.select("turn", "a", "b", F.inline(both)).where("a != b or side = 0").join(index, ["turn", "leaf"])
-    names = ("turn", "a", "b", "side")
-    met = dealt.select(*names, "rot").repartition("turn", "a", "b")
-    met = met.withColumn("rank", gray_rank(F.col("rot")).bitwiseXOR(F.lit(-(1 << 63)))).sortWithinPartitions(*names, "rank")
+    names = ("turn", "a", "leaf")
+    dealt = pairs.withColumnRenamed("b", "leaf").join(index, ["turn", "leaf"]).select(*names, "rot").repartition("turn", "a")
+    met = dealt.withColumn("rank", gray_rank(F.col("rot")).bitwiseXOR(F.lit(-(1 << 63)))).sortWithinPartitions(*names, "rank")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -313,17 +320,17 @@ def search_links(fps: DataFrame, distance: int = DISTANCE, turns: int = TURNS, n
             return pa.RecordBatch.from_arrays(list(map(pa.array, _search(block, distance, turns))), names=["a", "b"])
 
         for batch in batches:
-            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]))
+            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]))
             rows += batch.num_rows
             if rows < GATHER_ROWS:
                 continue
             block = np.concatenate(held, axis=1)
-            other = np.flatnonzero((block[:3] != block[:3, -1:]).any(axis=0))
+            other = np.flatnonzero((block[:2] != block[:2, -1:]).any(axis=0))
             whole = int(other[-1]) + 1 if len(other) else 0
             if whole:
                 yield found(block[:, :whole])
             held = [block[:, whole:]]
-            rows = block.shape[1] - whole if whole else 0  # a long pair is not tried again and again
+            rows = block.shape[1] - whole if whole else 0  # a long group is not tried again and again
         if held and (block := np.concatenate(held, axis=1)).shape[1]:
             yield found(block)
 
