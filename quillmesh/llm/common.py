@@ -63,6 +63,8 @@ def held_fold(doc_id: Column, folds: int) -> Column:
 BROADCAST_IDS = 1_000_000
 #: A key is hot from this share of all rows on, so there are at most so many hot keys.
 HOT_KEYS = 10_000
+#: Tasks over which a component's centre is dealt.
+SALTS = 8
 
 
 def small_side(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
@@ -109,9 +111,10 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
         if not before[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"), "n")
-        # A star's centre is the hot key of this join.
-        large = lookup(e, low.checkpoint(), "v", "n").select("u", F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        # A star's centre is the hot key of this join; it is dealt over SALTS tasks. Only nodes with an edge are in it.
+        dealt = e.withColumn("_salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))
+        large = dealt.join(low.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["v", "_salt"]).select("u", F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(
             F.explode(
