@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, exact_dedup, langid, licenses, mixing, quality, simhash, token_counts, url_filter
+from . import bpe, embed_dedup, exact_dedup, fim, langid, licenses, mixing, quality, simhash, token_counts, url_filter
 from .common import held_fold, table
 
 #: Rules of the url query: fixed values.
@@ -91,8 +91,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restore(F.col("output"), F.col("form"))).alias("restored_sha256")
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_licenses, op4_quality, op5_simhash, op6_mixing, op7_exact_dedup, op8_langid, op9_embed_dedup, op10_url_filter)}
+    numbered = (op1_bpe, op2_token_counts, op3_licenses, op4_quality, op5_simhash, op6_mixing, op7_exact_dedup, op8_langid, op9_embed_dedup, op10_url_filter, op13_fim)
+    return {f.__name__: f for f in numbered}
 
 
 _KNOWN = ", ".join(f"('{k}', '{v}')" for k, v in licenses.SENTENCES.items())
@@ -202,6 +211,26 @@ WITH p AS (
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN fit USING (page_id)""",
 }
 
+ORACLES["op13_fim"] = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS units
+  FROM documents
+), c AS (
+  SELECT *, len(units) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), p AS (
+  SELECT doc_id, text, n, form, array_to_string(units[1:least(a, b)], '') AS prefix, array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS middle,
+    array_to_string(units[greatest(a, b) + 1:], '') AS suffix
+  FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
