@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, exact_dedup, fim, langid, licenses, mixing, quality, simhash, token_counts, url_filter
+from . import bpe, embed_dedup, exact_dedup, fim, langid, licenses, mixing, quality, repair, simhash, token_counts, url_filter
 from .common import held_fold, table
 
 #: Rules of the url query: fixed values.
@@ -91,6 +91,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.audit_conversations(repair.damage(turns), turns)
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = lambda x: F.sha2(x.cast("binary"), 256)
@@ -100,7 +105,7 @@ def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    numbered = (op1_bpe, op2_token_counts, op3_licenses, op4_quality, op5_simhash, op6_mixing, op7_exact_dedup, op8_langid, op9_embed_dedup, op10_url_filter, op13_fim)
+    numbered = (op1_bpe, op2_token_counts, op3_licenses, op4_quality, op5_simhash, op6_mixing, op7_exact_dedup, op8_langid, op9_embed_dedup, op10_url_filter, op12_repair, op13_fim)
     return {f.__name__: f for f in numbered}
 
 
@@ -211,6 +216,70 @@ WITH p AS (
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN fit USING (page_id)""",
 }
 
+#: The CRC-32 of a text's bytes, by the table's rule.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, octet_length(encode({x})) + 1), lambda k: CAST(('0x' || hex(encode({x}))[2 * k - 1:2 * k]) AS BIGINT))), lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+#: Adds an edit, and up to two insertions before it, to the least paths; at the end also after the last.
+ORACLES["op12_repair"] = f"""
+WITH RECURSIVE crc(n, k, c) AS (
+  SELECT range, 0, CAST(range AS BIGINT) FROM range(256)
+  UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE k < 8
+), tab AS (SELECT list(c ORDER BY n) AS crc_table FROM crc WHERE k = 8),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations
+), coded AS (SELECT keyed.*, {_CRC.format(x="key")} % 20 AS kind FROM keyed, tab),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM coded WHERE kind <> 0
+), placed AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text[1:64], sha256(text), copy) AS pos FROM damaged
+), seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS nth, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS body,
+    role[1:1] AS initial, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY pos) AS former
+  FROM placed
+), faults AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN body[-1:] NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault FROM seen
+), arcs(g, initial, h) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+adds(g, h, cost, label) AS (
+  SELECT g, g, 0, '' FROM range(4) t(g) UNION ALL SELECT g, h, 3, 'I' FROM arcs WHERE initial <> 's'
+  UNION ALL SELECT a.g, b.h, 6, 'II' FROM arcs a JOIN arcs b ON a.h = b.g WHERE a.initial <> 's' AND b.initial <> 's'
+), steps AS (
+  SELECT f.conv_id, f.pos, g, g AS h, 4 AS cost, 'D' AS label FROM faults f, range(4) t(g)
+  UNION ALL SELECT conv_id, pos, g, h, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, 'K' FROM faults JOIN arcs USING (initial) WHERE fault IN ('none', 'truncated')
+  UNION ALL SELECT conv_id, pos, g, h, CASE WHEN fault = 'truncated' THEN 6 ELSE 3 END, 'R' FROM faults, arcs WHERE arcs.initial <> 's' AND fault IN ('none', 'truncated')
+), moves AS (
+  SELECT s.conv_id, s.pos, a.g, s.h, a.cost + s.cost AS cost, a.label || s.label AS label FROM adds a JOIN steps s ON a.h = s.g
+), least(conv_id, pos, g, best) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), {{'cost': CAST(0 AS BIGINT), 'label': ''}} FROM faults
+  UNION ALL
+  SELECT m.conv_id, m.pos, m.h, min({{'cost': l.best.cost + m.cost, 'label': l.best.label || m.label}})
+  FROM least l JOIN moves m ON m.conv_id IS NOT DISTINCT FROM l.conv_id AND m.pos = l.pos + 1 AND m.g = l.g
+  GROUP BY m.conv_id, m.pos, m.h
+), ends AS (
+  SELECT l.conv_id, min({{'cost': l.best.cost + a.cost, 'label': l.best.label || a.label}}) AS best
+  FROM least l JOIN adds a USING (g) JOIN (SELECT conv_id, max(pos) AS pos FROM faults GROUP BY conv_id) n ON n.conv_id IS NOT DISTINCT FROM l.conv_id AND n.pos = l.pos
+  WHERE a.h IN (0, 3) GROUP BY l.conv_id
+), labels AS (
+  SELECT conv_id, unnest(string_split(best.label, '')) AS label, generate_subscripts(string_split(best.label, ''), 1) AS k FROM ends WHERE best.label <> ''
+), walked AS (
+  SELECT *, sum(CASE WHEN label <> 'I' THEN 1 ELSE 0 END) OVER w AS pos, sum(CASE WHEN label <> 'D' THEN 1 ELSE 0 END) OVER w AS nth,
+    sum(CASE WHEN label <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS n
+  FROM labels WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+), lines AS (
+  SELECT w.conv_id, w.k, CASE WHEN label = 'K' THEN f.role WHEN (w.nth - n % 2) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN label = 'I' THEN '' ELSE f.text END AS line
+  FROM walked w LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.pos = w.pos WHERE label <> 'D'
+), hashes AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY k)) AS repaired_sha256 FROM lines GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (former IS NOT NULL AND NOT (former, initial) IN (('s', 'u'), ('u', 'a'), ('a', 'u'))) AS illegal
+  FROM faults GROUP BY conv_id
+), ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(e.best.cost, 0) AS cost, coalesce(e.best.label, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM ids i LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN hashes h ON h.conv_id IS NOT DISTINCT FROM i.conv_id"""
 ORACLES["op13_fim"] = """
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
