@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, exact_dedup, fim, langid, licenses, mixing, quality, repair, simhash, token_counts, url_filter
+from . import bpe, embed_dedup, exact_dedup, fim, langid, licenses, mixing, quality, repair, simhash, suffix_dedup, token_counts, url_filter
 from .common import held_fold, table
 
 #: Rules of the url query: fixed values.
@@ -91,6 +91,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return repair.audit_conversations(repair.damage(turns), turns)
@@ -105,7 +110,7 @@ def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    numbered = (op1_bpe, op2_token_counts, op3_licenses, op4_quality, op5_simhash, op6_mixing, op7_exact_dedup, op8_langid, op9_embed_dedup, op10_url_filter, op12_repair, op13_fim)
+    numbered = (op1_bpe, op2_token_counts, op3_licenses, op4_quality, op5_simhash, op6_mixing, op7_exact_dedup, op8_langid, op9_embed_dedup, op10_url_filter, op11_suffix_dedup, op12_repair, op13_fim)
     return {f.__name__: f for f in numbered}
 
 
