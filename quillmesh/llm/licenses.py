@@ -31,6 +31,9 @@ NOTICES = {
     "you may not use this file except in compliance with the license": "apache-use",
     "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache-copy",
     "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-copy",
+    "you may obtain a copy of the license at": "apache-copy",
+    "http www apache org licenses license 2 0": "apache-url",
+    "https www apache org licenses license 2 0": "apache-url",
     "released under the mit license": "mit",
     "licensed under the mit license": "mit",
     "this project is licensed under the mit license": "mit",
@@ -43,6 +46,7 @@ NOTICES = {
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-name",
     "this work is licensed under the gnu general public license version 3": "gpl3",
     "licensed under the gnu general public license version 3": "gpl3",
     "licensed under the gnu general public license version 2": "gpl2",
@@ -55,6 +59,15 @@ NOTICES = {
     "distributed under the boost software license version 1 0": "boost",
     "all rights reserved": "reserved",
 }
+#: Short identifiers of public licences that a line may name: fixed values.
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only",
+    "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+)
+#: How a notice of the Eclipse licence names it and where it is found: fixed values.
+EPL_TERMS = "this program and the accompanying materials are made available under the terms of the eclipse public license {name} which {where}"
+EPL_NAMES = ("2 0", "v2 0", "v 2 0")
+EPL_WHERE = ("is available at https www eclipse org legal epl 2 0", "is available at http www eclipse org legal epl 2 0", "accompanies this distribution and is available at https www eclipse org legal epl 2 0")
 #: Kinds and versions of the Creative Commons licences, and the ways in which a work names one: fixed values.
 CC_KINDS = {
     "by": "attribution", "by sa": "attribution sharealike", "by nc": "attribution noncommercial", "by nd": "attribution noderivatives",
@@ -81,6 +94,10 @@ def _known() -> dict[str, str]:
     out = dict(NOTICES)
     for (short, long), version, way in product(CC_KINDS.items(), CC_VERSIONS, CC_WAYS):
         out[way.format(short=short, long=long, version=_words(version))] = f"cc-{short.replace(' ', '-')}-{version}"
+    for name in SPDX:
+        out["spdx license identifier " + name.lower().replace("-", " ").replace(".", " ")] = f"spdx-{name.lower()}"
+    for name, where in product(EPL_NAMES, EPL_WHERE):
+        out[EPL_TERMS.format(name=name, where=where)] = "epl2"
     for work in GNU_WORKS:
         out[f"this {work} is free software"] = "gnu-free"
     for kind, name in GNU_NAMES.items():
@@ -102,8 +119,11 @@ SENTENCES = _known()
 
 @dataclass(frozen=True)
 class Rule:
+    """alone: the licence counts only where no other is found."""
+
     license: str
     sequence: tuple[str, ...]
+    alone: bool = False
 
 
 def _rules() -> tuple[Rule, ...]:
@@ -112,16 +132,17 @@ def _rules() -> tuple[Rule, ...]:
     full = lambda v: v if "." in v else f"{v}.0"
     out = [Rule("Apache-2.0", ("apache2", "apache-use", "apache-copy")), Rule("Apache-2.0", ("apache2", "apache-use"))]
     out += [Rule("MIT", ("mit", "mit-grant", "mit-condition")), Rule("MIT", ("mit-grant", "mit-condition"))]
-    out += [Rule("BSD", ("bsd-grant", "bsd-source", "bsd-binary")), Rule("BSD", ("bsd-grant", "bsd-source"))]
+    out += [Rule("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")), Rule("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")), Rule("BSD", ("bsd-grant", "bsd-source"))]
+    out += [Rule(name, (f"spdx-{name.lower()}",)) for name in SPDX]
     for kind, version in product(gnu, GNU_VERSIONS):
         later = f"v{version}-or-later"
         out += [Rule(f"{gnu[kind]}-{full(version)}-or-later", x) for x in (("gnu-free", f"{kind}-notice", later), (f"{kind}-notice", later), ("gnu-free", f"{kind}{version}-or-later"), (f"{kind}{version}-or-later",))]
         out += [Rule(f"{gnu[kind]}-{full(version)}-only", x) for x in (("gnu-free", f"{kind}{version}-only"), (f"{kind}{version}-only",))]
-    out += [Rule("Apache-2.0", ("apache2",)), Rule("GPL-3.0-only", ("gpl3",)), Rule("GPL-2.0-only", ("gpl2",))]
+    out += [Rule("Apache-2.0", ("apache2",)), Rule("Apache-2.0", ("apache-copy", "apache-url")), Rule("Apache-2.0", ("apache-url",)), Rule("EPL-2.0", ("epl2",)), Rule("GPL-3.0-only", ("gpl3",)), Rule("GPL-2.0-only", ("gpl2",))]
     out += [Rule(gnu[kind], (f"{kind}-notice",)) for kind in gnu]
     out += [Rule("MIT", ("mit",)), Rule("MIT", ("mit-grant",)), Rule("ISC", ("isc-grant",)), Rule("MPL-2.0", ("mpl2",)), Rule("Unlicense", ("unlicense",)), Rule("CC0-1.0", ("cc0",)), Rule("BSL-1.0", ("boost",))]
     out += [Rule(f"CC-{short.replace(' ', '-').upper()}-{version}", (f"cc-{short.replace(' ', '-')}-{version}",)) for short, version in product(reversed(CC_KINDS), CC_VERSIONS)]
-    return (*out, Rule("BSD", ("bsd-grant",)), Rule("Proprietary", ("reserved",)))
+    return (*out, Rule("BSD", ("bsd-grant",)), Rule("Proprietary", ("reserved",), alone=True))
 
 
 RULES = _rules()
@@ -190,7 +211,10 @@ def match_rules(ids: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     start = F.struct(rest.alias("rest"), F.array().cast("array<string>").alias("found"))
     hit = lambda x, r: F.contains(x["rest"], r["pattern"])
     tried = F.reduce(steps, start, lambda x, r: F.when(hit(x, r), F.struct(F.replace(x["rest"], r["pattern"], F.lit("|")).alias("rest"), F.array_append(x["found"], r["license"]).alias("found"))).otherwise(x))
-    return F.when(F.size(ids) > 0, tried["found"]).otherwise(F.array().cast("array<string>"))
+    alone = list({r.license for r in rules if r.alone})
+    others = lambda all_: F.filter(all_, lambda x: ~x.isin(alone)) if alone else all_
+    named = _once(tried["found"], lambda all_: F.when(F.size(others(all_)) > 0, others(all_)).otherwise(all_))
+    return F.when(F.size(ids) > 0, named).otherwise(F.array().cast("array<string>"))
 
 
 def scan_licenses(df: DataFrame, text: str = "text", sentences: dict[str, str] = SENTENCES, rules: tuple[Rule, ...] = RULES) -> DataFrame:

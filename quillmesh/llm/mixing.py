@@ -8,7 +8,9 @@ order, until the words left to take are nearest to none.
 
 What is collected on the driver is one row a source. Documents that decide where the
 extra copies end are found in two steps, sums by 4,096 ranges of the seeded order and
-then the order within one range, so a source of any size is never sorted as a whole.
+then the order within one range, so a source of any size is never sorted as a whole. Rows
+alike in id and text share their place; where the words run out among them, they are numbered and so many of
+them are taken as fit.
 """
 
 from __future__ import annotations
@@ -84,28 +86,48 @@ def source_targets(light: DataFrame, weight=default_weight, max_epochs: float =
 
 
 def last_places(light: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, last): the place of the last document that is taken once more; null for none."""
+    """(source, last, edge, take): the last key (place and tie) of which all rows are taken once more; and the key of which only `take` rows are, null for none."""
     part = F.substring("place", 1, 3)
     sums = light.groupBy("source", part.alias("part")).agg(F.sum("size").alias("part_size"))
     order = Window.partitionBy("source").orderBy("part")
     sums = sums.withColumn("before", F.sum("part_size").over(order) - F.col("part_size"))
     named = targets.select(F.col("source").alias("_s"), "extra")
-    # The range of places in which the extra words run out.
+    # The range of places in which the extra words run out: a row a source.
     edge = sums.join(named, F.col("source").eqNullSafe(F.col("_s"))).where(
         (F.col("before") < F.col("extra")) & (F.col("before") + F.col("part_size") >= F.col("extra"))
     ).select(F.col("source").alias("_s"), F.col("part").alias("_p"), "before", "extra")
-    inside = light.join(edge, F.col("source").eqNullSafe(F.col("_s")) & (part == F.col("_p")))
-    fine = Window.partitionBy("source", "_p").orderBy("place", "tie")
-    inside = inside.withColumn("_until", F.col("before") + F.sum("size").over(fine))
-    taken = inside.where((F.col("size") > 0) & (F.col("_until") - F.col("size") / 2 < F.col("extra")))
-    in_edge = taken.groupBy("source").agg(F.max(F.concat("place", "tie")).alias("last"))
+    edge = materialise(edge, "mix-edges")
+    near = F.broadcast(edge) if edge.count() <= BROADCAST_SOURCES else edge
+    inside = light.join(near, F.col("source").eqNullSafe(F.col("_s")) & (part == F.col("_p")))
+    # Rows alike are one row with a number before the order is taken.
+    alike = inside.groupBy("source", "before", "extra", F.concat("place", "tie").alias("key"), "size").agg(F.count(F.lit(1)).alias("n")).where("size > 0")
+    fine = Window.partitionBy("source").orderBy("key", "size")
+    left = F.col("extra") - F.col("before") - (F.sum(F.col("n") * F.col("size")).over(fine) - F.col("n") * F.col("size"))
+    # The k-th of n rows is taken where less than half of it would be too much.
+    fits = F.least(F.col("n"), F.greatest(F.lit(0), F.ceil(left / F.col("size") + 0.5) - 1))
+    taken = alike.withColumn("take", fits.cast("long")).where("take > 0")
+    whole = F.col("take") == F.col("n")
+    in_edge = taken.groupBy("source").agg(F.max(F.when(whole, F.col("key"))).alias("last"), F.max(F.when(~whole, F.col("key"))).alias("edge"), F.max(F.when(~whole, F.col("take"))).alias("take"))
     low = edge.select(F.col("_s").alias("source"), F.col("_p").alias("low"))
     i, l = in_edge.alias("i"), low.alias("l")
     return l.join(i, F.col("l.source").eqNullSafe(F.col("i.source")), "left").select(
-        F.col("l.source").alias("source"), F.coalesce(F.col("i.last"), F.col("l.low")).alias("last")
+        F.col("l.source").alias("source"), F.coalesce(F.col("i.last"), F.col("l.low")).alias("last"), "edge", "take"
     )
 
 
+def _split_ties(tied: DataFrame) -> DataFrame:
+    """Rows (_row, source, ..., take, copies) that are alike within their source: the first `take` of them get a copy more.
+
+    They are written once and numbered by partition, so no task holds all of them.
+    """
+    rows = materialise(tied.withColumn("_id", F.monotonically_increasing_id()), "mix-ties").withColumn("_part", F.shiftright("_id", 33))
+    sizes = rows.groupBy("source", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    begins = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("source").orderBy("_part")) - F.col("_n")).select(F.col("source").alias("_s"), F.col("_part").alias("_q"), "_before")
+    placed = rows.join(begins, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_q")))
+    nth = F.col("_before") + F.row_number().over(Window.partitionBy("source", "_part").orderBy("_id"))
+    return placed.withColumn("copies", F.col("copies") + (nth <= F.col("take")).cast("long"))
+
+
 def _mixed(df: DataFrame, doc_id: str, text: str, source: str, weight, max_epochs: float, seed: int) -> DataFrame:
     """(_row, size, source_size, target, copies): df's rows as they are and what the mix makes of them."""
     keyed = df.select(
@@ -113,23 +135,27 @@ def _mixed(df: DataFrame, doc_id: str, text: str, source: str, weight, max_epoch
         F.col(source).alias("source"),
         words(F.col(text)).alias("size"),
         place(F.col(doc_id), seed).alias("place"),
-        F.lpad(F.hex(F.xxhash64(F.coalesce(F.col(text), F.lit("")))), 16, "0").alias("tie"),
+        F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("tie"),
     )
     light = materialise(keyed.drop("_row"), "mix-sizes")
     targets = source_targets(light, weight, max_epochs)
-    last = last_places(light, targets).select(F.col("source").alias("_l"), "last")
+    last = last_places(light, targets).withColumnRenamed("source", "_l")
     plan = materialise(
         targets.join(last, F.col("source").eqNullSafe(F.col("_l")), "left").select(
-            F.col("source").alias("_s"), "source_size", "target", "epochs", "last"
+            F.col("source").alias("_s"), "source_size", "target", "epochs", "last", "edge", "take"
         ),
         "mix-plan",
     )
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    once_more = F.coalesce(F.concat("place", "tie") <= F.col("last"), F.lit(False)).cast("long")
-    return keyed.join(plan, F.col("source").eqNullSafe(F.col("_s")), "left").select(
-        "_row", "size", "source_size", "target", (F.col("epochs") + once_more).alias("copies")
-    )
+    key = F.concat("place", "tie")
+    once_more = F.coalesce(key <= F.col("last"), F.lit(False)).cast("long")
+    made = ["_row", "size", "source_size", "target", "copies"]
+    planned = keyed.join(plan, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("copies", F.col("epochs") + once_more)
+    if plan.where("edge is not null").isEmpty():
+        return planned.select(made)
+    at_edge = F.coalesce(key == F.col("edge"), F.lit(False))
+    return planned.where(~at_edge).select(made).unionByName(_split_ties(planned.where(at_edge).select(*made, "source", "take")).select(made))
 
 
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight=default_weight, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
@@ -137,8 +163,8 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
 
     df's columns of these names are replaced. A source whose documents have no words has a
     target of zero. Documents without words are taken as often as others at their place,
-    which adds no words. Rows that are alike in id and text share their place and are
-    taken alike. Copies depend on the seed, the ids, the texts and the weights only, so
+    which adds no words. Rows that are alike in id and text share their place; where the extra words run
+    out among them, so many of them are taken once more as fit, any of them. Copies depend on the seed, the ids, the texts and the weights only, so
     runs agree. An empty table gives no rows.
     """
     new = ["size", "source_size", "target", "copies"]

@@ -216,16 +216,18 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Fit on labelled documents outside the held-out fold, at most max_rows of them.
 
     The sample is the rows with the smallest hashes of their id; its ids are broadcast, so
-    texts do not move. Its statistics, max_rows x len(STATS) numbers, come to the driver.
+    texts do not move. Its statistics, max_rows x len(STATS) numbers, come to the driver. An id that several
+    documents have counts once, with the least statistics, so it weighs no more than another.
     """
     chosen = (
         labels.where(F.col(label).isNotNull() & (held_fold(F.col("doc_id"), folds) != held))
         .select(F.col("doc_id").alias("_id"), F.col(label).cast("double").alias("_y"))
+        .distinct()
         .orderBy(F.xxhash64("_id"), "_id", "_y")
         .limit(max_rows)
     )
     known = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
-    found = add_stats(known, "_text", "_stats").select("_doc", "_y", "_stats").toPandas()
+    found = add_stats(known, "_text", "_stats").groupBy("_doc", "_y").agg(F.min("_stats").alias("_stats")).toPandas()
     found = found.sort_values(["_doc", "_y"], kind="stable")
     if not len(found):
         return Model(0.0)

@@ -120,6 +120,9 @@ _KNOWN = ", ".join(f"('{k}', '{v}')" for k, v in licenses.SENTENCES.items())
 #: Licences in the order of the first rule that names them.
 _ORDER = str(list(dict.fromkeys(r.license for r in licenses.RULES)))
 
+#: Licences that count only where no other is found.
+_ALONE = ", ".join(sorted({f"'{r.license}'" for r in licenses.RULES if r.alone}))
+
 
 def _license_sql() -> str:
     """Rules are tried one after another on the bracketed identifiers, as nested replacements."""
@@ -150,7 +153,8 @@ marked AS (
   SELECT doc_id, string_agg('<' || id || '>', '' ORDER BY pos, nr) AS ids, string_agg(pos || ':' || id, ',' ORDER BY pos, nr) AS sentences
   FROM alone GROUP BY doc_id
 ), named AS (
-  SELECT doc_id, list_distinct(list_filter([{", ".join(cases)}], lambda x: x IS NOT NULL)) AS found, sentences FROM lists
+  SELECT doc_id, list_distinct(list_filter([{", ".join(cases)}], lambda x: x IS NOT NULL)) AS all_found, list_filter(all_found, lambda x: x NOT IN ({_ALONE})) AS others,
+    CASE WHEN len(others) > 0 THEN others ELSE all_found END AS found, sentences FROM lists
 )
 SELECT d.doc_id, coalesce(array_to_string(list_filter({_ORDER}, lambda x: list_contains(l.found, x)), ','), '') AS licenses, coalesce(l.sentences, '') AS sentences
 FROM documents d LEFT JOIN named l USING (doc_id)"""
@@ -160,7 +164,7 @@ ORACLES = {
     "op3_licenses": _license_sql(),
     "op6_mixing": """
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5('7:' || doc_id) AS place
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place, md5(coalesce(text, '')) AS tie
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -181,7 +185,7 @@ WITH d AS (
   SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS epochs FROM t
 ), r AS (
   SELECT d.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS extra,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY place) AS until
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY place, tie ROWS UNBOUNDED PRECEDING) AS until
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
