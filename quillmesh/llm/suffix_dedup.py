@@ -30,7 +30,7 @@ WINDOW, GRAM = 400, 64
 #: Windows that are hashed at once, windows of a run at most.
 BLOCK, RUN_WINDOWS = 1 << 18, 1 << 12
 #: Bytes of a shard, about, and shards of a bucket whose pairs are merged.
-SHARD_BYTES, MAX_TILES = 4 << 20, 8
+SHARD_BYTES, MAX_TILES = 2 << 20, 16
 #: The largest bitmap of repeated keys (32 MB); beyond it more runs move in vain, with the same result.
 MAX_BITS, BUCKET = 1 << 28, 32768
 PLACE = np.uint64((1 << 20) - 1)
