@@ -373,8 +373,8 @@ _BEST = "combined DESC, source || '::' || target"
 
 @query(f"WITH RECURSIVE {PAIRS}, {_FOUND}, {_greedy_sql('found', 12, 'best', _BEST)} SELECT source, target, taxonomy, semantic, raw, combined FROM best")
 def w03_capped_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates among all cards, under the cap."""
-    return relations.capped(relations.candidates(_cards(spark, d), CONFIG), CONFIG.top_k)
+    """Candidates among all cards, under the cap; each card lists some of its best partners at a time."""
+    return relations.capped_candidates(_cards(spark, d), CONFIG, CONFIG.top_k)
 
 
 @query(f"WITH RECURSIVE {_CO}, {_greedy_sql('rel', con.RELATION_TOP_K, 'best', 'weight DESC, support DESC, source || target')} SELECT source, target, support, weight FROM best")
