@@ -197,7 +197,7 @@ def a01_term_frequency(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT id, CAST(i AS INTEGER) AS i, {fixed(fixed('x', 8), 6)} AS value FROM v WHERE x IS NOT NULL AND NOT isnan(x)"
 )
 def a02_token_hash(spark: SparkSession, d: str) -> DataFrame:
-    docs = c.document_cards(spark, d).select("id", tokens(F.col("body")).alias("tokens"))
+    docs = table(spark, d, "documents").select(F.concat(F.lit("doc-"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("id"), tokens(F.col("text")).alias("tokens"))
     return vectors.token_hash_components(docs, "id", "tokens").select("id", "i", to_fixed(F.col("value"), 6).alias("value"))
 
 
