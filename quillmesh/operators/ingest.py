@@ -6,7 +6,6 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +27,8 @@ QUOTAS = (("readme", 1), ("documentation", 3), ("manifest", 1), ("entrypoint", 2
 MECHANISMS, MECHANISM_FILES = ("api", "data_model", "auth", "background_job", "source"), 4
 LATE_QUOTAS = (("deployment", 1),)
 MAX_ITEMS, MAX_BYTES = 14, 512 * 1024
+#: Repositories whose packs, of at most MAX_ITEMS files, are broadcast.
+BROADCAST_REPOS = 20_000
 
 #: Endings of source files and of other texts, names of texts without an ending, and files that machines write: fixed values.
 SOURCE_ENDINGS = (
@@ -176,7 +177,9 @@ def select_packs(candidates: DataFrame, max_items: int = MAX_ITEMS, max_bytes: i
         of_kind = F.size(F.filter("pack", lambda p: p["kind"] == F.col("kind")))
         used = F.reduce("pack", F.lit(0).cast("long"), lambda n, p: n + p["bytes"])
         fits = ((F.size("pack") == 0) | after) & (of_kind < F.col("most")) & (used + F.col("bytes") <= max_bytes) & ~F.exists("pack", lambda p: p["path"] == F.col("path"))
-        found = offers.join(open_, "repo").where(fits).groupBy("repo").agg(F.min(F.struct(*order, "kind", "bytes")).alias("next"))
+        # A row a repository: broadcast where they are counted few, so that a repository of very many files is not one task.
+        side = F.broadcast(open_) if open_.count() <= BROADCAST_REPOS else open_
+        found = offers.join(side, "repo").where(fits).groupBy("repo").agg(F.min(F.struct(*order, "kind", "bytes")).alias("next"))
         open_ = checkpoint(open_.join(found, "repo").select("repo", F.array_append("pack", F.col("next")).alias("pack")))
         if open_.isEmpty():
             break
@@ -222,77 +225,90 @@ def expand_selection(candidates: DataFrame, selected: DataFrame, wanted: DataFra
 
 #: Bounds of a tree walk: fixed values.
 WALK = {"trees": 64, "entries": 4_000, "candidates": 500, "depth": 5}
+#: Folders that a walk leaves out, and what others wait for by the names in their path: fixed values.
+SKIPPED_FOLDERS = (
+    ".git", ".cache", ".next", ".nuxt", "node_modules", "vendor", "vendors", "dist", "build", "out", "coverage", "target", "obj", "generated", "tmp", "temp",
+)
+FOLDER_PRIORITIES = (
+    (0, ("docs", "doc", "documentation")),
+    (1, ("src", "app", "apps", "packages", "server", "api", "lib", "core")),
+    (2, ("config", "configs", "schema", "schemas", "migration", "migrations", ".github")),
+    (4, ("test", "tests", "__tests__", "spec")),
+)
+OTHER_FOLDERS = 8
 
 
-def walk(children: dict[str, list[dict]], root: str, limits: dict[str, int] = WALK) -> tuple[list[str], list[str]]:
-    """Files of a tree in the order of a bounded best-first walk, and why it stopped short.
+def _named(path: Column, names: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(F.split(F.lower(path), "/"), F.array(*map(F.lit, names)))
 
-    children: of a folder's path its entries (path, is_folder, priority). Folders wait by priority,
-    then depth, then path.
-    """
-    from heapq import heappop, heappush
 
-    waiting, found, stops, trees, entries = [(0, 0, root)], [], [], 0, 0
-    while waiting:
-        if trees >= limits["trees"]:
-            stops.append("tree_budget")
-            break
-        _, depth, at = heappop(waiting)
-        trees += 1
-        for e in sorted(children.get(at, ()), key=lambda e: e["path"]):
-            if entries >= limits["entries"]:
-                stops.append("entry_budget")
-                return found, stops
-            entries += 1
-            if not e["is_folder"]:
-                if len(found) >= limits["candidates"]:
-                    stops.append("candidate_budget")
-                    return found, stops
-                found.append(e["path"])
-            elif depth + 1 > limits["depth"]:
-                if "depth_limit" not in stops:
-                    stops.append("depth_limit")
-            else:
-                heappush(waiting, (e["priority"], depth + 1, e["path"]))
-    return found, stops
-
-
-def reachable(trees: DataFrame, limits: dict[str, int] = WALK) -> DataFrame:
-    """The entries that a bounded walk could meet: those of folders that are deep at most `depth`, each among its parent's first.
-
-    A folder's children wait together, so of them only as many as trees may be read can be reached,
-    and of its entries only as many as the whole budget. One join a level, nothing by repository.
-    """
-    nth = lambda *by: F.row_number().over(Window.partitionBy("repo", "parent").orderBy(*by))
-    kept = trees.withColumn("_n", nth("path")).where(F.col("_n") <= limits["entries"] + 1)
-    kept = kept.withColumn("_k", nth(~F.col("is_folder"), "priority", "path")).withColumn("_open", F.col("is_folder") & (F.col("_k") <= limits["trees"])).drop("_n", "_k")
-    kept = checkpoint(kept)
-    level = kept.where("parent = ''")
-    out = level
-    for _ in range(limits["depth"]):
-        folders = level.where("_open").select("repo", F.col("path").alias("parent"))
-        level = kept.join(folders, ["repo", "parent"], "left_semi")
-        out = out.unionByName(level)
-    return out.drop("_open")
+def folder_skipped(path: Column) -> Column:
+    """Whether a folder, or one that it is in, is left out."""
+    return _named(path, SKIPPED_FOLDERS)
 
 
-def discover(trees: DataFrame, limits: dict[str, int] = WALK) -> DataFrame:
-    """(repo, path, place, stops): the bounded walk of every repository's tree.
+def folder_priority(path: Column) -> Column:
+    """A folder's place in the walk, the least first."""
+    found = F.lit(OTHER_FOLDERS)
+    for place, names in reversed(FOLDER_PRIORITIES):
+        found = F.when(_named(path, names), F.lit(place)).otherwise(found)
+    return found
 
-    trees: (repo, parent, path, is_folder, priority), the root's path empty. Only what the walk's bounds
-    let it reach comes to a repository's task, whatever the size of its tree.
-    """
-    schema = pa.schema([("repo", pa.string()), ("path", pa.string()), ("place", pa.int64()), ("stops", pa.string())])
 
-    def run(group: pa.Table) -> pa.Table:
-        children: dict[str, list[dict]] = {}
-        for e in group.to_pylist():
-            children.setdefault(e["parent"], []).append(e)
-        found, stops = walk(children, "", limits)
-        repo = group["repo"][0].as_py()
-        return pa.Table.from_pylist([{"repo": repo, "path": p, "place": k + 1, "stops": ",".join(stops)} for k, p in enumerate(found)], schema=schema)
+def discover(trees: DataFrame, limits: dict[str, int] = WALK) -> DataFrame:
+    """(repo, path, place, stops): the bounded best-first walk of every repository's tree.
+
+    trees: (repo, parent, path, is_folder, priority), the root's path empty. Folders wait by priority, then depth,
+    then path; each one's entries are met by path. Folders with a skipped name count as entries and are not
+    opened. A walk stops where the next entry, file or folder is over a limit; a folder too deep is passed over. stops: why a
+    walk fell short, in that order.
 
-    return reachable(trees, limits).groupBy("repo").applyInArrow(run, "repo string, path string, place bigint, stops string")
+    All repositories walk at the same time, one folder a round, so there are no more rounds than folders may be opened. A
+    round takes the least of each frontier, joins its entries, of which each repository numbers no more than may be met, and
+    adds to frontiers and sums; no repository's tree comes to one task.
+    """
+    rows = checkpoint(trees.select("repo", "parent", "path", "is_folder", F.col("priority").cast("int").alias("priority"), (F.col("is_folder") & folder_skipped(F.col("path"))).alias("skipped")))
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<string>")
+    state = checkpoint(rows.select("repo").distinct().select("repo", zero.alias("entries"), zero.alias("files"), none.alias("stops"), F.lit(False).alias("over")))
+    frontier = state.select("repo", F.lit(0).alias("priority"), F.lit(0).alias("depth"), F.lit("").alias("path"))
+    found = []
+    for turn in range(limits["trees"] + 1):
+        first = frontier.groupBy("repo").agg(F.min(F.struct("priority", "depth", "path")).alias("x"))
+        live = checkpoint(state.where(~F.col("over")).join(first, "repo").select("repo", "entries", "files", F.col("x.depth").alias("depth"), F.col("x.path").alias("parent")))
+        if live.isEmpty():
+            break
+        if turn == limits["trees"]:
+            state = state.join(live.select("repo", F.lit("tree_budget").alias("_code")), "repo", "left").select("repo", "entries", "files", F.array_compact(F.array_append("stops", F.col("_code"))).alias("stops"), "over")
+            break
+        by_path = Window.partitionBy("repo").orderBy("path")
+        met = rows.join(live, ["repo", "parent"]).withColumn("nth", F.row_number().over(by_path)).where(F.col("nth") <= limits["entries"] + 1)
+        file_ = (~F.col("is_folder")).cast("long")
+        met = met.where(F.col("nth") <= limits["entries"] - F.col("entries") + 1).withColumn("_files", F.sum(file_).over(by_path.rowsBetween(Window.unboundedPreceding, 0)))
+        stop = F.when(F.col("nth") > limits["entries"] - F.col("entries"), "entry_budget").when(~F.col("is_folder") & (F.col("files") + F.col("_files") > limits["candidates"]), "candidate_budget")
+        met = met.withColumn("stop", stop).withColumn("_end", F.min(F.when(F.col("stop").isNotNull(), F.col("nth"))).over(Window.partitionBy("repo")))
+        done = F.col("_end").isNull() | (F.col("nth") < F.col("_end"))
+        opens = F.col("is_folder") & ~F.col("skipped")
+        met = checkpoint(met.withColumn("done", done).withColumn("deep", F.col("done") & opens & (F.col("depth") + 1 > limits["depth"])))
+        found.append(met.where("done AND NOT is_folder").select("repo", "path", F.lit(turn).alias("turn"), "nth"))
+        sums = met.groupBy("repo").agg(
+            F.count_if("done").alias("_entries"), F.count_if(F.col("done") & ~F.col("is_folder")).alias("_files"), F.max("deep").alias("_deep"), F.min_by("stop", F.when(F.col("stop").isNotNull(), F.col("nth"))).alias("_code")
+        )
+        codes = F.concat("stops", F.array_compact(F.array(F.when(F.col("_deep") & ~F.array_contains("stops", "depth_limit"), "depth_limit"), F.col("_code"))))
+        state = checkpoint(
+            state.join(sums, "repo", "left").select(
+                "repo", (F.col("entries") + F.coalesce("_entries", zero)).alias("entries"), (F.col("files") + F.coalesce("_files", zero)).alias("files"), F.coalesce(codes, "stops").alias("stops"), (F.col("over") | F.col("_code").isNotNull()).alias("over")
+            )
+        )
+        rest = frontier.join(live.select("repo", F.col("parent").alias("path")), ["repo", "path"], "left_anti").select("repo", "priority", "depth", "path")
+        more = met.where(F.col("done") & opens & ~F.col("deep")).select("repo", "priority", (F.col("depth") + 1).alias("depth"), "path")
+        frontier = checkpoint(rest.unionByName(more))
+    if not found:
+        return rows.select("repo", "path", F.lit(0).cast("long").alias("place"), F.lit("").alias("stops")).limit(0)
+    out = found[0]
+    for one in found[1:]:
+        out = out.unionByName(one)
+    place = F.row_number().over(Window.partitionBy("repo").orderBy("turn", "nth")).cast("long")
+    return out.withColumn("place", place).join(state.select("repo", F.array_join("stops", ",").alias("stops")), "repo").select("repo", "path", "place", "stops")
 
 
 def resolve_targets(cards: DataFrame, sources: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schema, text, urls
-from ..operators import cards as c
+from ..operators import cards as c, ingest
 from ..operators import contracts, graph, reader, relations, validate, vectors
 from ..operators import conversations as conv
 from ..operators.cards import table
@@ -234,15 +234,23 @@ def x17_byte_length(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.octet_length(t).cast("long").alias("bytes"), F.length(t).cast("long").alias("chars"))
 
 
-@query("SELECT doc_id, lang IN ('en', 'de') AS skipped, CASE lang WHEN 'fr' THEN 0 WHEN 'es' THEN 4 ELSE 8 END AS priority FROM documents")
+def _folder_sql(names: tuple[str, ...]) -> str:
+    return "list_has_any(parts, [" + ", ".join(f"'{x}'" for x in names) + "])"
+
+
+#: Folder names of documents' paths, all that a rule names and some that none does.
+_FOLDER_NAMES = [*ingest.SKIPPED_FOLDERS, *(x for _, names in ingest.FOLDER_PRIORITIES for x in names), "Docs", "BUILD", "notes", "builds", "git"]
+
+
+@query(
+    f"WITH p AS (SELECT doc_id, source || '/' || lang || '/' || {[*_FOLDER_NAMES]}[1 + octet_length(encode(coalesce(text, ''))) % {len(_FOLDER_NAMES)}] AS path FROM documents), s AS (SELECT *, string_split(lower(path), '/') AS parts FROM p) "
+    f"SELECT doc_id, {_folder_sql(ingest.SKIPPED_FOLDERS)} AS skipped, CASE {' '.join(f'WHEN {_folder_sql(names)} THEN {place}' for place, names in ingest.FOLDER_PRIORITIES)} ELSE 8 END AS priority FROM s"
+)
 def x20_directories(spark: SparkSession, d: str) -> DataFrame:
-    """Folders that a walk leaves out, and in what order it takes the others."""
-    path = F.when(F.col("lang") == "en", "a/node_modules/b").when(F.col("lang") == "de", ".git/x").when(F.col("lang") == "fr", "docs/a").otherwise("tests/b")
-    part = F.split(path, "/")
-    any_of = lambda *names: F.arrays_overlap(part, F.array(*map(F.lit, names)))
-    skip = any_of("node_modules", ".git", "dist", "vendor", "build")
-    order = F.when(any_of("docs", "doc", "documentation"), 0).when(any_of("src", "app", "apps", "packages", "server", "api", "lib", "core"), 1).when(any_of("config", "configs", "schema", "schemas", "migration", "migrations", ".github"), 2).when(any_of("test", "tests", "__tests__", "spec"), 4).otherwise(8)
-    return table(spark, d, "documents").select("doc_id", skip.alias("skipped"), order.alias("priority"))
+    """Folders that a walk leaves out, and in what order it takes the others: by source, language and a name that a text's length chooses."""
+    name = F.get(F.array(*map(F.lit, _FOLDER_NAMES)), (F.octet_length(F.coalesce("text", F.lit(""))) % len(_FOLDER_NAMES)).cast("int"))
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/"), name)
+    return table(spark, d, "documents").select("doc_id", ingest.folder_skipped(path).alias("skipped"), ingest.folder_priority(path).alias("priority"))
 
 
 @query("SELECT page_id, 'state/sources/web/' || regexp_replace(url, '[^a-zA-Z0-9._-]+', '--', 'g') || '.json' AS path FROM pages")
