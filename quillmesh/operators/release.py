@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
+from .commits import create_if_absent
+
 ARTIFACTS = ("search", "vectors", "relations", "concepts", "graph")
 _SHA1, _SHA256 = re.compile(r"[0-9a-f]{40}"), re.compile(r"[0-9a-f]{64}")
 
@@ -67,9 +69,15 @@ def write_release(spark: SparkSession, root: str, tables: dict[str, DataFrame],
     return description
 
 
-def point_to(spark: SparkSession, root: str, release_id: str) -> None:
-    """Make a release the current one. A pointer's number is one more than the latest; nothing is overwritten."""
-    spark.createDataFrame([(_latest(spark, root)[0] + 1, release_id)], "number long, release_id string").coalesce(1).write.mode("append").json(f"{root}/current")
+def point_to(spark: SparkSession, root: str, release_id: str) -> int:
+    """Make a release the current one, and tell the pointer's number: one more than the latest.
+
+    A number is created once: where another writer was faster, the next one is tried.
+    """
+    number = _latest(spark, root)[0] + 1
+    while not create_if_absent(spark, f"{root}/current/{number:012d}.json", json.dumps({"number": number, "release_id": release_id})):
+        number += 1
+    return number
 
 
 def _latest(spark: SparkSession, root: str) -> tuple[int, str | None]:
@@ -110,6 +118,16 @@ def manifest_issues(description: dict, found: dict[str, dict]) -> list[str]:
     return out
 
 
+def previous_artifact(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """An artifact that an earlier build wrote as JSON; no rows where there is none."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def lineage_issues(source: str, published: str, parent: str | None, changed: list[str], allowed: tuple[str, ...]) -> list[str]:
     """A published commit is its source without changes, or the source's child that changes generated files only."""
     if published == source:

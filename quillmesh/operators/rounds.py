@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -32,3 +33,12 @@ def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 4 << 20) -
         now = spark.conf.get(key).removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
+
+
+def ranked(df: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """df with each row's place in an order, from 0: sorted by ranges, numbered within them, and the ranges' begins added."""
+    rows = checkpoint(df.orderBy(*order).withColumn("_n", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_n", 33))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    # A row a partition.
+    begins = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_begin"))
+    return rows.join(F.broadcast(begins), "_part").withColumn(name, F.col("_begin") + F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_n", "_begin")

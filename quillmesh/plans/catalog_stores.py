@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cards as c
+from ..operators import release
+from ..operators.cards import table
+from ..operators.commits import ConflictError
+from ..operators.publish import Releases, release_issues
 from ..operators.rounds import checkpoint
 from ..operators.search_index import SearchIndex
 from .catalog import DOCS, SQL, _term_sql, query
@@ -51,3 +55,84 @@ def w01_stored_search(spark: SparkSession, d: str) -> DataFrame:
 def p06_stored_terms(spark: SparkSession, d: str) -> DataFrame:
     """Term counts of all documents from the stored postings."""
     return stored_index(spark, d).term_counts().where("field <> 'metadata'")
+
+
+def _manifest_sql(group: str) -> str:
+    return f"SELECT {group} AS grp, count(*) AS documents, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS bytes, CAST(sum(CAST(('0x' || sha256(coalesce(text, ''))[1:15]) AS HUGEINT)) AS VARCHAR) AS digest FROM documents GROUP BY {group}"
+
+
+def _manifest(docs: DataFrame, group: str) -> DataFrame:
+    return release.source_manifest(docs, group, "text").withColumnRenamed(group, "grp")
+
+
+@query(
+    f"SELECT 'by_source' AS artifact, *, 2 AS number, 1 AS refused, 1 AS failed, 2 AS staged FROM ({_manifest_sql('source')}) UNION ALL SELECT 'by_lang', *, 2, 1, 1, 2 FROM ({_manifest_sql('lang')})"
+)
+def k02_transaction(spark: SparkSession, d: str) -> DataFrame:
+    """Manifests of all documents, published together: a first release, a second that makes one artifact anew, one that comes too late, and one that fails half way. Read back from the newest."""
+    docs, store = table(spark, d, "documents"), Releases(spark, _folder(spark, "releases"))
+    store.publish({"by_source": _manifest(docs, "source"), "by_lang": _manifest(docs, "source")})
+    store.publish({"by_lang": _manifest(docs, "lang")}, base=1)
+    refused = failed = 0
+    try:
+        store.publish({"by_lang": _manifest(docs, "source")}, base=1)
+    except ConflictError:
+        refused = 1
+    try:
+        broken = _manifest(docs, "lang").withColumn("grp", F.raise_error(F.lit("half way")).cast("string"))
+        store.publish({"by_source": _manifest(docs, "lang"), "by_lang": broken})
+    except Exception as error:
+        if "half way" not in str(error):
+            raise
+        failed = 1
+    staged = len(set(r[0] for r in store.files().select(F.element_at(F.split("path", "/"), 2)).distinct().collect()))
+    both = store.table("by_source").select(F.lit("by_source").alias("artifact"), "*").unionByName(store.table("by_lang").select(F.lit("by_lang").alias("artifact"), "*"))
+    counts = {"number": store.log.head(), "refused": refused, "failed": failed, "staged": staged}
+    return both.select("*", *(F.lit(v).alias(k) for k, v in counts.items()))
+
+
+@query(f"SELECT *, CAST(3 AS BIGINT) AS number FROM ({_manifest_sql('source')})")
+def k04_pointer(spark: SparkSession, d: str) -> DataFrame:
+    """Manifests of the documents by language and by source; the pointer is moved three times, each time to a new number, and readers follow the latest."""
+    docs, root = table(spark, d, "documents"), _folder(spark, "pointed")
+    for name in ("lang", "source"):
+        _manifest(docs, name).write.parquet(f"{root}/versions/{name}")
+    numbers = [release.point_to(spark, root, x) for x in ("source", "lang", "source")]
+    return spark.read.parquet(f"{root}/versions/{release.current_release(spark, root)}").withColumn("number", F.lit(max(numbers)).cast("long"))
+
+
+@query(f"SELECT artifact, documents, bytes FROM (SELECT 'by_source' AS artifact, * FROM ({_manifest_sql('source')}) UNION ALL SELECT 'by_lang', * FROM ({_manifest_sql('lang')})) WHERE grp IS NOT NULL")
+def s04_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """Artifacts written as JSON and read back as previous ones; one that was never written reads as no rows."""
+    docs, folder = table(spark, d, "documents"), _folder(spark, "artifacts")
+    kind = "grp string, documents long, bytes long, digest string"
+    for name in ("source", "lang"):
+        _manifest(docs, name).write.json(f"{folder}/by_{name}.json")
+    found = [release.previous_artifact(spark, f"{folder}/{x}.json", kind).withColumn("artifact", F.lit(x)) for x in ("by_source", "by_lang", "by_nothing")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).where("grp IS NOT NULL").select("artifact", "documents", "bytes")
+
+
+_SAID = """SELECT doc_id + 1 AS number, CASE WHEN length(text) % 11 = 3 THEN doc_id - 1 ELSE doc_id END AS base, CASE WHEN length(text) % 13 = 4 THEN upper(lang) ELSE lang END AS artifact,
+  'staged/' || CASE WHEN length(text) % 7 = 2 THEN '../' ELSE '' END || md5(coalesce(text, '')) || '/' || CASE WHEN length(text) % 9 = 5 THEN 'other' ELSE lang END AS path,
+  CAST(length(text) % 17 AS BIGINT) AS files, octet_length(encode(text)) AS bytes, CASE WHEN length(text) % 5 = 1 THEN sha256(text)[1:40] ELSE sha256(text) END AS sha256 FROM documents WHERE doc_id IS NOT NULL"""
+_SAFE = "coalesce(regexp_matches(path, '^staged/[0-9a-f]{32}/[a-z][a-z0-9_]*$'), false)"
+
+
+@query(
+    f"WITH said AS ({_SAID}), e AS (SELECT number, artifact, unnest([CASE WHEN NOT coalesce(regexp_matches(artifact, '^[a-z][a-z0-9_]*$'), false) THEN 'artifact_name_invalid' END, CASE WHEN NOT {_SAFE} THEN 'path_invalid' END, "
+    f"CASE WHEN {_SAFE} AND string_split(path, '/')[-1] <> artifact THEN 'path_of_another_artifact' END, CASE WHEN NOT coalesce(regexp_matches(sha256, '^[0-9a-f]{{64}}$'), false) THEN 'sha256_malformed' END, "
+    "CASE WHEN coalesce(files < 1, true) THEN 'files_missing' END, CASE WHEN coalesce(bytes < 0, true) THEN 'bytes_invalid' END]) AS code FROM said), "
+    "w AS (SELECT number, base, coalesce(lag(number) OVER (ORDER BY number), 0) AS former, artifact FROM said) "
+    "SELECT * FROM e WHERE code IS NOT NULL UNION ALL SELECT number, NULL, 'number_gap' FROM w WHERE number <> former + 1 UNION ALL SELECT number, NULL, 'base_is_not_former' FROM w WHERE base IS DISTINCT FROM number - 1 "
+    "UNION ALL SELECT number, NULL, 'artifact_missing:en' FROM w WHERE artifact IS DISTINCT FROM 'en'"
+)
+def f24_release_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a release of one artifact that its text describes, some of them wrongly."""
+    docs, n = table(spark, d, "documents").where("doc_id IS NOT NULL"), F.length("text")
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    said = docs.select(
+        (F.col("doc_id") + 1).alias("number"), F.when(n % 11 == 3, F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("base"), F.when(n % 13 == 4, F.upper("lang")).otherwise(F.col("lang")).alias("artifact"),
+        F.concat(F.lit("staged/"), F.when(n % 7 == 2, F.lit("../")).otherwise(F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.lit("/"), F.when(n % 9 == 5, F.lit("other")).otherwise(F.col("lang"))).alias("path"),
+        (n % 17).cast("long").alias("files"), F.octet_length("text").cast("long").alias("bytes"), F.when(n % 5 == 1, F.substring(sha, 1, 40)).otherwise(sha).alias("sha256"),
+    )
+    return release_issues(said, ("en",))
