@@ -3,18 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and cut from its lineage.
-
-    The folder is the session's spark.checkpoint.dir, which driver and executors share. Only a local
-    session may lack one; it gets a temporary folder, as in tests.
-    """
-    spark = df.sparkSession
+def _prepare(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, which driver and executors share. Only a local session may lack one; it gets a temporary folder, as in tests."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,6 +19,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="quillmesh-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name below the one that driver and executors share."""
+    return f"{_prepare(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and cut from its lineage."""
+    _prepare(df.sparkSession)
     return df.checkpoint()
 
 

@@ -12,7 +12,7 @@ from ..operators import release
 from ..operators.cards import table
 from ..operators.commits import ConflictError
 from ..operators.publish import Releases, release_issues
-from ..operators.rounds import checkpoint
+from ..operators.rounds import shared_folder
 from ..operators.search_index import SearchIndex
 from .catalog import DOCS, SQL, _term_sql, query
 from .catalog_more import _QUERY
@@ -20,18 +20,13 @@ from .catalog_more import _QUERY
 _BUILT: dict[tuple[str, str], SearchIndex] = {}
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    checkpoint(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
 
 def stored_index(spark: SparkSession, d: str) -> SearchIndex:
     """The index of all documents in two segments, built once a session."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _BUILT:
         docs, fields = c.document_cards(spark, d), c.document_fields()
-        index = SearchIndex(spark, _folder(spark, "search-index"))
+        index = SearchIndex(spark, shared_folder(spark, "search-index"))
         index.append(docs.where("ord % 8 <> 3"), fields)
         index.append(docs.where("ord % 8 = 3"), fields)
         _BUILT[key] = index
@@ -70,7 +65,7 @@ def _manifest(docs: DataFrame, group: str) -> DataFrame:
 )
 def k02_transaction(spark: SparkSession, d: str) -> DataFrame:
     """Manifests of all documents, published together: a first release, a second that makes one artifact anew, one that comes too late, and one that fails half way. Read back from the newest."""
-    docs, store = table(spark, d, "documents"), Releases(spark, _folder(spark, "releases"))
+    docs, store = table(spark, d, "documents"), Releases(spark, shared_folder(spark, "releases"))
     store.publish({"by_source": _manifest(docs, "source"), "by_lang": _manifest(docs, "source")})
     store.publish({"by_lang": _manifest(docs, "lang")}, base=1)
     refused = failed = 0
@@ -94,7 +89,7 @@ def k02_transaction(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT *, CAST(3 AS BIGINT) AS number FROM ({_manifest_sql('source')})")
 def k04_pointer(spark: SparkSession, d: str) -> DataFrame:
     """Manifests of the documents by language and by source; the pointer is moved three times, each time to a new number, and readers follow the latest."""
-    docs, root = table(spark, d, "documents"), _folder(spark, "pointed")
+    docs, root = table(spark, d, "documents"), shared_folder(spark, "pointed")
     for name in ("lang", "source"):
         _manifest(docs, name).write.parquet(f"{root}/versions/{name}")
     numbers = [release.point_to(spark, root, x) for x in ("source", "lang", "source")]
@@ -104,7 +99,7 @@ def k04_pointer(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT artifact, documents, bytes FROM (SELECT 'by_source' AS artifact, * FROM ({_manifest_sql('source')}) UNION ALL SELECT 'by_lang', * FROM ({_manifest_sql('lang')})) WHERE grp IS NOT NULL")
 def s04_artifacts(spark: SparkSession, d: str) -> DataFrame:
     """Artifacts written as JSON and read back as previous ones; one that was never written reads as no rows."""
-    docs, folder = table(spark, d, "documents"), _folder(spark, "artifacts")
+    docs, folder = table(spark, d, "documents"), shared_folder(spark, "artifacts")
     kind = "grp string, documents long, bytes long, digest string"
     for name in ("source", "lang"):
         _manifest(docs, name).write.json(f"{folder}/by_{name}.json")

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from quillmesh.functions import text as t
 from quillmesh.operators import search
 from quillmesh.operators import search_index as si
+from quillmesh.operators import release
 from quillmesh.operators.commits import CommitLog, ConflictError, create_if_absent
+from quillmesh.operators.publish import Releases, release_issues
+from quillmesh.streaming.incremental import DeltaIndex
 
 
 
@@ -97,3 +100,55 @@ def test_commits_are_created_once(spark, tmp_path):
     assert log.numbers() == list(range(1, 17)) and len(set(log.read()["seen"])) == 15
     assert [log.read(k)["base"] for k in log.numbers()] == list(range(16))
     assert not [x for x in (tmp_path / "log").iterdir() if x.name.startswith(".")]
+
+
+def test_releases_conflict_roll_back_and_issues(spark, tmp_path):
+    store = Releases(spark, str(tmp_path / "r"))
+    one = spark.range(3)
+    assert store.publish({"a": one, "b": one}) == 1
+    assert store.publish({"a": spark.range(5)}, base=1) == 2
+    # Another artifact may be made on an old release, the same one may not.
+    assert store.publish({"b": spark.range(7)}, base=1) == 3
+    with pytest.raises(ConflictError):
+        store.publish({"a": spark.range(9)}, base=1)
+    with pytest.raises(Exception, match="half way"):
+        store.publish({"c": one, "d": one.select(F.raise_error(F.lit("half way")))})
+    with pytest.raises(ValueError):
+        store.publish({"../x": one})
+    assert [store.table(x, n).count() for x, n in (("a", 1), ("a", None), ("b", 2), ("b", None))] == [3, 5, 3, 7]
+    assert len(list((tmp_path / "r" / "staged").iterdir())) == 3 and store.log.head() == 3
+    history = store.history()
+    assert history.count() == 6 and release_issues(history, ("a", "b"), store.files()).count() == 0
+    found = {tuple(r) for r in release_issues(history.where("number <> 2").withColumn("sha256", F.when((F.col("number") == 3) & (F.col("artifact") == "a"), F.lit("0" * 64)).otherwise(F.col("sha256"))), ("a", "c"), store.files()).collect()}
+    assert found == {(3, "a", "sha256_differs"), (3, None, "number_gap"), (1, None, "artifact_missing:c"), (3, None, "artifact_missing:c")}
+    assert len(store.vacuum(keep=1)) == 1 and store.table("a").count() == 5
+
+
+def test_pointers_get_numbers_of_their_own(spark, tmp_path):
+    root, numbers = str(tmp_path / "p"), []
+    with pytest.raises(ValueError):
+        release.current_release(spark, root)
+    threads = [threading.Thread(target=lambda k=k: numbers.append(release.point_to(spark, root, f"v{k}"))) for k in range(6)]
+    for x in threads:
+        x.start()
+    for x in threads:
+        x.join()
+    assert sorted(numbers) == [1, 2, 3, 4, 5, 6] and release.point_to(spark, root, "last") == 7 and release.current_release(spark, root) == "last"
+
+
+def test_deltas_follow_changes(spark, tmp_path):
+    index = DeltaIndex(spark, str(tmp_path / "d"))
+    make = lambda rows: spark.createDataFrame(rows, "id string, input_hash string, v int")
+    keys = lambda df: sorted(map(tuple, df.select("id", "v").collect()))
+    index.apply(make([("a", "1", 1), ("b", "1", 2), ("c", None, 3)]), batch=0)
+    assert index.apply(make([("a", "9", 9)]), batch=0) == 1
+    index.apply(make([("a", "1", 7), ("b", "2", 4), ("c", None, 8), ("d", "1", 5)]), batch=1)
+    assert sorted(r["id"] for r in index.delta(2).collect()) == ["b", "d"]
+    index.apply(make([("e", "1", 6)]), spark.createDataFrame([("a",), ("none",)], "id string"), batch=2)
+    assert sorted((r["id"], r["_gone"]) for r in index.delta(3).collect()) == [("a", True), ("e", False)]
+    want = [("b", 4), ("c", 3), ("d", 5), ("e", 6)]
+    assert keys(index.read()) == want and keys(index.read(1)) == [("a", 1), ("b", 2), ("c", 3)]
+    index.compact()
+    assert keys(index.read()) == want and len(index.log.read()["deltas"]) == 1 and index.log.read()["batch"] == 2
+    index.apply(make([("a", "1", 1)]), batch=3)
+    assert keys(index.read()) == [("a", 1), *want]
