@@ -17,6 +17,14 @@ KINDS = (
     "readme", "documentation", "manifest", "configuration", "entrypoint", "api", "data_model", "auth",
     "security", "background_job", "deployment", "license", "source", "test", "other",
 )
+
+
+def normalize_kind(raw: Column, known: tuple[str, ...] = KINDS) -> Column:
+    """A kind in its known spelling, where it is known; else as it came."""
+    tidy = F.regexp_replace(F.lower(F.trim(raw)), r"[\s-]+", "_")
+    return F.when(tidy.isin(*known), tidy).otherwise(raw)
+
+
 #: The most items of a kind in a first pack: fixed values.
 KIND_CAPS = {
     "readme": 1, "documentation": 4, "manifest": 1, "entrypoint": 3, "source": 2, "api": 2, "data_model": 2, "auth": 2,
@@ -311,6 +319,19 @@ def discover(trees: DataFrame, limits: dict[str, int] = WALK) -> DataFrame:
     return out.withColumn("place", place).join(state.select("repo", F.array_join("stops", ",").alias("stops")), "repo").select("repo", "path", "place", "stops")
 
 
+def merge_bundles(first: DataFrame, more: DataFrame) -> DataFrame:
+    """(bundle, items, bytes, digest, duplicates) of bundles of evidence with what was fetched later.
+
+    Both: (bundle, path, bytes, sha256). Items are appended; a path that a bundle then has more than once is a duplicate, which makes it
+    invalid. The digest is the sum of the first 60 bits of the items' hashes, so it depends on no order.
+    """
+    both = first.unionByName(more)
+    part = F.conv(F.substring(F.sha2(F.concat("path", F.lit(":"), "sha256").cast("binary"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    # By path first: what a path adds up to is one row.
+    paths = both.groupBy("bundle", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.sum(part).alias("part"))
+    return paths.groupBy("bundle").agg(F.sum("n").alias("items"), F.sum("bytes").alias("bytes"), F.sum("part").cast("string").alias("digest"), F.count_if(F.col("n") > 1).alias("duplicates"))
+
+
 def resolve_targets(cards: DataFrame, sources: DataFrame) -> DataFrame:
     """(key, card_id, action) of each source (key, identity, url): update, create or conflict.
 

@@ -253,32 +253,19 @@ def p20_posts(spark: SparkSession, d: str) -> DataFrame:
     return conv.posts(table(spark, d, "conversations")).select("id", "username", "reply_to", "root_post", "has_replies", "is_reply", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
 
 
-@query(
-    "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE CAST(epoch_us(ts) // 1000000 AS BIGINT) END AS seconds FROM events"
-)
+@query("SELECT event_id, unnest(['millis', 'seconds', 'text', 'word']) AS form, unnest([epoch_us(ts) // 1000000, epoch_us(ts) // 1000000, epoch_us(ts) // 1000000, NULL]) AS seconds FROM events")
 def p22_timestamps(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers over 1e12 are milliseconds, others seconds; text that is no number or time is null."""
+    """Every event's time in milliseconds, in seconds and as text, and with a word before it, which is no time."""
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    raw = F.when(F.col("event_id") % 3 == 0, F.unix_millis("ts").cast("string")).when(F.col("event_id") % 3 == 1, F.unix_seconds("ts").cast("string")).otherwise(F.lit("soon"))
-    return e.select("event_id", F.unix_seconds(normalize_timestamp(raw)).alias("seconds"))
-
-
-def normalize_timestamp(raw: Column) -> Column:
-    number = raw.try_cast("double")
-    by_number = F.when(F.abs(number) > 1e12, F.timestamp_millis(number.cast("long"))).otherwise(F.timestamp_seconds(number))
-    return F.when(number.isNotNull(), by_number).otherwise(F.try_to_timestamp(raw))
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    forms = F.array(*(F.struct(F.lit(k).alias("form"), v.alias("raw")) for k, v in (("millis", F.unix_millis("ts").cast("string")), ("seconds", F.unix_seconds("ts").cast("string")), ("text", text), ("word", F.concat(F.lit("soon "), text)))))
+    return e.select("event_id", F.inline(forms)).select("event_id", "form", F.unix_seconds(t.normalize_timestamp(F.col("raw"))).alias("seconds"))
 
 
 @query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE ' ' || upper(event_type) || '-X' END AS kind FROM events")
 def p25_evidence_kind(spark: SparkSession, d: str) -> DataFrame:
     raw = F.concat(F.lit(" "), F.upper("event_type"), F.when(F.col("event_type").isin("click", "view"), F.lit(" ")).otherwise(F.lit("-X")))
-    return table(spark, d, "events").select("event_id", normalize_kind(raw, ("click", "view")).alias("kind"))
-
-
-def normalize_kind(raw: Column, known: tuple[str, ...] = ingest.KINDS) -> Column:
-    """A kind in its known spelling, where it is known; else as it came."""
-    tidy = F.regexp_replace(F.lower(F.trim(raw)), r"[\s-]+", "_")
-    return F.when(tidy.isin(*known), tidy).otherwise(raw)
+    return table(spark, d, "events").select("event_id", ingest.normalize_kind(raw, ("click", "view")).alias("kind"))
 
 
 _POLICY = "policy AS (SELECT DISTINCT p_type AS name, lower(p_type) AS tag, 'canonical' AS kind FROM part UNION SELECT DISTINCT lower(p_brand), 'brand', 'alias' FROM part)"
@@ -423,14 +410,14 @@ def _values(pairs: tuple) -> str:
 
 
 @query(
-    f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN h.safe ELSE NOT regexp_matches(split_part(split_part(url, '://', 2), '/', 1), '(^|\\.)-|-(\\.|$|[?#:])') END AS safe "
-    f"FROM pages JOIN (VALUES {_values(_HOSTS)}) h(k, safe) ON k = page_id % {len(_HOSTS)}"
+    "SELECT page_id, false AS made, NOT regexp_matches(split_part(split_part(url, '://', 2), '/', 1), '(^|\\.)-|-(\\.|$|[?#:])') AS safe FROM pages UNION ALL "
+    f"SELECT page_id, true, h.safe FROM pages JOIN (VALUES {_values(_HOSTS)}) h(k, safe) ON k = page_id % {len(_HOSTS)}"
 )
 def f15_url_safety(spark: SparkSession, d: str) -> DataFrame:
-    """Every second page's own url, and urls of every kind."""
-    k, made = F.col("page_id"), F.array(*(F.lit(url) for url, _ in _HOSTS))
-    given = F.when(k % 2 == 0, made[(k % len(_HOSTS)).cast("int")]).otherwise(F.col("url"))
-    return table(spark, d, "pages").select("page_id", urls.is_safe_public(given).alias("safe"))
+    """Every page's own url, and beside it a made-up one of every kind."""
+    made = F.get(F.array(*(F.lit(url) for url, _ in _HOSTS)), (F.col("page_id") % len(_HOSTS)).cast("int"))
+    rows = table(spark, d, "pages").select("page_id", F.inline(F.array(F.struct(F.lit(False).alias("made"), F.col("url").alias("url")), F.struct(F.lit(True).alias("made"), made.alias("url")))))
+    return rows.select("page_id", "made", urls.is_safe_public(F.col("url")).alias("safe"))
 
 
 @query(

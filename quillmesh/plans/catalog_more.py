@@ -520,14 +520,19 @@ def u06_shared_values(spark: SparkSession, d: str) -> DataFrame:
     return c.part_cards(spark, d).select("id", F.array_join(F.array_sort(shared), ",").alias("shared"))
 
 
-@query("SELECT source, count(*) AS items FROM documents WHERE doc_id % 2 = 0 GROUP BY source UNION ALL SELECT source || '-more', count(*) FROM documents WHERE doc_id % 2 = 1 GROUP BY source")
+_ITEMS = "SELECT source AS bundle, lang || '/' || doc_id AS path, octet_length(encode(coalesce(text, ''))) AS bytes, sha256(coalesce(text, '')) AS sha256, doc_id FROM documents"
+
+
+@query(
+    f"WITH i AS ({_ITEMS}), b AS (SELECT * FROM i WHERE doc_id % 3 <> 0 UNION ALL SELECT * FROM i WHERE doc_id % 3 <> 1), n AS (SELECT bundle, path, count(*) AS n FROM b GROUP BY ALL) "
+    "SELECT bundle, count(*) AS items, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(CAST(('0x' || sha256(path || ':' || sha256)[1:15]) AS HUGEINT)) AS VARCHAR) AS digest, (SELECT count(*) FROM n WHERE n.bundle IS NOT DISTINCT FROM b.bundle AND n > 1) AS duplicates FROM b GROUP BY bundle"
+)
 def u09_bundle_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Two bundles put together; a path that both had would be an issue."""
+    """Two bundles of evidence a source put together and digested anew; a third of the paths are in both, which is an issue."""
     docs = table(spark, d, "documents")
-    one = docs.where("doc_id % 2 = 0").select("source", "doc_id")
-    two = docs.where("doc_id % 2 = 1").select(F.concat("source", F.lit("-more")).alias("source"), "doc_id")
-    merged = one.unionByName(two)
-    return merged.groupBy("source").agg(F.count(F.lit(1)).alias("items"))
+    text = F.coalesce("text", F.lit(""))
+    items = docs.select("doc_id", F.col("source").alias("bundle"), F.concat("lang", F.lit("/"), "doc_id").alias("path"), F.octet_length(text).cast("long").alias("bytes"), F.sha2(text.cast("binary"), 256).alias("sha256"))
+    return ingest.merge_bundles(items.where("doc_id % 3 <> 0").drop("doc_id"), items.where("doc_id % 3 <> 1").drop("doc_id"))
 
 
 # Pages and urls
@@ -573,27 +578,27 @@ _OWN_URL = (
 )
 
 
-def _given_url() -> Column:
-    """The page's own url, and made-up ones for every second page."""
-    made = F.array(*(F.lit(x[0]) for x in _SOURCES))
-    return F.when(F.col("page_id") % 2 == 0, made[(F.col("page_id") / 2 % len(_SOURCES)).cast("int")]).otherwise(F.col("url"))
+def _given_urls(spark: SparkSession, d: str) -> DataFrame:
+    """(page_id, made, url): each page's own url, and beside it a made-up one of every kind."""
+    made = F.get(F.array(*(F.lit(x[0]) for x in _SOURCES)), (F.col("page_id") % len(_SOURCES)).cast("int"))
+    return table(spark, d, "pages").select("page_id", F.inline(F.array(F.struct(F.lit(False).alias("made"), F.col("url").alias("url")), F.struct(F.lit(True).alias("made"), made.alias("url")))))
 
 
-_MADE = "CAST(page_id // 2 % {n} AS INTEGER)".format(n=len(_SOURCES))
+_MADE = f"CAST(page_id % {len(_SOURCES)} AS INTEGER)"
 
 
 @query(
-    f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN m.canonical ELSE {_OWN_URL} END AS canonical, CASE WHEN page_id % 2 = 1 THEN 'generic' ELSE m.provider END AS provider, "
-    f"CASE WHEN page_id % 2 = 1 THEN 'url:' || {_OWN_URL} WHEN m.identity = '' THEN 'url:' || m.canonical ELSE m.identity END AS identity FROM pages JOIN (VALUES {_sources_sql(1, 3, 4)}) m(k, provider, canonical, identity) ON m.k = {_MADE}"
+    f"SELECT page_id, false AS made, {_OWN_URL} AS canonical, 'generic' AS provider, 'url:' || {_OWN_URL} AS identity FROM pages UNION ALL "
+    f"SELECT page_id, true, m.canonical, m.provider, CASE WHEN m.identity = '' THEN 'url:' || m.canonical ELSE m.identity END FROM pages JOIN (VALUES {_sources_sql(1, 3, 4)}) m(k, provider, canonical, identity) ON m.k = {_MADE}"
 )
 def x11_canonical_url(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "pages").select("page_id", urls.source_identity(_given_url()).alias("s"))
-    return rows.select("page_id", "s.canonical", "s.provider", "s.identity")
+    rows = _given_urls(spark, d).select("page_id", "made", urls.source_identity(F.col("url")).alias("s"))
+    return rows.select("page_id", "made", "s.canonical", "s.provider", "s.identity")
 
 
-@query(f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN m.kind ELSE 'article' END AS kind FROM pages JOIN (VALUES {_sources_sql(2)}) m(k, kind) ON m.k = {_MADE}")
+@query(f"SELECT page_id, false AS made, 'article' AS kind FROM pages UNION ALL SELECT page_id, true, m.kind FROM pages JOIN (VALUES {_sources_sql(2)}) m(k, kind) ON m.k = {_MADE}")
 def x12_source_type(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", urls.source_identity(_given_url())["source_type"].alias("kind"))
+    return _given_urls(spark, d).select("page_id", "made", urls.source_identity(F.col("url"))["source_type"].alias("kind"))
 
 
 _NAMED = " ".join(f"WHEN '{k}' THEN {_text_sql(v)}" for k, v in t.ENTITIES.items())
@@ -631,20 +636,24 @@ def x15_page_text(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", "title", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.length("text").cast("long").alias("n"), t.page_complete(F.col("title"), F.col("text")).alias("complete"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN NULL ELSE length(coalesce(text, '')) END AS n FROM documents")
+@query("SELECT doc_id, 'own' AS blob, CAST(length(coalesce(text, '')) AS BIGINT) AS n FROM documents UNION ALL SELECT doc_id, unnest(['cut', 'wrong', 'large']), NULL FROM documents")
 def x16_blobs(spark: SparkSession, d: str) -> DataFrame:
+    """Every text as a blob, and beside it one whose bytes are no text, one that is no base64, and the text where it is too large."""
     from ..sources.files import decode_blob
 
-    text = F.coalesce("text", F.lit(""))
-    blob = F.base64(F.when(F.col("doc_id") % 6 == 5, F.unhex(F.lit("C328"))).otherwise(text.cast("binary")))
-    return table(spark, d, "documents").select("doc_id", F.length(decode_blob(blob, 1 << 30)).cast("long").alias("n"))
+    own = F.concat(F.coalesce("text", F.lit("")).cast("binary"))
+    blobs = F.array(*(F.struct(F.lit(k).alias("blob"), v.alias("b")) for k, v in (("own", F.base64(own)), ("cut", F.base64(F.concat(own, F.unhex(F.lit("C328"))))), ("wrong", F.concat(F.lit("%"), F.base64(own))))))
+    docs = table(spark, d, "documents")
+    found = docs.select("doc_id", F.inline(blobs)).select("doc_id", "blob", F.length(decode_blob(F.col("b"), 1 << 30)).cast("long").alias("n"))
+    large = docs.select("doc_id", F.lit("large").alias("blob"), F.length(decode_blob(F.base64(F.concat(own, F.lit("x").cast("binary"))), 0)).cast("long").alias("n"))
+    return found.unionByName(large)
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
+@query("SELECT o_orderkey, false AS made, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders UNION ALL SELECT o_orderkey, true, CASE WHEN month(o_orderdate) IN (1, 3, 5, 7, 8, 10, 12) THEN strftime(o_orderdate, '%Y-%m') || '-31' END FROM orders")
 def x18_dates(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.when(F.col("o_orderkey") % 3 == 0, F.lit("2024-02-30")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
-    good = F.try_to_timestamp(raw, F.lit("yyyy-MM-dd")).cast("date")
-    return table(spark, d, "orders").select("o_orderkey", F.when(F.date_format(good, "yyyy-MM-dd") == raw, raw).alias("day"))
+    """Every order's date, and beside it the 31st of its month, which not all months have."""
+    raw = F.array(F.struct(F.lit(False).alias("made"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("raw")), F.struct(F.lit(True).alias("made"), F.concat(F.date_format("o_orderdate", "yyyy-MM"), F.lit("-31")).alias("raw")))
+    return table(spark, d, "orders").select("o_orderkey", F.inline(raw)).select("o_orderkey", "made", t.valid_day(F.col("raw")).alias("day"))
 
 
 #: Files of every rule, and files that no rule takes, with kind and priority.
