@@ -734,7 +734,22 @@ def r09_memberships(spark: SparkSession, d: str) -> DataFrame:
     return _members(spark, d).select("card_id", "concept_id", "origin", "strength")
 
 
-@query()
+_MADE_EDGES = (
+    f"made AS (SELECT source || '::' || target AS pair_id, source, target, CASE WHEN coalesce(semantic, 0.0::DOUBLE) >= 0.62 AND taxonomy >= 0.32 THEN 'similar_to' ELSE 'complements' END AS type, "
+    f"{fixed('(combined * 0.65::DOUBLE + ' + fixed('greatest(0.35::DOUBLE, least(0.78::DOUBLE, combined))', 4) + ' * 0.35::DOUBLE)', 4)} AS score FROM few WHERE combined >= 0.48)"
+)
+
+
+def _graph_edge_sql(kind: str, a: str, b: str, left: str, right: str, rest: str) -> str:
+    return f"SELECT '{kind}:' || {a} || '::' || {b} AS id, '{kind}' AS kind, '{left}:' || {a} AS source, '{right}:' || {b} AS target, {rest}"
+
+
+@query(
+    f"WITH RECURSIVE {PAIRS}{_CO[len(PARTS):]}, {_FOUND}, {_greedy_sql('found', 12, 'best', _BEST)}, {_greedy_sql('best', 3, 'few', _BEST)}, {_MADE_EDGES}, {_greedy_sql('rel', con.RELATION_TOP_K, 'together', 'weight DESC, support DESC, source || target')} "
+    + _graph_edge_sql("card-card", "source", "target", "card", "card", "type AS relation_type, 'undirected' AS direction, score AS weight, 'semantic_fallback_v1' AS method, NULL AS origin, NULL AS support FROM made UNION ALL ")
+    + _graph_edge_sql("card-concept", "card_id", "concept_id", "card", "concept", "'supports', 'source_to_target', strength, NULL, origin, NULL FROM members UNION ALL ")
+    + _graph_edge_sql("concept-concept", "source", "target", "concept", "concept", "'co_occurs_with', 'undirected', weight, NULL, NULL, support FROM together")
+)
 def r10_graph(spark: SparkSession, d: str) -> DataFrame:
     """Edges of the graph that the whole build makes of all cards."""
     return build_artifacts(_cards(spark, d), CONFIG, PROMOTED)["edges"]
