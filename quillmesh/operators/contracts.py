@@ -130,6 +130,21 @@ def hand_off_stage(request: Column, evidence: Column, handoff: Column, judgement
     )
 
 
+#: Files of an ingestion: fixed values.
+HAND_OFF_FILES = ("request", "evidence", "handoff", "judgement", "plan", "analysis")
+
+
+def hand_off(files: DataFrame, *identity: str, kind: str = "kind") -> DataFrame:
+    """(identity, files, stage) of each ingestion, from the arrival of its files (identity, kind); kinds that are unknown are no files.
+
+    What an ingestion has is the union of what has arrived, so files that are late, repeated or out of order make
+    no difference, and a stream of arrivals has the batch's stages: its state is six flags an ingestion.
+    """
+    have = files.groupBy(*identity).agg(*(F.coalesce(F.max(F.col(kind) == x), F.lit(False)).alias(f"_{x}") for x in HAND_OFF_FILES))
+    there = F.array_join(F.array_compact(F.array(*(F.when(F.col(f"_{x}"), F.lit(x)) for x in HAND_OFF_FILES))), ",")
+    return have.select(*identity, there.alias("files"), hand_off_stage(*(F.col(f"_{x}") for x in HAND_OFF_FILES)).alias("stage"))
+
+
 def canonical_link(html: Column) -> Column:
     """The page's own canonical address: its link element, else its og:url."""
     link = F.regexp_extract(html, r"(?is)<link\b[^>]*rel=[\"']canonical[\"'][^>]*href=[\"']([^\"']+)", 1)

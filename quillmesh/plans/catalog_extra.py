@@ -296,13 +296,19 @@ def r15_threads(spark: SparkSession, d: str) -> DataFrame:
     return found.select("conv_id", F.col("detected").alias("parts"), "status", "reason", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+#: Files of an ingestion by what an event is, and by the half of a purchase's value.
+_FILE_OF = "CASE event_type WHEN 'signup' THEN 'request' WHEN 'click' THEN 'evidence' WHEN 'view' THEN 'handoff' WHEN 'error' THEN 'judgement' WHEN 'purchase' THEN CASE WHEN value > 50 THEN 'analysis' ELSE 'plan' END END"
+
+
 @query(
-    "WITH e AS (SELECT event_id, " + ", ".join(f"event_id // {1 << k} % 2 = 1 AS b{k}" for k in range(6)) + " FROM events) SELECT event_id, CASE WHEN NOT b0 THEN 'missing-request' WHEN NOT b1 AND b4 AND NOT b5 THEN 'waiting-for-judgement' WHEN NOT b1 AND NOT b4 AND b5 THEN 'judgement-without-evidence' "
-    "WHEN NOT b1 THEN 'fetch-evidence' WHEN b2 THEN 'apply-analysis' WHEN b3 THEN 'expand-research' ELSE 'waiting-for-analysis' END AS stage FROM e"
+    f"WITH f AS (SELECT user_id, CAST(ts AS DATE) AS day, {_FILE_OF} AS kind FROM events), h AS (SELECT user_id, day, " + ", ".join(f"coalesce(bool_or(kind = '{x}'), false) AS {x}" for x in contracts.HAND_OFF_FILES) + " FROM f GROUP BY ALL) "
+    "SELECT user_id, strftime(day, '%Y-%m-%d') AS day, concat_ws(',', " + ", ".join(f"CASE WHEN {x} THEN '{x}' END" for x in contracts.HAND_OFF_FILES) + ") AS files, CASE WHEN NOT request THEN 'missing-request' WHEN NOT evidence AND handoff AND NOT judgement THEN 'waiting-for-judgement' "
+    "WHEN NOT evidence AND NOT handoff AND judgement THEN 'judgement-without-evidence' WHEN NOT evidence THEN 'fetch-evidence' WHEN analysis THEN 'apply-analysis' WHEN plan THEN 'expand-research' ELSE 'waiting-for-analysis' END AS stage FROM h"
 )
 def t03_stages(spark: SparkSession, d: str) -> DataFrame:
-    bit = lambda k: F.getbit(F.col("event_id"), F.lit(k)) == 1
-    return table(spark, d, "events").select("event_id", contracts.hand_off_stage(bit(0), bit(1), bit(4), bit(5), bit(3), bit(2)).alias("stage"))
+    """The stage of each user's ingestion of a day, every event being the arrival of a file."""
+    files = table(spark, d, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.expr(_FILE_OF).alias("kind"))
+    return contracts.hand_off(files, "user_id", "day")
 
 
 @query(f"WITH {DOCS} SELECT id, ord % 7 <> 0 AS known, ord % 7 <> 0 AND ord % 5 <> 0 AS reused FROM docs")
