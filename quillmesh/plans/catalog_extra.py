@@ -11,7 +11,7 @@ from ..operators import contracts, graph, reader, relations, validate, vectors
 from ..operators import conversations as conv
 from ..operators.cards import table
 from ..operators.rounds import shared_folder
-from ..sources import files, sinks
+from ..sources import files, json_walk, sinks
 from ..streaming import incremental
 from .catalog import _POSTS, DOCS, PARTS, query
 from .catalog_more import _EDGE, _edges, _index
@@ -369,8 +369,10 @@ def s12_json_walk(spark: SparkSession, d: str) -> DataFrame:
     """Posts found anywhere inside nested JSON."""
     p = conv.posts(table(spark, d, "conversations")).where(F.trim(F.coalesce("text", F.lit(""))) != "")
     inner = F.to_json(F.struct("id", F.struct("username").alias("user"), F.struct("text").alias("caption"), "reply_to"))
-    wrapped = F.concat(F.lit('{"data": {"edges": [{"node": '), inner, F.lit("}]}}"))
-    return p.select(F.explode(files.find_posts(wrapped)).alias("f")).select("f.id", "f.username", "f.reply_to")
+    # Deep in lists of different lengths, beside values that are no posts.
+    wrapped = F.concat(F.lit('{"data": {"edges": [[1, {"id": "no", "text": "author"}], {"node": '), inner, F.lit("}, null], \"page\": {\"text\": \"no id\"}}}"))
+    payloads = p.select(F.col("id").alias("key"), wrapped.alias("payload"))
+    return json_walk.posts_in(payloads, "key", "payload").select("id", "username", "reply_to")
 
 
 @query(f"WITH {PARTS} SELECT id, title, 'x' AS note FROM cards")
