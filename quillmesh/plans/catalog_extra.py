@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schema, text, urls
-from ..operators import cards as c, ingest
+from ..operators import cards as c, ingest, threads
 from ..operators import contracts, graph, reader, relations, validate, vectors
 from ..operators import conversations as conv
 from ..operators.cards import table
@@ -296,6 +296,38 @@ def r15_threads(spark: SparkSession, d: str) -> DataFrame:
     return found.select("conv_id", F.col("detected").alias("parts"), "status", "reason", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+_SAME = "coalesce(h, a) IS NOT NULL AND NOT (h IS NOT NULL AND a IS NOT NULL AND h <> a)"
+
+
+@query(
+    "WITH n AS (SELECT conv_id, count(*) AS n, CASE WHEN conv_id % 7 = 5 THEN count(*) END AS h, CASE WHEN conv_id % 2 = 0 THEN count(*) + CASE WHEN conv_id % 10 = 4 THEN 1 ELSE 0 END END AS a FROM conversations GROUP BY conv_id), "
+    "one AS (SELECT *, least(n, 2) AS d1, CASE WHEN h IS NOT NULL THEN least(n, 2) = h ELSE n = 2 END AS c1 FROM n), "
+    f"two AS (SELECT *, least(n, 4) AS d2, CASE WHEN h <> a THEN false WHEN {_SAME} THEN least(n, 4) = coalesce(a, h) ELSE n BETWEEN 2 AND 4 END AS c2 FROM one), "
+    "r AS (SELECT *, CASE WHEN c1 THEN 'page' WHEN c2 THEN 'api' ELSE 'browser' END AS method, CASE WHEN c1 THEN d1 WHEN c2 THEN d2 ELSE n END AS detected, c1 OR c2 OR h IS NOT NULL OR conv_id % 3 <> 0 OR n > 1 AS complete, "
+    "CASE WHEN c1 THEN h IS NOT NULL WHEN c2 THEN coalesce(h, a) IS NOT NULL ELSE h IS NOT NULL OR conv_id % 3 <> 0 END AS sure FROM two), "
+    "t AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations JOIN r USING (conv_id) WHERE turn < detected AND trim(coalesce(text, '')) <> '' AND NOT (method = 'page' AND turn = 1 AND conv_id % 4 = 1) GROUP BY conv_id) "
+    "SELECT conv_id, detected, CASE WHEN complete THEN detected END AS total, CASE WHEN NOT complete THEN 'INCOMPLETE_THREAD' WHEN detected = 1 THEN 'SINGLE_POST' ELSE 'COMPLETE_THREAD' END AS status, "
+    "CASE WHEN NOT complete THEN 'conversation_coverage_unverified' END AS reason, CASE WHEN complete AND sure THEN 'high' ELSE 'medium' END AS confidence, method, sha256(text) AS text_sha256 FROM r LEFT JOIN t USING (conv_id)"
+)
+def r15_merged_threads(spark: SparkSession, d: str) -> DataFrame:
+    """Every conversation as one author's thread from up to three sources: a page with two posts, one of them without text at times, an interface with four and a number of parts that is wrong at times, and a browser with all."""
+    turns = table(spark, d, "conversations")
+    posts = conv.posts(turns).withColumns({"username": F.lit("me"), "hint": F.lit(None).cast("int"), "hint_total": F.lit(None).cast("int")})
+    n = turns.groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    parts = lambda total: F.struct(F.lit(1).alias("index"), total.alias("total"))
+    page = n.where("conv_id % 7 = 5").select("conv_id", parts(F.col("n")).alias("page"))
+    none = F.lit(None).cast(threads.INDICATOR).alias("adapter")
+    wrong = F.col("n") + F.when(F.col("conv_id") % 10 == 4, 1).otherwise(0)
+    cut = F.when((F.col("turn") == 1) & (F.col("conv_id") % 4 == 1), F.lit(None).cast("string")).otherwise(F.col("text"))
+    sources = [
+        ("page", posts.where("turn < 2").withColumn("text", cut), n.select("conv_id", none, F.lit(False).alias("coverage"))),
+        ("api", posts.where("turn < 4"), n.select("conv_id", F.when(F.col("conv_id") % 2 == 0, parts(wrong)).alias("adapter"), F.lit(False).alias("coverage"))),
+        ("browser", posts, n.select("conv_id", none, (F.col("conv_id") % 3 != 0).alias("coverage"))),
+    ]
+    found = threads.merge_until_complete(sources, page)
+    return found.select("conv_id", "detected", "total", "status", "reason", "confidence", "method", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 #: Files of an ingestion by what an event is, and by the half of a purchase's value.
 _FILE_OF = "CASE event_type WHEN 'signup' THEN 'request' WHEN 'click' THEN 'evidence' WHEN 'view' THEN 'handoff' WHEN 'error' THEN 'judgement' WHEN 'purchase' THEN CASE WHEN value > 50 THEN 'analysis' ELSE 'plan' END END"
 
