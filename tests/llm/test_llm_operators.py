@@ -458,7 +458,7 @@ def test_sql(spark, name):
     from quillmesh.llm.queries import queries
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     mine = queries()[name](spark, SF)
     want = con.sql(ORACLES[name])
