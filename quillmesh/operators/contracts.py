@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,6 +147,43 @@ def hand_off(files: DataFrame, *identity: str, kind: str = "kind") -> DataFrame:
     return have.select(*identity, there.alias("files"), hand_off_stage(*(F.col(f"_{x}") for x in HAND_OFF_FILES)).alias("stage"))
 
 
+#: Files of an ingestion that is kept as state, with what research found so far: fixed values.
+INGESTION_FILES = ("request", "handoff", "judgement", "evidence", "plan", "research", "analysis")
+
+
+def ingestion_stage(provider: Column, has: dict[str, Column], same_digest: Column) -> Column:
+    """struct<stage, waiting_for, issue>: what an ingestion does next, what it waits for, or why its files cannot be so.
+
+    has: which of INGESTION_FILES are there; same_digest: the judgement is bound to the hand-off that is there. Hand-offs belong to
+    threads alone, research to repositories; the first issue counts, and an ingestion with an issue has no stage. Without any file it is closed.
+    """
+    h, off = has, F.lit(None).cast("string")
+    threads, github = (F.coalesce(provider == x, F.lit(False)) for x in ("threads", "github"))
+    some = lambda *names: reduce(Column.__or__, (h[x] for x in names))
+    issue = (
+        F.when(~h["request"] & some(*INGESTION_FILES[1:]), F.lit("request_missing"))
+        .when(~threads & some("handoff", "judgement"), F.lit("handoff_of_other_provider"))
+        .when(~github & some("plan", "research"), F.lit("research_of_other_provider"))
+        .when(h["plan"] & h["analysis"], F.lit("plan_with_analysis"))
+        .when(~h["evidence"] & some("analysis", "plan", "research"), F.lit("before_evidence"))
+        .when(~h["evidence"] & h["judgement"] & ~h["handoff"], F.lit("judgement_without_handoff"))
+        .when(~h["evidence"] & h["judgement"] & ~same_digest, F.lit("judgement_of_other_evidence"))
+        .when(h["evidence"] & some("handoff", "judgement"), F.lit("handoff_not_cleared"))
+        .when(h["evidence"] & github & ~h["research"], F.lit("research_missing"))
+    )
+    stage = (
+        F.when(~h["request"], F.lit("closed"))
+        .when(~h["evidence"] & h["handoff"] & ~h["judgement"], F.lit("waiting-for-analysis"))
+        .when(~h["evidence"], F.lit("fetch-evidence"))
+        .when(h["analysis"], F.lit("apply-analysis"))
+        .when(h["plan"], F.lit("expand-research"))
+        .otherwise(F.lit("waiting-for-analysis"))
+    )
+    waits = F.when(~h["evidence"], F.lit("semantic-judgement")).when(github, F.lit("research-plan-or-analysis")).otherwise(F.lit("analysis"))
+    fine = issue.isNull()
+    return F.struct(F.when(fine, stage).alias("stage"), F.when(fine & (stage == "waiting-for-analysis"), waits).otherwise(off).alias("waiting_for"), issue.alias("issue"))
+
+
 def canonical_link(html: Column) -> Column:
     """The page's own canonical address: its link element, else its og:url."""
     link = F.regexp_extract(html, r"(?is)<link\b[^>]*rel=[\"']canonical[\"'][^>]*href=[\"']([^\"']+)", 1)

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cards as c
-from ..operators import release
+from ..operators import contracts, release
 from ..operators.cards import table
 from ..operators.commits import ConflictError
 from ..operators.publish import Releases, release_issues
 from ..operators.rounds import shared_folder
 from ..operators.search_index import SearchIndex
+from ..streaming import hand_off
 from .catalog import DOCS, SQL, _term_sql, query
 from .catalog_more import _QUERY
 
@@ -131,3 +132,46 @@ def f24_release_issues(spark: SparkSession, d: str) -> DataFrame:
         (n % 17).cast("long").alias("files"), F.octet_length("text").cast("long").alias("bytes"), F.when(n % 5 == 1, F.substring(sha, 1, 40)).otherwise(sha).alias("sha256"),
     )
     return release_issues(said, ("en",))
+
+
+#: An event as the change of a file: its type, and a purchase's or view's value, name the file; its value says whether the file is taken away and what it is bound to.
+_FILE = "CASE event_type WHEN 'signup' THEN 'request' WHEN 'click' THEN 'evidence' WHEN 'view' THEN CASE WHEN value > 20 THEN 'handoff' ELSE 'research' END WHEN 'error' THEN 'judgement' WHEN 'purchase' THEN CASE WHEN value > 50 THEN 'analysis' ELSE 'plan' END END"
+_PROVIDER = "CASE user_id % 3 WHEN 0 THEN 'threads' WHEN 1 THEN 'github' ELSE 'generic_web' END"
+_CENTS = "CAST(round(value * 100) AS BIGINT)"
+
+
+def _file_changes(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").cast("string").alias("identity"), F.expr(_PROVIDER).alias("provider"), F.expr(_FILE).alias("file"), F.col("ts").alias("at"), F.expr(f"{_CENTS} % 3 <> 0").alias("gone"), F.expr(f"CAST({_CENTS} % 2 AS STRING)").alias("digest"))
+
+
+def _any(*names: str) -> str:
+    return "(" + " OR ".join(names) + ")"
+
+
+_STAGES_SQL = (
+    f"WITH e AS (SELECT CAST(user_id AS VARCHAR) AS identity, {_PROVIDER} AS provider, {_FILE} AS file, ts, coalesce({_CENTS} % 3 <> 0, false) AS gone, coalesce(CAST({_CENTS} % 2 AS VARCHAR), '') AS digest FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), "
+    "k AS (SELECT * FROM e WHERE file IS NOT NULL), f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY identity, file ORDER BY ts DESC, gone DESC, digest DESC) = 1), "
+    "h AS (SELECT identity, min(provider) AS provider, max(ts) AS last, coalesce(max(CASE WHEN file = 'handoff' THEN digest END), '') = coalesce(max(CASE WHEN file = 'judgement' THEN digest END), '') AS same, "
+    + ", ".join(f"bool_or(file = '{x}' AND NOT gone) AS {x}" for x in contracts.INGESTION_FILES)
+    + " FROM f GROUP BY identity), i AS (SELECT *, CASE WHEN NOT request AND " + _any(*contracts.INGESTION_FILES[1:]) + " THEN 'request_missing' WHEN provider <> 'threads' AND (handoff OR judgement) THEN 'handoff_of_other_provider' "
+    "WHEN provider <> 'github' AND (plan OR research) THEN 'research_of_other_provider' WHEN plan AND analysis THEN 'plan_with_analysis' WHEN NOT evidence AND (analysis OR plan OR research) THEN 'before_evidence' "
+    "WHEN NOT evidence AND judgement AND NOT handoff THEN 'judgement_without_handoff' WHEN NOT evidence AND judgement AND NOT same THEN 'judgement_of_other_evidence' WHEN evidence AND (handoff OR judgement) THEN 'handoff_not_cleared' "
+    "WHEN evidence AND provider = 'github' AND NOT research THEN 'research_missing' END AS issue FROM h), s AS (SELECT *, CASE WHEN issue IS NULL THEN CASE WHEN NOT request THEN 'closed' WHEN NOT evidence AND handoff AND NOT judgement THEN 'waiting-for-analysis' "
+    "WHEN NOT evidence THEN 'fetch-evidence' WHEN analysis THEN 'apply-analysis' WHEN plan THEN 'expand-research' ELSE 'waiting-for-analysis' END END AS stage FROM i) "
+    "SELECT identity, provider, concat_ws(',', " + ", ".join(f"CASE WHEN {x} THEN '{x}' END" for x in contracts.INGESTION_FILES) + ") AS files, stage, "
+    "CASE WHEN stage = 'waiting-for-analysis' THEN CASE WHEN NOT evidence THEN 'semantic-judgement' WHEN provider = 'github' THEN 'research-plan-or-analysis' ELSE 'analysis' END END AS waiting_for, issue, "
+    "epoch_ms(last) + 36000000 <= (SELECT max(epoch_ms(ts)) - 3600000 FROM k) AND " + _any(*contracts.INGESTION_FILES) + " AS stalled FROM s"
+)
+
+
+@query(_STAGES_SQL)
+def t03_ingestion_stages(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's ingestion after all events, every event being the arrival or the end of a file, from a table."""
+    return hand_off.stages(_file_changes(table(spark, d, "events")), "10 HOURS", "1 HOUR").drop("last")
+
+
+@query(_STAGES_SQL)
+def t03_ingestion_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same ingestions kept as state by a stream over the files of events, with timers for those that stall."""
+    read = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    return hand_off.stream_stages(_file_changes(read), "10 HOURS", "1 HOUR").drop("last")
