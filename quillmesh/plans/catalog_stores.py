@@ -14,6 +14,7 @@ from ..operators.commits import ConflictError
 from ..operators.publish import Releases, release_issues
 from ..operators.rounds import shared_folder
 from ..operators.search_index import SearchIndex
+from ..sources import git_store
 from ..streaming import hand_off
 from .catalog import DOCS, SQL, _term_sql, query
 from .catalog_more import _QUERY
@@ -175,3 +176,45 @@ def t03_ingestion_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same ingestions kept as state by a stream over the files of events, with timers for those that stall."""
     read = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
     return hand_off.stream_stages(_file_changes(read), "10 HOURS", "1 HOUR").drop("last")
+
+
+#: Up to this many documents are a repository, so no tree lists more.
+_BLOCK = 500
+_REPO = f"coalesce(source, 'none') || '/' || CAST(doc_id // {_BLOCK} AS VARCHAR)"
+_PATH = "CASE WHEN doc_id % 10 < 8 THEN 'content/knowledge/2024/doc-' || doc_id || '.md' ELSE 'assets/' || doc_id || '.md' END"
+_CARDS = r"content/knowledge/[0-9]{4}/[a-z0-9-]+\.md"
+
+
+def _landed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Repositories of all documents as their host would answer: some trees are cut off, some are missing, some blobs are wrong."""
+    docs, folder = table(spark, d, "documents").where("doc_id IS NOT NULL"), shared_folder(spark, "landed")
+    block = F.expr(f"doc_id div {_BLOCK}")
+    body = F.coalesce("text", F.lit("")).cast("binary")
+    # A content's name is its own, so equal texts are one blob.
+    base = docs.select("doc_id", F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), block.cast("string")).alias("repo"), (block % 7).alias("k"), body.alias("body"), F.sha1(body).alias("sha"), F.octet_length(body).cast("long").alias("n"))
+    payload = F.struct(
+        F.when(F.col("n") % 13 == 2, F.lit("utf-8")).otherwise(F.lit("base64")).alias("encoding"), F.base64("body").alias("content"), (F.col("n") + F.when(F.col("n") % 11 == 5, 1).otherwise(0)).alias("size")
+    )
+    blobs = base.where("n % 17 <> 4").select("sha", F.to_json(payload).alias("payload"))
+    path = F.when(F.col("doc_id") % 10 < 8, F.concat(F.lit("content/knowledge/2024/doc-"), F.col("doc_id").cast("string"), F.lit(".md"))).otherwise(F.concat(F.lit("assets/"), F.col("doc_id").cast("string"), F.lit(".md")))
+    one = base.groupBy("repo", "k").agg(F.collect_list(F.struct(path.alias("path"), F.lit("blob").alias("type"), "sha")).alias("tree"))
+    named = one.withColumn("tree_sha", F.sha1(F.col("repo").cast("binary")))
+    trees = named.where("k <> 5").select(F.col("tree_sha").alias("sha"), F.to_json(F.struct((F.col("k") == 3).alias("truncated"), "tree")).alias("payload"))
+    at = F.struct(F.sha1(F.concat(F.lit("commit "), F.col("repo")).cast("binary")).alias("sha"), F.struct(F.struct(F.col("tree_sha").alias("sha")).alias("tree")).alias("commit"), F.array().cast("array<struct<sha string>>").alias("parents"))
+    commits = named.select("repo", F.lit("main").alias("ref"), F.when(F.col("k") == 6, F.lit("{}")).otherwise(F.to_json(at)).alias("payload"))
+    for name, rows in (("commits", commits), ("trees", trees), ("blobs", blobs)):
+        rows.write.parquet(f"{folder}/{name}")
+    return tuple(spark.read.parquet(f"{folder}/{name}") for name in ("commits", "trees", "blobs"))
+
+
+@query(
+    f"WITH b AS (SELECT doc_id, {_REPO} AS repo, (doc_id // {_BLOCK}) % 7 AS k, {_PATH} AS path, encode(coalesce(text, '')) AS body FROM documents WHERE doc_id IS NOT NULL), n AS (SELECT *, octet_length(body) AS n FROM b), "
+    "bad AS (SELECT DISTINCT repo, CASE k WHEN 6 THEN 'revision_invalid' WHEN 5 THEN 'tree_missing' ELSE 'tree_truncated' END AS error FROM b WHERE k IN (3, 5, 6)), "
+    "f AS (SELECT repo, path, n + CASE WHEN n % 11 = 5 THEN 1 ELSE 0 END AS size, body, n, CASE WHEN n % 17 = 4 THEN 'blob_missing' WHEN n % 13 = 2 THEN 'blob_invalid' WHEN n + CASE WHEN n % 11 = 5 THEN 1 ELSE 0 END > 40000 THEN 'blob_too_large' WHEN n % 11 = 5 THEN 'blob_size_differs' END AS error "
+    "FROM n WHERE k NOT IN (3, 5, 6) AND doc_id % 10 < 8) "
+    "SELECT repo, path, CAST(CASE WHEN error = 'blob_missing' THEN NULL ELSE size END AS BIGINT) AS bytes, CASE WHEN error IS NULL THEN sha256(body) END AS text_sha256, error FROM f UNION ALL SELECT repo, NULL, NULL, NULL, error FROM bad"
+)
+def s06_landed_files(spark: SparkSession, d: str) -> DataFrame:
+    """All documents landed as git objects and read back by the paths of cards, whole texts, with a row for each object that is refused."""
+    found = git_store.files(*_landed(spark, d), _CARDS, 40_000)
+    return found.select("repo", "path", "bytes", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "error")
