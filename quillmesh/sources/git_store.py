@@ -48,9 +48,9 @@ def entries(at: DataFrame, trees: DataFrame, paths: str = ".*") -> DataFrame:
 
 
 def blob_texts(blobs: DataFrame, max_bytes: int) -> DataFrame:
-    """(sha, bytes, text, error): the text of each blob; what is no base64 or UTF-8, is over `max_bytes`, or has not the length it states, has an error instead. Copies of a blob are one row."""
+    """(sha, bytes, text, error): the text of each blob; what is no base64 or UTF-8, is over `max_bytes`, or has not the length it states, has an error instead."""
     # Texts that are too long are refused by the size they state, and not decoded.
-    p = blobs.groupBy("sha").agg(F.max("payload").alias("payload")).select(F.lower("sha").alias("sha"), F.from_json("payload", _BLOB).alias("p"))
+    p = blobs.select(F.lower("sha").alias("sha"), F.from_json("payload", _BLOB).alias("p"))
     formed = F.coalesce((F.col("p.encoding") == "base64") & F.col("p.content").isNotNull() & (F.col("p.size") >= 0), F.lit(False))
     small = formed & (F.col("p.size") <= max_bytes)
     data = p.withColumn("_d", F.when(small, F.try_to_binary(F.regexp_replace("p.content", r"\s", ""), F.lit("base64"))))
@@ -67,12 +67,13 @@ def blob_texts(blobs: DataFrame, max_bytes: int) -> DataFrame:
 def files(commits: DataFrame, trees: DataFrame, blobs: DataFrame, paths: str = ".*", max_bytes: int = 1 << 20, parts: int = 64) -> DataFrame:
     """(repo, revision, path, sha, bytes, text, error): all files of all refs whose paths fit; bad objects are rows with an error.
 
-    Only blobs of fitting paths are decoded, each once. Very many paths may have one content: they meet it in up to `parts`
-    tasks, to each of which the text goes once.
+    Blobs are decoded where they are read, so that texts move instead of payloads, which are longer and hardly compress. Of the copies of a
+    blob one that is good counts. Very many paths may have one content: they meet it in up to `parts` tasks, to each of which the text goes once.
     """
     listed = entries(revisions(commits), trees, paths).withColumn("_part", F.pmod(F.xxhash64("repo", "revision", "path"), F.lit(parts)))
     places = listed.where("sha IS NOT NULL").select("sha", "_part").distinct()
-    wanted = blobs.withColumn("sha", F.lower("sha")).join(places.select("sha").distinct(), "sha", "left_semi")
-    texts = places.join(blob_texts(wanted, max_bytes).withColumnRenamed("error", "_e").withColumn("_there", F.lit(True)), "sha")
+    wanted = blob_texts(blobs, max_bytes).join(places.select("sha").distinct(), "sha", "left_semi")
+    best = wanted.groupBy("sha").agg(F.max(F.struct(F.col("error").isNull().alias("good"), "bytes", "text", "error")).alias("b"))
+    texts = places.join(best.select("sha", "b.bytes", "b.text", F.col("b.error").alias("_e"), F.lit(True).alias("_there")), "sha")
     lost = F.when(F.col("path").isNotNull() & F.col("_there").isNull(), F.lit("blob_missing"))
     return listed.join(texts, ["sha", "_part"], "left").select("repo", "revision", "path", "sha", "bytes", "text", F.coalesce("error", "_e", lost).alias("error"))

@@ -37,7 +37,7 @@ def test_each_fault_is_a_row(spark):
     commits = [("r", "main", _commit("t")), ("r", "same", _commit("t")), ("cut", "main", _commit("c")), ("lost", "main", _commit("x")), ("odd", "main", _commit("o")), ("bad", "main", "{}"), ("none", "main", None)]
     entries = [("content/a.md", "blob", _sha(1)), ("content", "tree", _sha(2)), ("content/b.md", "blob", _sha(3)), ("content/c.md", "blob", _sha(4)), ("content/d.md", "blob", _sha(5)), ("content/e.md", "blob", _sha(6)), ("content/f.md", "blob", _sha(7)), ("content/g.md", "blob", _sha(8)), ("notes/a.md", "blob", _sha(1)), ("content/h.md", "blob", _sha(9)), ("content/h.md", "blob", _sha(1))]
     trees = [(_sha("t"), _tree(*entries)), (_sha("t"), _tree(*entries)), (_sha("c"), _tree(*entries, truncated=True)), (_sha("o"), json.dumps({"tree": "no list"}))]
-    blobs = [(_sha(1), _blob("é one\n" * 40)), (_sha(1), _blob("é one\n" * 40)), (_sha(3), _blob("x" * 400)), (_sha(4), _blob("four", size=5)), (_sha(5), _blob("five", encoding="utf-8")), (_sha(6), _blob(b"\xff\xfe")), (_sha(7), None)]
+    blobs = [(_sha(1), _blob("é one\n" * 40)), (_sha(1), "broken"), (_sha(1), _blob("é one\n" * 40)), (_sha(3), _blob("x" * 400)), (_sha(4), _blob("four", size=5)), (_sha(5), _blob("five", encoding="utf-8")), (_sha(6), _blob(b"\xff\xfe")), (_sha(7), None)]
     found = git_store.files(*_store(spark, commits, trees, blobs), r"content/[^/]+\.md", 300).collect()
     got = {(r.repo, r.path): (r.bytes, r.text, r.error) for r in found}
     assert len(found) == len(got) == 13
