@@ -72,8 +72,8 @@ def files(commits: DataFrame, trees: DataFrame, blobs: DataFrame, paths: str = "
     """
     listed = entries(revisions(commits), trees, paths).withColumn("_part", F.pmod(F.xxhash64("repo", "revision", "path"), F.lit(parts)))
     places = listed.where("sha IS NOT NULL").select("sha", "_part").distinct()
-    wanted = blob_texts(blobs, max_bytes).join(places.select("sha").distinct(), "sha", "left_semi")
-    best = wanted.groupBy("sha").agg(F.max(F.struct(F.col("error").isNull().alias("good"), "bytes", "text", "error")).alias("b"))
+    # Copies are merged in the tasks that read them, before anything moves.
+    best = blob_texts(blobs, max_bytes).groupBy("sha").agg(F.max(F.struct(F.col("error").isNull().alias("good"), "bytes", "text", "error")).alias("b"))
     texts = places.join(best.select("sha", "b.bytes", "b.text", F.col("b.error").alias("_e"), F.lit(True).alias("_there")), "sha")
     lost = F.when(F.col("path").isNotNull() & F.col("_there").isNull(), F.lit("blob_missing"))
     return listed.join(texts, ["sha", "_part"], "left").select("repo", "revision", "path", "sha", "bytes", "text", F.coalesce("error", "_e", lost).alias("error"))
