@@ -45,3 +45,20 @@ def test_neighbours_are_exact(spark, block):
 def test_token_hashes_are_folded_once(spark):
     plan = entry_point.queries()["a02_token_hash"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "labels.parquet" not in plan
+
+
+def test_vectors_that_lie_evenly_apart(spark, monkeypatch):
+    """Where most cells are visited, all meet all in larger blocks, and few of the rows that come out look their vectors up."""
+    rng, rows = np.random.default_rng(3), []
+    rows = [(f"v{k:03d}", rng.normal(size=16).tolist()) for k in range(300)]
+    sizes, match = [], vectors._match
+    monkeypatch.setattr(vectors, "_match", lambda m, a, k, block, kind: sizes.append(block) or match(m, a, k, block, kind))
+    got = vectors.nearest(spark.createDataFrame(rows, "id string, vector array<double>"), k=3, block_rows=4).collect()
+    assert {i: [j for j, _ in x] for i, x in slow(rows, 3).items()} == {i: [r["other"] for r in sorted(got, key=lambda r: r["rank"]) if r["id"] == i] for i, _ in rows}
+    assert sizes == [4, 19]
+
+
+def test_few_columns_are_hopeful():
+    sim = np.random.default_rng(2).normal(size=(5, 3_000))
+    for row, cols in zip(sim, vectors._hopeful(sim, 4), strict=True):
+        assert set(np.argsort(-row)[:4]) <= set(cols.tolist()) and len(cols) < 300
