@@ -47,6 +47,11 @@ def test_token_hashes_are_folded_once(spark):
     assert plan.count("ArrowEvalPython") == 1 and "labels.parquet" not in plan
 
 
+def test_lengths_are_made_with_the_parts(spark):
+    plan = entry_point.queries()["a02_token_hash"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "reduce(" not in plan
+
+
 def test_vectors_that_lie_evenly_apart(spark, monkeypatch):
     """Where most cells are visited, all meet all in larger blocks, and few of the rows that come out look their vectors up."""
     rng, rows = np.random.default_rng(3), []
