@@ -23,15 +23,24 @@ def first_broken(rules: list[tuple[Column, str]]) -> Column:
 
 def shape_issues(judgement: Column) -> Column:
     """array<string>: what is wrong with the form of a judgement, a JSON text (column string), as sorted distinct codes."""
-    data = F.try_parse_json(judgement)
-    keys = F.json_object_keys(F.when(data.isNotNull(), judgement))
+
+    def once(value: Column, then) -> Column:
+        """then(value), with the value computed once however often it is used."""
+        return F.get(F.transform(F.array(value), then), F.lit(0))
+
+    labels = F.from_json(F.get_json_object(judgement, "$.candidate_labels"), "array<map<string,string>>")
+    known = lambda data: F.struct(
+        data.alias("data"), F.json_object_keys(F.when(data.isNotNull(), judgement)).alias("keys"), F.try_variant_get(data, "$.selected_shortcodes", "array<variant>").alias("codes"), F.when(data.isNotNull(), labels).alias("labels")
+    )
+    return once(F.try_parse_json(judgement), lambda data: once(known(data), lambda x: _shape_issues(x["data"], x["keys"], x["codes"], x["labels"])))
+
+
+def _shape_issues(data: Column, keys: Column, codes: Column, labels: Column) -> Column:
     at = lambda path, kind="variant": F.try_variant_get(data, f"$.{path}", kind)
     is_kind = lambda path, *kinds: F.coalesce(F.regexp_extract(F.schema_of_variant(at(path)), "^[A-Z]+", 0).isin(*kinds), F.lit(False))
     is_object, numbers = F.coalesce(F.schema_of_variant(data).startswith("OBJECT"), F.lit(False)), ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
-    codes = at("selected_shortcodes", "array<variant>")
     code_bad = lambda c: ~F.coalesce((F.schema_of_variant(c) == "STRING") & F.length(F.try_variant_get(c, "$", "string")).between(1, CODE_LENGTH), F.lit(False))
     share = lambda path: is_kind(path, *numbers) & F.coalesce(at(path, "double").between(0, 1), F.lit(False))
-    labels = F.from_json(F.get_json_object(judgement, "$.candidate_labels"), "array<map<string,string>>")
     label_bad = lambda m: (
         ~F.coalesce(F.array_sort(F.map_keys(m)) == F.array(*map(F.lit, ("confidence", "label", "shortcode"))), F.lit(False))
         | ~F.coalesce(F.try_element_at(m, F.lit("label")).isin(*LABELS), F.lit(False))
