@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions.numeric import to_fixed
 from .commits import CommitLog, ConflictError, list_names
-from .search import PHRASE, SUBSTRING, WEIGHTS, searchable
+from .search import PHRASE, SUBSTRING, WEIGHTS, row_counts, searchable
 
 #: Folders of postings and of dictionary grams; cards of a block, a power of two; tasks over which a bucket is dealt when it is written.
 BUCKETS, BLOCK_CARDS, DEALT = 64, 1_024, 4
@@ -103,9 +103,8 @@ class SearchIndex:
         named = {"name": segment}
         cards = self._cards([named])
         blocks = cards.select(F.floor(F.col("card") / BLOCK_CARDS)).distinct().count()
-        each = F.array(*(F.struct(F.lit(f).alias("field"), t.tokenize(F.col(f"{f}_text")).alias("tokens")) for f in self.fields))
-        words = cards.select("card", F.inline(each)).select("card", "field", F.explode("tokens").alias("token"))
-        counts = words.groupBy("token", "field", "card").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        # A card is one row, so its tokens are counted within it.
+        counts = row_counts(cards, "card", {f: t.tokenize(F.col(f"{f}_text")) for f in self.fields})
         block = F.floor(F.col("card") / BLOCK_CARDS).cast("long")
         found = counts.groupBy("token", "field", block.alias("block")).agg(F.max("n").alias("top"), F.sort_array(F.collect_list(F.struct("card", "n"))).alias("cards"))
         # A frequent token's blocks are dealt over several tasks.
