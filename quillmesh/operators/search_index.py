@@ -3,8 +3,8 @@
 Each segment holds its cards' normalised texts, postings and a dictionary. Postings are rows (token, field,
 block): the cards of a block of BLOCK_CARDS that have the token, how often, and the most often; they lie in
 buckets by token, which are folders, so that a query reads its tokens' buckets alone. A query token also counts, for
-less, within longer tokens; these are found in the dictionary by a bucket of its 3-grams (for short
-tokens, 1- and 2-grams).
+less, within longer tokens; these are found in the dictionary by a bucket of its 3-grams. A query token of one or two
+characters is looked for in all of the dictionary's grams.
 
 Search reads the most-often numbers first: they bound every block's score. The best blocks are
 scored, and then only those that could still beat the last of the best cards.
@@ -19,7 +19,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,9 +48,9 @@ def _buckets(values: list[str]) -> set[int]:
 
 
 def grams(token: Column) -> Column:
-    """All strings of one to three characters in a token, each once."""
-    of = lambda n: F.when(F.length(token) >= n, F.transform(F.sequence(F.lit(1), F.length(token) - (n - 1)), lambda k: F.substring(token, k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(of(1), of(2), of(3)))
+    """All strings of three characters in a token, each once; a shorter token itself."""
+    of = F.transform(F.sequence(F.lit(1), F.length(token) - 2), lambda k: F.substring(token, k, F.lit(3)))
+    return F.when(F.length(token) > 3, F.array_distinct(of)).otherwise(F.array(token))
 
 
 class SearchIndex:
@@ -159,9 +159,11 @@ class SearchIndex:
     def holding(self, segments: list[dict], words: list[str]) -> DataFrame:
         """(word, token): tokens of the dictionary that hold a word of the query."""
         pairs = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(w[:3]).alias("first")) for w in words))
-        firsts = sorted({w[:3] for w in words})
-        wanted = self._read("grams", _GRAMS, segments, _buckets(firsts)).where(F.col("gram").isin(firsts))
-        return wanted.select("gram", "token", F.inline(pairs)).where((F.col("gram") == F.col("first")) & F.contains("token", F.col("word"))).select("word", "token").distinct()
+        firsts, short = sorted({w[:3] for w in words if len(w) > 2}), [w for w in words if len(w) < 3]
+        of_short = reduce(or_, (F.contains("gram", F.lit(w)) for w in short), F.lit(False))
+        wanted = self._read("grams", _GRAMS, segments, None if short else _buckets(firsts)).where(F.col("gram").isin(firsts) | of_short)
+        met = F.when(F.length("word") < 3, F.contains("gram", F.col("word"))).otherwise((F.col("gram") == F.col("first")) & F.contains("token", F.col("word")))
+        return wanted.select("gram", "token", F.inline(pairs)).where(met).select("word", "token").distinct()
 
     def _hits(self, segments: list[dict], words: list[str]) -> DataFrame:
         """Postings of all tokens that hold a word of the query, with the word and whether it is the token."""
