@@ -87,21 +87,13 @@ def climb(edges: DataFrame, tops: DataFrame) -> DataFrame:
     return state.where("done").select("id", F.col("at").alias("top"), "hops")
 
 
-def ancestors(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(id): the nodes of `start` (id) and all that edges (id, parent; one an id) lead to from them, by joins that double their reach."""
-    found, step = checkpoint(start.distinct()), edges
-    count = 0
-    while (now := found.count()) != count:
-        count = now
-        further = found.join(step, "id").select(F.col("parent").alias("id"))
-        found = checkpoint(found.unionByName(further).distinct())
-        far = step.select(F.col("id").alias("parent"), F.col("parent").alias("_to"))
-        step = checkpoint(step.join(far, "parent").select("id", F.col("_to").alias("parent")))
-    return found
+def author_chains(rows: DataFrame) -> DataFrame:
+    """The first of chains_and_posts()."""
+    return chains_and_posts(rows)[0]
 
 
-def author_chains(rows: DataFrame) -> DataFrame:
-    """(conv_id, length, last, ambiguous): from each root the one child by the same author, and so on.
+def chains_and_posts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conv_id, length, last, ambiguous): from each root the one child by the same author, and so on; and (id): the posts of all chains.
 
     The root is the first post, by id, that replies to nothing. Where two children could follow, the one whose
     indicator (column hint) alone names the next place is taken; otherwise the chain is ambiguous. A conversation
@@ -126,7 +118,8 @@ def author_chains(rows: DataFrame) -> DataFrame:
     chain = line.unionByName(tops.select("id", F.col("id").alias("top"), F.lit(0).cast("long").alias("hops")))
     last = chain.groupBy("top").agg(F.max(F.struct("hops", "id")).alias("x")).select(F.col("top").alias("root"), (F.col("x.hops") + 1).alias("length"), F.col("x.id").alias("last"))
     ended = last.join(follow.select(F.col("parent").alias("last"), "unclear"), "last", "left")
-    return every.join(ended, "root", "left").select("conv_id", F.coalesce("length", F.lit(0).cast("long")).alias("length"), "last", F.coalesce("unclear", F.lit(False)).alias("ambiguous"))
+    found = every.join(ended, "root", "left").select("conv_id", F.coalesce("length", F.lit(0).cast("long")).alias("length"), "last", F.coalesce("unclear", F.lit(False)).alias("ambiguous"))
+    return found, chain.select("id")
 
 
 def indicator(text: Column) -> Column:
@@ -206,15 +199,13 @@ def extract_threads(rows: DataFrame, covered: DataFrame) -> DataFrame:
     posts are known). The thread is the author's chain from the root; its text is that of its posts in order, empty ones left out.
     """
     rows = checkpoint(rows)
-    chain = checkpoint(author_chains(rows))
+    chain, members = chains_and_posts(rows)
+    chain = checkpoint(chain)
     last = rows.select(F.col("id").alias("last"), F.col("has_replies").alias("last_has_replies"))
     state = chain.join(last, "last", "left").join(covered, "conv_id", "left").select(
         "conv_id", "ambiguous", F.lit(False).alias("conflict"), F.lit(None).cast("long").alias("total"), F.lit(None).cast("long").alias("index"), F.col("length").alias("detected"),
         F.when(F.col("length") > 0, 0).otherwise(-1).alias("input_at"), F.coalesce("coverage", F.lit(False)).alias("coverage"), "last_has_replies", F.lit(False).alias("single"), "last",
     )
-    # The chain's posts are the last one and those that it replies to, directly or not.
-    up = checkpoint(rows.where("reply_to is not null").select("id", F.col("reply_to").alias("parent")))
-    members = ancestors(up, chain.where("last is not null").select(F.col("last").alias("id")))
     text = combined_text(rows.join(members, "id", "left_semi")).withColumnRenamed("combined", "text")
     return completeness(state).join(text, "conv_id", "left").select("conv_id", "detected", "status", "complete", "reason", "text")
 

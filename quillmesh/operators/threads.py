@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .conversations import ancestors, author_chains, combined_text, completeness
+from .conversations import chains_and_posts, combined_text, completeness
 from .rounds import checkpoint
 
 INDICATOR = "struct<index: int, total: int>"
@@ -41,9 +41,9 @@ def assemble(records: DataFrame, facts: DataFrame) -> DataFrame:
     records: posts with conv_id, id, the columns of a post, hint and hint_total (a post's own place and number of parts, or null). facts:
     conv_id, adapter and page (indicators or null) and coverage, whether its posts are known to be all.
     """
-    chain = checkpoint(author_chains(records))
-    up = checkpoint(records.where("reply_to is not null").select("id", F.col("reply_to").alias("parent")))
-    members = checkpoint(records.join(ancestors(up, chain.where("last is not null").select(F.col("last").alias("id"))), "id", "left_semi"))
+    chain, theirs = chains_and_posts(records)
+    chain = checkpoint(chain)
+    members = checkpoint(records.join(theirs, "id", "left_semi"))
     own = members.groupBy("conv_id").agg(
         F.collect_set("hint_total").alias("_totals"), F.min_by("hint", "turn").alias("_root_hint"), F.max_by("has_replies", "turn").alias("last_has_replies"), F.min_by(~F.col("is_reply") & F.col("root_post").isNull(), "turn").alias("_alone")
     )
