@@ -1,7 +1,8 @@
 """A stored inverted index for the weighted search, in segments.
 
 Each segment holds its cards' normalised texts, postings and a dictionary. Postings are rows (token, field,
-block): the cards of a block of BLOCK_CARDS that have the token, how often, and the most often; they lie in
+block): the cards of a block of BLOCK_CARDS that have the token, how often, and the most often; a block that two tasks
+read, or of very long texts, has a few such rows with other cards each. They lie in
 buckets by token, which are folders, so that a query reads its tokens' buckets alone. A query token also counts, for
 less, within longer tokens; these are found in the dictionary by a bucket of its 3-grams. A query token of one or two
 characters is looked for in all of the dictionary's grams.
@@ -18,21 +19,27 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.numeric import to_fixed
 from .commits import CommitLog, ConflictError, list_names
-from .search import PHRASE, SUBSTRING, WEIGHTS, row_counts, searchable
+from .rounds import small_batches
+from .search import PHRASE, SUBSTRING, WEIGHTS, searchable
 
 #: Folders of postings and of dictionary grams; cards of a block, a power of two; tasks over which a bucket is dealt when it is written.
 BUCKETS, BLOCK_CARDS, DEALT = 64, 1_024, 4
 #: Blocks that are scored first; values that are pushed to a scan as a list, more are joined.
 FIRST_BLOCKS, PUSHED = 64, 1_000
+#: Bytes of tokens of a block that a task gathers.
+BLOCK_BYTES = 32 << 20
 _POSTINGS = "token string, field string, block long, top int, cards array<struct<card: long, n: int>>, segment string, bucket int"
 _GRAMS = "gram string, token string, segment string, bucket int"
 _GONE = "segment string, card long"
@@ -53,6 +60,56 @@ def grams(token: Column) -> Column:
     return F.when(F.length(token) > 3, F.array_distinct(of)).otherwise(F.array(token))
 
 
+def _field_postings(cards: np.ndarray, lists: pa.Array, field: str, block: int) -> pa.RecordBatch:
+    """A block's postings of one field from its cards' token lists."""
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = lists.drop_null().flatten().dictionary_encode()
+    rows = max(1, len(cards))
+    pair, n = np.unique(words.indices.to_numpy(zero_copy_only=False) * np.int64(rows) + np.repeat(np.arange(len(size)), size), return_counts=True)
+    word = pair // rows
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    parts = pa.StructArray.from_arrays([pa.array(cards[pair % rows]), pa.array(n.astype(np.int32))], names=["card", "n"])
+    listed = pa.ListArray.from_arrays(np.append(first, len(pair)).astype(np.int32), parts)
+    top = np.maximum.reduceat(n, first) if len(first) else n
+    columns = [words.dictionary.take(pa.array(word[first])), pa.array([field] * len(first), pa.string()), pa.array(np.full(len(first), block)), pa.array(top.astype(np.int32)), listed]
+    return pa.RecordBatch.from_arrays(columns, names=["token", "field", "block", "top", "cards"])
+
+
+def block_postings(cards: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(token, field, block, top, cards) of cards (card, a token array for each of `fields`), which come in the order of `card`.
+
+    A block is counted where it is read, so that its postings are the first that moves.
+    """
+    small_batches(cards.sparkSession)
+    per, most = BLOCK_CARDS, BLOCK_BYTES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            whole = pa.concat_batches(held)
+            ids = whole.column(0).to_numpy()
+            for k, field in enumerate(fields):
+                part = _field_postings(ids, whole.column(k + 1), field, int(ids[0]) // per)
+                if part.num_rows:
+                    yield part
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            blocks = batch.column(0).to_numpy() // per
+            begins = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist()]
+            for x, y in zip(begins, [*begins[1:], len(blocks)], strict=True):
+                if held and (held[0].column(0)[0].as_py() // per != blocks[x] or sum(b.nbytes for b in held) > most):
+                    yield from found()
+                    held = []
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield from found()
+
+    return cards.select("card", *fields).mapInArrow(count, "token string, field string, block long, top int, cards array<struct<card: long, n: int>>")
+
+
 class SearchIndex:
     """The index below a folder. `fields` are names of searched fields, all of them with a weight."""
 
@@ -103,10 +160,7 @@ class SearchIndex:
         named = {"name": segment}
         cards = self._cards([named])
         blocks = cards.select(F.floor(F.col("card") / BLOCK_CARDS)).distinct().count()
-        # A card is one row, so its tokens are counted within it.
-        counts = row_counts(cards, "card", {f: t.tokenize(F.col(f"{f}_text")) for f in self.fields})
-        block = F.floor(F.col("card") / BLOCK_CARDS).cast("long")
-        found = counts.groupBy("token", "field", block.alias("block")).agg(F.max("n").alias("top"), F.sort_array(F.collect_list(F.struct("card", "n"))).alias("cards"))
+        found = block_postings(cards.select("card", *(t.tokenize(F.col(f"{f}_text")).alias(f) for f in self.fields)), self.fields)
         # A frequent token's blocks are dealt over several tasks.
         dealt = found.withColumn("bucket", _bucket(F.col("token"))).repartition("bucket", F.pmod("block", F.lit(DEALT if blocks > FIRST_BLOCKS else 1))).sortWithinPartitions("bucket", "token", "field", "block")
         dealt.write.partitionBy("bucket").parquet(f"{self.folder}/postings/segment={segment}")
