@@ -61,17 +61,14 @@ def _sets(shingle: int):
 
 def families(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(node, component) of the classes (class, prints) that some fingerprint links with another."""
-    edges = None
-    for k in range(classes.select(F.size("prints")).first()[0]):
-        named = classes.select("class", F.col("prints")[k].alias("fp"))
-        prints = materialise(named.groupBy("fp").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("n")), "class-fingerprints")
-        links = search_links(prints.select("fp"), distance, TURNS)
-        end = lambda x, prints=prints: prints.select(F.col("fp").alias(x), F.col("first").alias(f"class_{x}"))
-        far = links.join(end("a"), "a").join(end("b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-        alike = lookup(named, prints.where("n > 1"), "fp", "n").where("class != first").select(F.col("class").alias("a"), F.col("first").alias("b"))
-        both = far.unionByName(alike)
-        edges = both if edges is None else edges.unionByName(both)
-    return connected_components(edges, "a", "b")
+    # All of a class's fingerprints are searched for at once, each among those of its place.
+    named = classes.select("class", F.posexplode("prints").alias("place", "fp"))
+    prints = materialise(named.groupBy("place", "fp").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("n")), "class-fingerprints")
+    links = search_links(prints.select("place", "fp"), distance, TURNS, kind="place")
+    end = lambda x: prints.select("place", F.col("fp").alias(x), F.col("first").alias(f"class_{x}"))
+    far = links.join(end("a"), ["place", "a"]).join(end("b"), ["place", "b"]).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    alike = lookup(named, prints.where("n > 1"), ["place", "fp"], "n").where("class != first").select(F.col("class").alias("a"), F.col("first").alias("b"))
+    return connected_components(far.unionByName(alike), "a", "b")
 
 
 def similar_in_group(sizes: np.ndarray, shingles: np.ndarray, side: np.ndarray) -> np.ndarray:

@@ -111,13 +111,15 @@ def _front(turns: int) -> list[int]:
     return [(((1 << size) - 1) << (64 - size)) - (1 << 64) for _, size in segments(turns)]
 
 
-def gray_index(fps: DataFrame, turns: int = TURNS, node_rows: int = NODE_ROWS) -> tuple[DataFrame, int]:
+def gray_index(fps: DataFrame, turns: int = TURNS, node_rows: int = NODE_ROWS, kind: str | None = None) -> tuple[DataFrame, int]:
     """(turn, leaf, rot) of every fingerprint (column fp, distinct) in every rotation, and the number of leaves.
 
-    Leaves are ranges of (turn, Gray rank), numbered in that order.
+    Leaves are ranges of (turn, Gray rank), numbered in that order. kind: see search_links(); each kind has `turns` numbers of its own.
     """
     leaves = max(1, -(-fps.count() * turns // node_rows))
-    turned = fps.select(F.inline(rotations(F.col("fp"), turns)))
+    turned = fps.select(F.inline(rotations(F.col("fp"), turns)), *([F.col(kind).alias("kind")] if kind else []))
+    if kind:
+        turned = turned.select((F.col("kind") * turns + F.col("turn")).cast("int").alias("turn"), "rot")
     # With the highest bit flipped, signed longs sort as unsigned ones.
     rank = gray_rank(F.col("rot")).bitwiseXOR(F.lit(-(1 << 63)))
     ranged = turned.withColumn("rank", rank).repartitionByRange(leaves, "turn", "rank")
@@ -130,15 +132,18 @@ def open_leaves(index: DataFrame, leaves: int, distance: int = DISTANCE, turns:
 
     report, if given, gets (level, pairs met, pairs opened) of each level, from the top on.
     """
-    levels = [materialise(index.groupBy("turn", F.col("leaf").alias("node")).agg(F.bit_and("rot").alias("all"), F.bit_or("rot").alias("some")), "gray-leaves")]
-    width = leaves
-    while width > 1:
-        width = -(-width // FAN)
-        levels.append(levels[-1].groupBy("turn", F.expr(f"node div {FAN}").cast("int").alias("node")).agg(F.bit_and("all").alias("all"), F.bit_or("some").alias("some")))
-    pairs = levels[-1].select("turn", F.col("node").alias("a"), F.col("node").alias("b"))
-    front = F.array(*map(F.lit, _front(turns)))[F.col("turn")]
-    for number in range(len(levels) - 2, -1, -1):
-        nodes = levels[number].select("turn", "node", F.col("all").alias("pattern"), F.bitwise_not(F.col("all").bitwiseXOR(F.col("some"))).alias("mask"))
+    widths = [1]
+    while widths[-1] < leaves:
+        widths.append(widths[-1] * FAN)
+    shared = index.groupBy("turn", "leaf").agg(F.bit_and("rot").alias("all"), F.bit_or("rot").alias("some"))
+    # Each leaf is below one node of every level, so that all levels are made at once.
+    above = F.inline(F.array(*(F.struct(F.lit(k).alias("level"), F.expr(f"leaf div {width}").cast("int").alias("node")) for k, width in enumerate(widths))))
+    kept = shared.select("turn", "all", "some", above).groupBy("level", "turn", "node").agg(F.bit_and("all").alias("all"), F.bit_or("some").alias("some"))
+    levels = materialise(kept, "gray-nodes")
+    pairs = levels.where(F.col("level") == len(widths) - 1).select("turn", F.col("node").alias("a"), F.col("node").alias("b"))
+    front = F.array(*map(F.lit, _front(turns)))[F.col("turn") % turns]
+    for number in range(len(widths) - 2, -1, -1):
+        nodes = levels.where(F.col("level") == number).select("turn", "node", F.col("all").alias("pattern"), F.bitwise_not(F.col("all").bitwiseXOR(F.col("some"))).alias("mask"))
         side = lambda x, nodes=nodes: nodes.select("turn", *(F.col(c).alias(n) for c, n in (("node", x), ("pattern", f"p_{x}"), ("mask", f"m_{x}"))))
         below = lambda x: F.explode(F.sequence(F.col(x) * FAN, F.col(x) * FAN + FAN - 1))
         met = pairs.select("turn", below("a").alias("a"), "b").select("turn", "a", below("b").alias("b")).where("a <= b")
@@ -277,8 +282,8 @@ def _spread(tree: _Tree, level: int, label: np.ndarray) -> tuple[np.ndarray, np.
     return low, high
 
 
-def _search(block: np.ndarray, distance: int, turns: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between leaves and their partners; block: rows turn, a, leaf and rot of whole (turn, a), sorted by these, rot by Gray rank.
+def _search(block: np.ndarray, distance: int, turns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kinds and links between leaves and their partners; block: rows turn, a, leaf and rot of whole (turn, a), sorted by these, rot by Gray rank.
 
     Leaf a, the first of each (turn, a), meets itself and all others there. A component's centre is its least fingerprint.
     """
@@ -286,11 +291,11 @@ def _search(block: np.ndarray, distance: int, turns: int) -> tuple[np.ndarray, n
     turn, a, leaf = block[:3, begins]
     # A leaf's own part is the latest part before each that is its leaf's own.
     one = np.maximum.accumulate(np.where(leaf == a, np.arange(len(begins)), 0))
-    front = np.array(_front(turns), np.int64).view(np.uint64)[turn]
+    front = np.array(_front(turns), np.int64).view(np.uint64)[turn % turns]
     rot = np.ascontiguousarray(block[3]).view(np.uint64)
     label = components_of(begins, one, np.arange(len(begins)), rot, distance, front, distance // turns)
     # Turned back, so that links are between fingerprints.
-    back = np.array([n for n, _ in segments(turns)], np.uint64)[block[0]]
+    back = np.array([n for n, _ in segments(turns)], np.uint64)[block[0] % turns]
     fps = ((rot >> back) | (rot << ((np.uint64(64) - back) & np.uint64(63)))).view(np.int64)
     child = np.flatnonzero(label != np.arange(len(label)))
     low = fps.copy()
@@ -298,15 +303,17 @@ def _search(block: np.ndarray, distance: int, turns: int) -> tuple[np.ndarray, n
     member = np.union1d(child, label[child])
     centre = low[label[member]]
     apart = fps[member] != centre
-    return fps[member][apart], centre[apart]
+    return (block[0, member] // turns)[apart], fps[member][apart], centre[apart]
 
 
-def search_links(fps: DataFrame, distance: int = DISTANCE, turns: int = TURNS, node_rows: int = NODE_ROWS) -> DataFrame:
+def search_links(fps: DataFrame, distance: int = DISTANCE, turns: int = TURNS, node_rows: int = NODE_ROWS, kind: str | None = None) -> DataFrame:
     """(a, b): links that join all fingerprints (column fp, distinct) at most `distance` bits apart, and no others.
 
     A leaf meets all its partners in one task, so it moves once and its partners once each.
+    kind: a column of small numbers from 0 on; fingerprints, distinct within a kind, link only with those of their kind, all
+    kinds in one search, and the result is (kind, a, b).
     """
-    index, leaves = gray_index(fps, turns, node_rows)
+    index, leaves = gray_index(fps, turns, node_rows, kind)
     pairs = materialise(open_leaves(index, leaves, distance, turns), "leaf-pairs")
     names = ("turn", "a", "leaf")
     dealt = pairs.withColumnRenamed("b", "leaf").join(index, ["turn", "leaf"]).select(*names, "rot").repartition("turn", "a")
@@ -317,7 +324,7 @@ def search_links(fps: DataFrame, distance: int = DISTANCE, turns: int = TURNS, n
         rows = 0
 
         def found(block: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(list(map(pa.array, _search(block, distance, turns))), names=["a", "b"])
+            return pa.RecordBatch.from_arrays(list(map(pa.array, _search(block, distance, turns))), names=["kind", "a", "b"])
 
         for batch in batches:
             held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]))
@@ -334,7 +341,8 @@ def search_links(fps: DataFrame, distance: int = DISTANCE, turns: int = TURNS, n
         if held and (block := np.concatenate(held, axis=1)).shape[1]:
             yield found(block)
 
-    return met.select(*names, "rot").mapInArrow(search, "a bigint, b bigint")
+    found = met.select(*names, "rot").mapInArrow(search, "kind bigint, a bigint, b bigint")
+    return found.withColumnRenamed("kind", kind) if kind else found.drop("kind")
 
 
 def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, node_rows: int = NODE_ROWS) -> DataFrame:
